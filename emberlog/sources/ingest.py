@@ -17,21 +17,19 @@ from emberlog.functions import (
     path_basename,
     trim_blank,
 )
-from emberlog.schema import LOG_COLUMNS, LOG_SCHEMA, RAW_SCHEMA, UINT64_MAX, UNKNOWN_PROCESS
-
-# Fields that must be JSON text. Spark's reader would take numbers for them.
-TEXT_FIELDS = [
-    "timestamp", "processImagePath", "senderImagePath", "subsystem", "category", "messageType",
-    "eventType", "eventMessage", "signpostName", "signpostType", "signpostScope", "symbol", "file", "image",
-]
-
-# The parts of a text line, after the time has been taken off.
-LEGACY_TIME = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+[+-]\d{4})"
-LEGACY_REST = (
-    r"(?s)^(\S+)\[(\d+)\][\p{Zs}\t]*(?:\(([^)]+)\)[\p{Zs}\t]*)?(?:\[([\p{L}\p{M}\p{N}_]+)\][\p{Zs}\t]*)?(.*)$"
+from emberlog.schema import LOG_SCHEMA, RAW_SCHEMA, UINT64, UINT64_MAX, UNKNOWN_PROCESS
+from emberlog.sources.decode import once, parse_objects
+
+# A line of the older layout, `time process[pid] (subsystem) [Level] message`,
+# where all between time and message may be missing.
+BLANK = r"[\p{Zs}\t]*"
+LEGACY_LINE = (
+    r"(?s)^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+[+-]\d{4})" + BLANK
+    + r"(?:(\S+)\[(\d{1,18})\]" + BLANK
+    + r"(?:\(([^)]+)\)" + BLANK + r")?"
+    + r"(?:\[([\p{L}\p{M}\p{N}_]+)\]" + BLANK + r")?)?(.*)$"
 )
-
-_BODY = [f for f in LOG_SCHEMA.fields if f.name != "seq"]
+SEPARATOR = "\x01"
 
 
 class Ingested(NamedTuple):
@@ -39,36 +37,30 @@ class Ingested(NamedTuple):
     bad: DataFrame
 
 
-def _body(values: dict[str, Column]) -> Column:
-    """A struct of all canonical columns but seq, null where nothing is given."""
-    return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _BODY])
+def _row(values: dict[str, Column]) -> Column:
+    """A struct of all canonical columns but seq; those not given are null."""
+    return F.struct(
+        *[
+            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in LOG_SCHEMA.fields
+            if f.name != "seq"
+        ]
+    )
 
 
-def strict_json(line: Column, parsed: Column, corrupt: Column, text_fields: list[str]) -> Column:
-    """Whether the line is one well-formed object whose text fields hold text.
+def in_uint64(value: Column) -> Column:
+    return F.coalesce(value.between(F.lit(0).cast(UINT64), F.lit(UINT64_MAX).cast(UINT64)), F.lit(True))
 
-    `from_json` has checked numbers and syntax by then, but lets numbers pass as text and
-    ignores what follows the closing brace.
-    """
-    not_text = rf"[<,] ?(?:{'|'.join(text_fields)}): (?!STRING|VOID)"
-    return (
-        parsed.isNotNull()
-        & corrupt.isNull()
-        & line.endswith("}")
-        & ~F.coalesce(F.schema_of_variant(F.try_parse_json(line)).rlike(not_text), F.lit(True))
-    )
 
+def _json_row() -> Column:
+    """The row of a parsed object; null unless its time can be read.
 
-def _decode_json(lines: DataFrame) -> DataFrame:
-    """Add `_json`, the row body of a JSON line or null."""
-    parsed = lines.withColumn(
-        "_raw",
-        F.from_json("_line", f"{_ddl()}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}),
-    )
+    A time that cannot be read spoils the row. It is never replaced by the present.
+    """
     raw = F.col("_raw")
-    body = _body(
+    row = _row(
         {
-            "timestamp": parse_timestamp(raw["timestamp"]),
+            "timestamp": F.col("_time"),
             "processName": F.coalesce(path_basename(raw["processImagePath"]), F.lit(UNKNOWN_PROCESS)),
             "pid": F.coalesce(raw["processID"], F.lit(0)),
             "subsystem": raw["subsystem"],
@@ -88,54 +80,55 @@ def _decode_json(lines: DataFrame) -> DataFrame:
             "signpostScope": raw["signpostScope"],
         }
     )
-    in_range = F.coalesce(raw["signpostID"].between(0, F.lit(UINT64_MAX).cast("decimal(20,0)")), F.lit(True))
-    valid = strict_json(F.col("_line"), raw, raw["_corrupt"], TEXT_FIELDS) & in_range
-    decoded = parsed.withColumn("_json", F.when(valid, body)).drop("_raw")
-    # A time that cannot be read spoils the row; it is never replaced by the present.
-    return decoded.withColumn("_json", F.when(F.col("_json.timestamp").isNotNull(), F.col("_json")))
+    return F.when(F.col("_time").isNotNull() & in_uint64(raw["signpostID"]), row)
 
 
-def _ddl() -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_SCHEMA.fields)
+def _legacy_parts(line: Column) -> Column:
+    """The seven parts of a text line from one match; a single part if it does not match."""
+    marked = F.regexp_replace(line, LEGACY_LINE, SEPARATOR.join(f"${i}" for i in range(1, 8)))
+    return F.split(marked, SEPARATOR, 7)
 
 
-def _decode_legacy(lines: DataFrame) -> DataFrame:
-    """Add `_text`, the row body of a line in the older text layout or null.
+def _legacy_row() -> Column:
+    """The row of a split text line; null unless its time can be read."""
 
-    `time  process[pid]  (subsystem) [Level]  message`; without `process[pid]` all that
-    follows the time is the message.
-    """
-    line = F.col("_line")
-    day, clock = F.regexp_extract(line, LEGACY_TIME, 1), F.regexp_extract(line, LEGACY_TIME, 2)
-    time = F.when(day != "", parse_timestamp(F.concat_ws(" ", day, clock)))
-    rest = trim_blank(F.regexp_replace(line, LEGACY_TIME, ""))
-    pid = F.regexp_extract("_rest", LEGACY_REST, 2).try_cast("long")
-
-    def part(group: int) -> Column:
-        return F.when(pid.isNotNull(), F.regexp_extract("_rest", LEGACY_REST, group))
+    def part(n: int) -> Column:
+        return F.nullif(F.get("_parts", F.lit(n - 1)), F.lit(""))
 
-    body = _body(
+    row = _row(
         {
-            "timestamp": F.col("_time"),
-            "processName": F.coalesce(part(1), F.lit(UNKNOWN_PROCESS)),
-            "pid": F.coalesce(pid, F.lit(0)),
-            "subsystem": F.nullif(part(3), F.lit("")),
-            "level": parse_level(part(4)),
-            "message": F.coalesce(part(5), F.col("_rest")),
+            "timestamp": F.col("_text_time"),
+            "processName": F.coalesce(part(3), F.lit(UNKNOWN_PROCESS)),
+            "pid": F.coalesce(part(4).try_cast("long"), F.lit(0)),
+            "subsystem": part(5),
+            "level": parse_level(part(6)),
+            "message": F.get("_parts", F.lit(6)),
         }
     )
-    cut = lines.withColumns({"_time": time, "_rest": rest})
-    return cut.withColumn("_text", F.when(F.col("_time").isNotNull(), body)).drop("_time", "_rest")
+    return F.when(F.col("_text_time").isNotNull(), row)
 
 
 def _lines(lines: DataFrame) -> DataFrame:
-    return lines.select("seq", "value", trim_blank(F.col("value")).alias("_line")).where("_line <> ''")
+    return once(lines.select("seq", "value"), _line=trim_blank(F.col("value"))).where("_line <> ''")
+
+
+def _decode_json(lines: DataFrame) -> DataFrame:
+    parsed = parse_objects(lines, RAW_SCHEMA)
+    return once(once(parsed, _time=parse_timestamp(F.col("_raw")["timestamp"])), _json=_json_row())
+
+
+def _decode_legacy(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
+    parts = _legacy_parts(F.col("_line"))
+    rows = once(lines, _parts=parts if wanted is None else F.when(wanted, parts))
+    time = F.concat_ws(" ", F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1)))
+    rows = once(rows, _text_time=F.when(F.size("_parts") == 7, parse_timestamp(time)))
+    return once(rows, _text=_legacy_row())
 
 
-def _split(decoded: DataFrame, body: Column) -> Ingested:
-    decoded = decoded.select("seq", "value", body.alias("_body"))
-    logs = decoded.where("_body is not null").select("seq", "_body.*").select(*LOG_COLUMNS)
-    return Ingested(logs, decoded.where("_body is null").select("seq", "value"))
+def _split(decoded: DataFrame, row: Column) -> Ingested:
+    rows = decoded.select("seq", "value", row.alias("_row"))
+    good = rows.where("_row is not null").select("seq", "_row.*")
+    return Ingested(good, rows.where("_row is null").select("seq", "value"))
 
 
 def ingest_ndjson(lines: DataFrame) -> Ingested:
@@ -148,4 +141,5 @@ def ingest_legacy_text(lines: DataFrame) -> Ingested:
 
 def ingest_mixed(lines: DataFrame) -> Ingested:
     """JSON lines, and the older text layout for those that are not."""
-    return _split(_decode_legacy(_decode_json(_lines(lines))), F.coalesce("_json", "_text"))
+    rows = _decode_legacy(_decode_json(_lines(lines)), wanted=F.col("_json").isNull())
+    return _split(rows, F.coalesce("_json", "_text"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import parse_timestamp, trim_blank
 from emberlog.operators.filters import FilterSpec, scan_filter, time_range
-from emberlog.schema import LEVELS, LOG_COLUMNS, SIGNPOST_TYPES, SPILL_REQUIRED, SPILL_SCHEMA, UINT64_MAX
-from emberlog.sources.ingest import ingest_mixed, strict_json
+from emberlog.schema import LEVELS, LOG_COLUMNS, SIGNPOST_TYPES, SPILL_REQUIRED, SPILL_SCHEMA
+from emberlog.sources.decode import once, parse_objects
+from emberlog.sources.ingest import in_uint64, ingest_mixed
 from emberlog.sources.lines import read_lines
 
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -105,21 +106,15 @@ def replay_spill(spark: SparkSession, path: str, spec: FilterSpec | None = None)
     Blank lines are skipped. Any other line that is not a row raises SpillError with the file
     and line of the first one, before any row is returned.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SPILL_SCHEMA.fields)
-    lines = read_lines(spark, path).withColumn("_line", trim_blank(F.col("value"))).where("_line <> ''")
-    parsed = lines.withColumn(
-        "_row", F.from_json("_line", f"{fields}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
-    )
-    row = F.col("_row")
-    texts = [f.name for f in SPILL_SCHEMA.fields if f.dataType.simpleString() == "string"]
-    valid = strict_json(F.col("_line"), row, row["_corrupt"], texts)
+    lines = once(read_lines(spark, path), _line=trim_blank(F.col("value"))).where("_line <> ''")
+    parsed = parse_objects(lines, SPILL_SCHEMA)
+    row = F.col("_raw")
+    parsed = once(parsed, _time=parse_timestamp(row["timestamp"]))
+    valid = F.col("_time").isNotNull() & row["level"].isin(LEVELS) & in_uint64(row["signpostID"])
     for name in SPILL_REQUIRED:
         valid = valid & row[name].isNotNull()
-    valid = valid & row["level"].isin(LEVELS)
     valid = valid & F.coalesce(row["signpostType"].isin(SIGNPOST_TYPES), F.lit(True))
-    valid = valid & F.coalesce(row["signpostID"].between(0, F.lit(UINT64_MAX).cast("decimal(20,0)")), F.lit(True))
-    parsed = parsed.withColumn("_time", parse_timestamp(row["timestamp"]))
-    valid = F.coalesce(valid & F.col("_time").isNotNull(), F.lit(False))
+    valid = F.coalesce(valid, F.lit(False))
     first = parsed.where(~valid).agg(F.min(F.struct("seq", "file", "line_no")).alias("bad")).head()["bad"]
     if first is not None:
         raise SpillError(f"Failed to parse NDJSON at {_plain_path(first['file'])}:{first['line_no']}")
