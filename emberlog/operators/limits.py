@@ -1,6 +1,6 @@
 """First and last rows, ceilings, cursors and bounded samples."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.ordered import rank_rows
@@ -33,8 +33,8 @@ def scan_ceiling(logs: DataFrame, ceiling: int = SCAN_CEILING) -> DataFrame:
 
     Reaching it counts even if the input ends right there.
     """
-    seen = rank_rows(logs, F.col("seq"), limit=_positive(ceiling, "ceiling"))
-    return seen.withColumn("scan_capped", seen.agg(F.count("*") >= ceiling).scalar())
+    seen = rank_rows(logs, F.col("seq"), limit=_positive(ceiling, "ceiling"), total="_all")
+    return seen.withColumn("scan_capped", F.col("_all") >= ceiling).drop("_all")
 
 
 def head_tail(
@@ -46,9 +46,8 @@ def head_tail(
     """
     if full:
         return logs.withColumns({"position": F.lit("inline"), "truncated": F.lit(False)})
-    first = rank_rows(logs, F.col("seq"), limit=max(threshold + 1, k))
-    last = rank_rows(logs, -F.col("seq"), limit=k)
-    return _sampled(first, last, ["seq"], threshold, k)
+    ends = rank_rows(logs, F.col("seq"), limit=max(threshold, k), tail=k, total="_all")
+    return _sampled(ends, threshold, k)
 
 
 def list_head_tail(
@@ -56,29 +55,31 @@ def list_head_tail(
 ) -> DataFrame:
     """`head_tail` for any table; `order` names columns (ascending) that identify a row.
 
-    For lists such as the process inventory: both ends are top-k sorts.
+    For lists such as the process inventory. Both ends come from top-k sorts, and only they
+    are numbered.
     """
     if full:
         return df.withColumns({"position": F.lit("inline"), "truncated": F.lit(False)})
-    from pyspark.sql import Window
-
-    ranked = df.orderBy(*order).limit(max(threshold + 1, k))
-    first = ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    last = df.orderBy(*[F.col(name).desc() for name in order]).limit(k).withColumn("rank", F.lit(0))
-    return _sampled(first, last, order, threshold, k)
-
-
-def _sampled(first: DataFrame, last: DataFrame, key: list[str], threshold: int, k: int) -> DataFrame:
-    """Join the two ends; both are bounded by their limits, whatever the input holds."""
-    columns = [name for name in first.columns if name != "rank"]
-    truncated = first.agg(F.count("*") > threshold).scalar()
-    head = first.withColumn("truncated", truncated).where(~F.col("truncated") | (F.col("rank") <= k))
-    head = head.withColumn("position", F.when(F.col("truncated"), "head").otherwise("inline"))
-    heads = first.where(F.col("rank") <= k).select(*key)
-    tail = last.join(heads, key, "left_anti").withColumn("truncated", truncated).where("truncated")
-    tail = tail.withColumn("position", F.lit("tail"))
-    wanted = [*columns, "position", "truncated"]
-    return head.select(*wanted).union(tail.select(*wanted))
+    most = max(threshold, k)
+    up, down = [F.col(name).asc() for name in order], [F.col(name).desc() for name in order]
+    everything = df.agg(F.count("*")).scalar()
+    first = df.orderBy(*up).limit(most).withColumn("_all", everything)
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy(*up)))
+    last = df.orderBy(*down).limit(k).withColumn("_all", everything)
+    last = last.withColumn("rank", F.col("_all") + 1 - F.row_number().over(Window.orderBy(*down)))
+    return _sampled(first.union(last.where(F.col("rank") > most)), threshold, k)
+
+
+def _sampled(ends: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Settle the position of rows from both ends by their rank and the number of all rows."""
+    truncated = F.col("_all") > threshold
+    position = (
+        F.when(~truncated, "inline")
+        .when(F.col("rank") <= k, "head")
+        .when(F.col("rank") > F.col("_all") - k, "tail")
+    )
+    marked = ends.withColumns({"position": position, "truncated": truncated})
+    return marked.where("position is not null").drop("rank", "_all")
 
 
 def next_since(logs: DataFrame) -> DataFrame:

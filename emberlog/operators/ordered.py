@@ -16,6 +16,9 @@ from emberlog.functions.times import duration_us, relative_text
 # Slice widths as powers of two: 262 144 rows per slice, then about a million slices.
 SLICE_BITS = (18, 38)
 
+# Most rows of a table of slices that is sent to every task: a few megabytes.
+MOST_BROADCAST = 100_100
+
 
 def _window(keys, order: Column, bits: int | None):
     slices = [] if bits is None else [F.shiftright(order, bits)]
@@ -137,50 +140,66 @@ def relative_time(logs: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
+def key_of(columns: tuple[str, ...]) -> Column:
+    """Grouping columns as one that is never null, so that null keys join like any other.
+
+    It also keeps the optimizer from inferring `IS NOT NULL` filters for one side of a join
+    only, after which the two sides no longer share a shuffle.
+    """
+    return F.struct(*columns) if columns else F.lit(0)
+
+
+LEAST = -(1 << 63)
+
+
 def rank_rows(
     df: DataFrame,
     order: Column,
     ties: tuple[Column, ...] = (),
     keys: tuple[str, ...] = (),
     rank: str = "rank",
+    total: str | None = None,
     limit: int | None = None,
+    tail: int = 0,
     bits: tuple[int, int] = SLICE_BITS,
 ) -> DataFrame:
-    """Number the rows of each key from 1 along the BIGINT `order`, then `ties`.
+    """Number the rows of each key from 1 along the BIGINT `order` (null first), then `ties`.
 
     Counts per slice give the number of rows before each slice; numbering within slices does
-    the rest. With `limit`, slices past it are never numbered: the counting pass reads only
-    the columns it needs, and at most `limit` slices (each holds a row) are joined back.
+    the rest. With `limit`, only the first `limit` and the last `tail` rows of each key are
+    kept, and only the slices holding those are read again after the counting pass, which
+    itself needs few columns. `total` names a column for the number of rows of the key.
     """
     narrow, wide = bits
-    slice_, group = F.shiftright(order, narrow), F.shiftright(order, wide)
-    rows = df.withColumns({"_group": group, "_slice": slice_})
-    slices = rows.groupBy(*keys, "_group", "_slice").agg(F.count("*").alias("_rows"))
-    groups = slices.groupBy(*keys, "_group").agg(F.sum("_rows").alias("_rows"))
+    order = F.coalesce(order, F.lit(LEAST))
+    rows = df.withColumns({"_key": key_of(keys), "_group": F.shiftright(order, wide), "_slice": F.shiftright(order, narrow)})
+    slices = rows.groupBy("_key", "_group", "_slice").agg(F.count("*").alias("_rows"))
+    groups = slices.groupBy("_key", "_group").agg(F.sum("_rows").alias("_rows"))
 
     def rows_before(window) -> Column:
         return F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
 
-    groups = groups.select(
-        *keys, "_group", rows_before(Window.partitionBy(*keys).orderBy("_group")).alias("_group_start")
-    )
+    def wanted(start: Column, length: Column) -> Column:
+        return (start < limit) | (start + length > F.col("_total") - tail)
+
+    of_key = Window.partitionBy("_key").orderBy("_group")
+    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.withColumns({"_group_start": rows_before(of_key), "_total": F.sum("_rows").over(whole)})
     if limit is not None:
-        groups = groups.where(F.col("_group_start") < limit)
-    slices = slices.join(groups, [*keys, "_group"]).select(
-        *keys,
-        "_group",
-        "_slice",
-        (
-            F.col("_group_start") + rows_before(Window.partitionBy(*keys, "_group").orderBy("_slice"))
-        ).alias("_slice_start"),
+        groups = groups.where(wanted(F.col("_group_start"), F.col("_rows")))
+    in_group = Window.partitionBy("_key", "_group").orderBy("_slice")
+    slices = slices.join(groups.drop("_rows"), ["_key", "_group"]).withColumn(
+        "_start", F.col("_group_start") + rows_before(in_group)
     )
     if limit is not None:
-        slices = slices.where(F.col("_slice_start") < limit)
-        if not keys and limit <= 100_000:
-            slices = F.broadcast(slices)
-    numbered = rows.join(slices, [*keys, "_group", "_slice"])
-    window = Window.partitionBy(*keys, "_group", "_slice").orderBy(order, *ties)
-    numbered = numbered.withColumn(rank, F.col("_slice_start") + F.row_number().over(window))
+        slices = slices.where(wanted(F.col("_start"), F.col("_rows")))
+    slices = slices.select("_key", "_group", "_slice", "_start", "_total")
+    if limit is not None and not keys and limit + tail <= MOST_BROADCAST:
+        # Every slice has a row, so there are no more slices left than rows wanted.
+        slices = F.broadcast(slices)
+    numbered = rows.join(slices, ["_key", "_group", "_slice"])
+    window = Window.partitionBy("_key", "_group", "_slice").orderBy(order, *ties)
+    numbered = numbered.withColumn(rank, F.col("_start") + F.row_number().over(window))
     if limit is not None:
-        numbered = numbered.where(F.col(rank) <= limit)
-    return numbered.select(*df.columns, rank)
+        numbered = numbered.where((F.col(rank) <= limit) | (F.col(rank) > F.col("_total") - tail))
+    return numbered.select(*df.columns, rank, *([F.col("_total").alias(total)] if total else []))

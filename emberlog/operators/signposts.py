@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import duration_us, format_ms, ms_from_us
 from emberlog.operators.filters import signposts_only
-from emberlog.operators.ordered import rank_rows, with_neighbours
+from emberlog.operators.ordered import key_of, rank_rows, with_neighbours
 
 PAIRING_KEY = ("pid", "signpostName", "signpostID")
 
@@ -99,26 +99,27 @@ def p50(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     key in one task, so equal values are counted first, and the middle is then found from
     coarse value ranges down to fine ones: only the two ranges around it are opened.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(
-        F.count("*").alias("_rows")
-    )
-    counted = counted.withColumns(
-        {"_coarse": F.shiftright("_value", 40), "_fine": F.shiftright("_value", 20)}
+    # The key is one column that is never null, and so are the ranges: the three readers of the
+    # counts then get no filters of their own and share one shuffle.
+    known = df.where(F.col(value).isNotNull()).select(
+        key_of(keys).alias("_key"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("_value")
     )
+    counted = known.groupBy("_key", "_value").agg(F.count("*").alias("_rows"))
+    counted = counted.withColumns({"_coarse": F.shiftright("_value", 40), "_fine": F.shiftright("_value", 20)})
 
     def located(counts: DataFrame, inside: list[str], along: str) -> DataFrame:
         """Keep the ranges that hold a middle row, with the number of rows before each."""
-        window = Window.partitionBy(*keys, *inside).orderBy(along)
+        window = Window.partitionBy("_key", *inside).orderBy(along)
         before = F.col("_start") + F.sum("_rows").over(
             window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ) - F.col("_rows")
         placed = counts.withColumn("_start", before)
         return placed.where("_start < _upper and _start + _rows >= _lower").drop("_rows")
 
-    coarse = counted.groupBy(*keys, "_coarse").agg(F.sum("_rows").alias("_rows"))
-    total = F.sum("_rows").over(Window.partitionBy(*keys))
+    coarse = counted.groupBy("_key", "_coarse").agg(F.sum("_rows").alias("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy("_key"))
     coarse = coarse.withColumn("_total", total).select(
-        *keys,
+        "_key",
         "_coarse",
         "_rows",
         F.expr("(_total + 1) div 2").alias("_lower"),
@@ -126,54 +127,60 @@ def p50(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
         F.lit(0).cast("long").alias("_start"),
     )
     coarse = located(coarse, [], "_coarse")
-    fine = counted.groupBy(*keys, "_coarse", "_fine").agg(F.sum("_rows").alias("_rows"))
-    fine = located(fine.join(coarse, [*keys, "_coarse"]), ["_coarse"], "_fine")
-    values = counted.join(fine, [*keys, "_coarse", "_fine"])
-    window = Window.partitionBy(*keys, "_coarse", "_fine").orderBy("_value")
+    fine = counted.groupBy("_key", "_coarse", "_fine").agg(F.sum("_rows").alias("_rows"))
+    fine = located(fine.join(coarse, ["_key", "_coarse"]), ["_coarse"], "_fine")
+    values = counted.join(fine, ["_key", "_coarse", "_fine"])
+    window = Window.partitionBy("_key", "_coarse", "_fine").orderBy("_value")
     until = F.col("_start") + F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     values = values.withColumn("_until", until).withColumn("_from", F.col("_until") - F.col("_rows"))
 
     def at(rank: str) -> Column:
         return F.max(F.when((F.col("_from") < F.col(rank)) & (F.col(rank) <= F.col("_until")), F.col("_value")))
 
-    return values.groupBy(*keys).agg(at("_lower").alias("low"), at("_upper").alias("high"))
+    middle = values.groupBy("_key").agg(at("_lower").alias("low"), at("_upper").alias("high"))
+    return middle.select(*[F.col("_key")[name].alias(name) for name in keys], "low", "high")
 
 
-def signpost_summary(intervals: DataFrame) -> DataFrame:
-    """Per name: counts, duration statistics in milliseconds, and the first origin seen.
+SUMMARY_COLUMNS = ["name", "subsystem", "category", "count", "in_flight", "min_ms", "p50_ms", "max_ms", "total_ms"]
 
-    Statistics cover completed intervals and are null when there are none. The median is
-    rounded to whole microseconds, ties away from zero; the others are whole already.
-    """
-    earliest = F.struct("start", "begin_seq")
+
+def _name_statistics(intervals: DataFrame) -> DataFrame:
+    """All about each name, `last_args` included; columns not asked for are not computed."""
+    moment = F.struct("start", "begin_seq")
     stats = intervals.groupBy("name").agg(
-        F.min_by(F.struct("subsystem", "category"), earliest).alias("_origin"),
+        F.min_by(F.struct("subsystem", "category"), moment).alias("_origin"),
         F.count("*").alias("count"),
         (F.count("*") - F.count("duration_us")).alias("in_flight"),
         ms_from_us(F.min("duration_us")).alias("min_ms"),
         ms_from_us(F.max("duration_us")).alias("max_ms"),
         ms_from_us(F.sum("duration_us")).alias("total_ms"),
+        _latest_message(moment).alias("last_args"),
     )
     middle = p50(intervals, "duration_us", ("name",)).select(
         "name", (F.round((F.col("low") + F.col("high")) / F.lit(2.0)) / F.lit(1000.0)).alias("p50_ms")
     )
-    return stats.join(middle, "name", "left").select(
-        "name",
-        F.col("_origin.subsystem").alias("subsystem"),
-        F.col("_origin.category").alias("category"),
-        "count",
-        "in_flight",
-        "min_ms",
-        "p50_ms",
-        "max_ms",
-        "total_ms",
+    return stats.join(middle, "name", "left").withColumns(
+        {"subsystem": F.col("_origin.subsystem"), "category": F.col("_origin.category")}
     )
 
 
+def signpost_summary(intervals: DataFrame) -> DataFrame:
+    """Per name: counts, duration statistics in milliseconds, and the first origin seen.
+
+    Statistics cover completed intervals and are null when there are none. The median is
+    rounded to whole microseconds, ties away from zero; the others are whole already.
+    """
+    return _name_statistics(intervals).select(*SUMMARY_COLUMNS)
+
+
 def summaries_by_total(summary: DataFrame) -> DataFrame:
-    """Number the names by total duration, then name, both descending."""
-    total = F.round(F.coalesce("total_ms", F.lit(0.0)) * 1000).cast("long")
-    return rank_rows(summary, -total, ties=(F.col("name").desc(),))
+    """Number the names by total duration, then name, both descending.
+
+    There is one row per name by now, so one task numbers them; counting them beforehand as
+    `rank_rows` does would pair all intervals twice.
+    """
+    order = Window.orderBy(F.coalesce("total_ms", F.lit(0.0)).desc(), F.col("name").desc())
+    return summary.withColumn("rank", F.row_number().over(order))
 
 
 def intervals_by_start(intervals: DataFrame) -> DataFrame:
@@ -196,10 +203,13 @@ def signpost_occurrences(intervals: DataFrame) -> DataFrame:
     return numbered.select("name", "occurrence", "start", "duration_ms", "message")
 
 
+def _latest_message(moment: Column) -> Column:
+    return F.coalesce(F.nullif(F.max_by("message", moment), F.lit("")), F.lit("-"))
+
+
 def last_args(intervals: DataFrame) -> DataFrame:
     """Per name the message of its latest interval, `-` if that is empty."""
-    latest = F.max_by("message", F.struct("start", "begin_seq"))
-    return intervals.groupBy("name").agg(F.coalesce(F.nullif(latest, F.lit("")), F.lit("-")).alias("last_args"))
+    return intervals.groupBy("name").agg(_latest_message(F.struct("start", "begin_seq")).alias("last_args"))
 
 
 def totals_of(states: DataFrame) -> DataFrame:
@@ -220,8 +230,7 @@ def signpost_totals(logs: DataFrame) -> DataFrame:
 
 def signpost_table(logs: DataFrame) -> DataFrame:
     """Display rows: name, count, p50, max, total, last arguments, in order of total time."""
-    intervals = signpost_intervals(logs)
-    named = summaries_by_total(signpost_summary(intervals)).join(last_args(intervals), "name")
+    named = summaries_by_total(_name_statistics(signpost_intervals(logs)))
 
     def shown(column: str) -> Column:
         return format_ms(F.round(F.col(column) * 1000).cast("long"))

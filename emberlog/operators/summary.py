@@ -8,6 +8,8 @@ included. The lists are read off the combinations, not off the rows.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.schema import LEVELS
+
 TOP_N = 10
 DIMENSIONS = ["level", "processName", "subsystem", "category"]
 
@@ -45,7 +47,7 @@ def time_bounds(logs: DataFrame) -> DataFrame:
     return logs.agg(F.min_by("timestamp", "seq").alias("start"), F.max_by("timestamp", "seq").alias("end"))
 
 
-def combination_counts(logs: DataFrame) -> DataFrame:
+def combination_counts(logs: DataFrame, *more: Column) -> DataFrame:
     """Rows per (level, process, subsystem, category), with the first and last arrival."""
     return logs.groupBy(*DIMENSIONS).agg(
         F.count("*").alias("count"),
@@ -53,62 +55,64 @@ def combination_counts(logs: DataFrame) -> DataFrame:
         F.min_by("timestamp", "seq").alias("first_time"),
         F.max("seq").alias("last_seq"),
         F.max_by("timestamp", "seq").alias("last_time"),
+        *more,
     )
 
 
-def dimension_counts(combinations: DataFrame) -> DataFrame:
-    """Rows per value of each dimension: (dimension, name, count)."""
+def _unfolded(combinations: DataFrame, *dimensions: str) -> DataFrame:
+    """A row per combination and dimension, for the values that count in that dimension."""
     values = [
-        F.struct(F.lit(name).alias("dimension"), F.col(name).alias("name")) for name in DIMENSIONS
+        F.struct(F.lit(name).alias("dimension"), (F.col(name) if name in DIMENSIONS else F.lit("")).alias("name"))
+        for name in dimensions
     ]
-    unfolded = combinations.select(F.inline(F.array(*values)), "count")
-    counted = F.col("name").isNotNull() & (F.col("dimension").isin("level", "processName") | (F.col("name") != ""))
-    return unfolded.where(counted).groupBy("dimension", "name").agg(F.sum("count").alias("count"))
+    rest = [name for name in combinations.columns if name not in DIMENSIONS]
+    rows = combinations.select(F.inline(F.array(*values)), *rest)
+    return rows.where(F.col("name").isNotNull() & ((F.col("name") != "") | ~F.col("dimension").isin("subsystem", "category")))
+
+
+def dimension_counts(combinations: DataFrame) -> DataFrame:
+    """Rows per value of each dimension: (dimension, name, count)."""
+    return _unfolded(combinations, *DIMENSIONS).groupBy("dimension", "name").agg(F.sum("count").alias("count"))
 
 
 def summary_of(combinations: DataFrame, n: int = TOP_N) -> DataFrame:
-    """The result summary of rows already counted by combination."""
-    per_value = dimension_counts(combinations)
-    order = Window.partitionBy("dimension").orderBy(F.desc("count"), F.asc("name"))
-    # Every level is reported, so the cut at n applies to the other three.
-    leaders = per_value.where("dimension <> 'level'").withColumn("rank", F.row_number().over(order))
-    leaders = leaders.where(F.col("rank") <= n).unionByName(
-        per_value.where("dimension = 'level'").withColumn("rank", F.lit(0))
+    """The result summary of rows already counted by combination.
+
+    One chain of aggregations from there on, with the totals as one more dimension: branches
+    for counts and bounds would each read the rows again. A column `samples` of arrays is
+    brought along, joined to one.
+    """
+    sampled = "samples" in combinations.columns
+    total = F.col("dimension") == "total"
+    samples = [F.flatten(F.collect_list(F.when(total, F.col("samples")))).alias("samples")] if sampled else []
+    per_value = _unfolded(combinations, *DIMENSIONS, "total").groupBy("dimension", "name").agg(
+        F.sum("count").alias("count"),
+        F.min_by("first_time", "first_seq").alias("first_time"),
+        F.max_by("last_time", "last_seq").alias("last_time"),
+        *samples,
     )
+    order = Window.partitionBy("dimension").orderBy(F.desc("count"), F.asc("name"))
+    # Each task drops what cannot be among the leaders before the shuffle. Levels are all told.
+    leaders = per_value.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(n, len(LEVELS)))
+    leaders = leaders.where((F.col("rank") <= n) | (F.col("dimension") == "level"))
 
     def buckets(dimension: str) -> Column:
         found = F.collect_list(F.when(F.col("dimension") == dimension, F.struct("rank", "name", "count")))
         return F.transform(F.array_sort(found), lambda b: F.struct(b["name"].alias("name"), b["count"].alias("count")))
 
-    lists = leaders.agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("dimension") == "level", F.struct("name", "count")))
-        ).alias("by_level"),
+    levels = F.collect_list(F.when(F.col("dimension") == "level", F.struct("name", "count")))
+    bounds = F.struct(F.col("first_time").alias("start"), F.col("last_time").alias("end"))
+    return leaders.agg(
+        F.coalesce(F.max(F.when(total, F.col("count"))), F.lit(0)).alias("count"),
+        F.first(F.when(total, bounds), ignorenulls=True).alias("time_range"),
+        F.map_from_entries(levels).alias("by_level"),
         buckets("processName").alias("top_processes"),
         buckets("subsystem").alias("top_subsystems"),
         buckets("category").alias("top_categories"),
+        *([F.first(F.when(total, F.col("samples")), ignorenulls=True).alias("samples")] if sampled else []),
     )
-    bounds = combinations.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
-        F.when(
-            F.sum("count") > 0,
-            F.struct(
-                F.min_by("first_time", "first_seq").alias("start"),
-                F.max_by("last_time", "last_seq").alias("end"),
-            ),
-        ).alias("time_range"),
-    )
-    return merge_rows(bounds, lists)
 
 
 def result_summary(logs: DataFrame, n: int = TOP_N) -> DataFrame:
     """One row: count, time_range, by_level, top_processes, top_subsystems, top_categories."""
     return summary_of(combination_counts(logs), n)
-
-
-def merge_rows(*one_row: DataFrame) -> DataFrame:
-    """Put one-row frames with different columns side by side."""
-    stacked = one_row[0]
-    for row in one_row[1:]:
-        stacked = stacked.unionByName(row, allowMissingColumns=True)
-    return stacked.agg(*[F.first(name, ignorenulls=True).alias(name) for name in stacked.columns])

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import duration_seconds
 from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.ordered import rank_rows
-from emberlog.operators.summary import combination_counts, merge_rows, summary_of
-from emberlog.plans.envelope import samples, shaped, summary_struct
+from emberlog.plans.envelope import sampled_summary, summary_struct
 
 # The most rows one capture takes, and how long it waits.
 MOST_ROWS = 1000
@@ -105,15 +104,13 @@ def capture_report(
     begun = _first_time(logs) if started is None else F.lit(started).cast(kind)
     deadline = _later(begun, timeout)
     matching = scan_filter(logs, spec or FilterSpec(), mode="live").where(F.col("timestamp") <= deadline)
-    ranked = rank_rows(matching, F.col("seq"), limit=requested)
-    after = logs.where(F.col("timestamp") > deadline).agg((F.count("*") > 0).alias("_went_on"))
-    answer = merge_rows(summary_of(combination_counts(ranked)), samples(ranked, requested, full), after)
-    answer = summary_struct(shaped(answer, full)).withColumnRenamed("count", "captured")
+    ranked = rank_rows(matching, F.col("seq"), limit=requested, total="_all")
+    ranked = ranked.withColumn("_all", F.least(F.col("_all"), F.lit(requested)))
+    answer = summary_struct(sampled_summary(ranked, requested, full)).withColumnRenamed("count", "captured")
+    went_on = logs.agg(F.max("timestamp")).scalar() > deadline
     return answer.withColumns(
         {
             "requested": F.lit(requested),
-            "stopped_by": F.when(F.col("captured") >= requested, "count")
-            .when(F.col("_went_on"), "timeout")
-            .otherwise("exhausted"),
+            "stopped_by": F.when(F.col("captured") >= requested, "count").when(went_on, "timeout").otherwise("exhausted"),
         }
-    ).drop("retained", "_went_on")
+    )

@@ -1,12 +1,12 @@
 """One-row answers: counts, summary and a bounded sample of the rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.filters import FilterSpec
 from emberlog.operators.limits import INLINE_THRESHOLD, RETAINED, SAMPLE, SCAN_CEILING, empty_hint
 from emberlog.operators.ordered import rank_rows
-from emberlog.operators.summary import TOP_N, combination_counts, merge_rows, summary_of
+from emberlog.operators.summary import TOP_N, combination_counts, summary_of
 
 # Rows that may be nested in one answer; more are to be taken as a frame of their own.
 NESTED_ROWS = 10_000
@@ -17,39 +17,36 @@ def retained_rows(logs: DataFrame, limit: int = RETAINED, ceiling: int = SCAN_CE
     return rank_rows(logs, F.col("seq"), limit=min(limit, ceiling)).drop("rank")
 
 
-def samples(ranked: DataFrame, limit: int, full: bool) -> DataFrame:
-    """One row: `entries`, or `head` and `tail` when there are too many to inline them."""
-    columns = [name for name in ranked.columns if name != "rank"]
-    retained = ranked.where(F.col("rank") <= limit)
-    entry = F.struct("rank", F.struct(*columns).alias("entry"))
+def sampled_summary(ranked: DataFrame, limit: int, full: bool, n: int = TOP_N) -> DataFrame:
+    """One row on numbered rows (`rank`, and `_all` for how many there are before any limit):
+    the summary, `truncated`, and `entries` or `head` and `tail` of the first `limit`.
 
-    def listed(condition) -> "F.Column":
-        found = F.array_sort(F.collect_list(F.when(condition, entry)))
-        return F.transform(found, lambda e: e["entry"])
+    The samples are collected along with the counts, so the rows are gone through once. They
+    are bounded by the parameters, whatever the rows hold.
+    """
+    columns = [name for name in ranked.columns if name not in ("rank", "_all")]
+    retained = F.least(F.col("_all"), F.lit(limit))
+    shown = F.col("rank") <= (limit if full else INLINE_THRESHOLD)
+    shown = shown | ((F.col("rank") <= limit) & (F.col("rank") > retained - SAMPLE))
+    sample = F.struct("rank", retained.alias("retained"), F.struct(*columns).alias("entry"))
+    answer = summary_of(combination_counts(ranked, F.collect_list(F.when(shown, sample)).alias("samples")), n)
 
-    most = limit if full else INLINE_THRESHOLD
-    start = retained.where(F.col("rank") <= max(most, SAMPLE)).agg(
-        listed(F.col("rank") <= most).alias("entries"), listed(F.col("rank") <= SAMPLE).alias("head")
-    )
-    last = retained.where(F.col("rank") > SAMPLE).orderBy(F.desc("rank")).limit(SAMPLE)
-    return merge_rows(
-        start,
-        last.agg(listed(F.lit(True)).alias("tail")),
-        retained.agg(F.count("*").alias("retained")),
-    )
+    samples = F.array_sort("samples")
+    size = F.coalesce(F.element_at("samples", 1)["retained"], F.lit(0))
+    truncated = F.lit(False) if full else F.col("_size") > INLINE_THRESHOLD
 
+    def part(kept) -> Column:
+        return F.transform(F.filter("samples", kept), lambda e: e["entry"])
 
-def shaped(answer: DataFrame, full: bool) -> DataFrame:
-    """Settle `truncated`, and keep either the entries or head and tail."""
-    cut = F.lit(False) if full else F.col("retained") > INLINE_THRESHOLD
+    answer = answer.withColumn("samples", F.coalesce(samples, F.array())).withColumn("_size", F.when(F.size("samples") > 0, size).otherwise(0))
     return answer.withColumns(
         {
-            "truncated": cut,
-            "entries": F.when(~cut, F.col("entries")),
-            "head": F.when(cut, F.col("head")),
-            "tail": F.when(cut, F.col("tail")),
+            "truncated": truncated,
+            "entries": F.when(~truncated, part(lambda e: F.lit(True))),
+            "head": F.when(truncated, part(lambda e: e["rank"] <= SAMPLE)),
+            "tail": F.when(truncated, part(lambda e: e["rank"] > F.greatest(F.col("_size") - SAMPLE, F.lit(SAMPLE)))),
         }
-    )
+    ).drop("samples", "_size")
 
 
 def summary_struct(answer: DataFrame) -> DataFrame:
@@ -78,12 +75,12 @@ def result_envelope(
         raise ValueError("full and summary_only are mutually exclusive")
     if full and limit > NESTED_ROWS:
         raise ValueError(f"full nests up to {NESTED_ROWS} rows; take retained_rows() for more")
-    ranked = rank_rows(logs, F.col("seq"), limit=ceiling)
-    answer = summary_of(combination_counts(ranked), n)
-    if not summary_only:
-        answer = shaped(merge_rows(answer, samples(ranked, limit, full)), full).drop("retained")
+    ranked = rank_rows(logs, F.col("seq"), limit=ceiling, total="_all")
+    ranked = ranked.withColumn("_all", F.least(F.col("_all"), F.lit(ceiling)))
+    if summary_only:
+        answer = summary_of(combination_counts(ranked), n).withColumn("truncated", F.lit(False))
     else:
-        answer = answer.withColumn("truncated", F.lit(False))
+        answer = sampled_summary(ranked, limit, full, n)
     answer = answer.withColumns(
         {
             "scan_capped": F.col("count") >= ceiling,
