@@ -144,7 +144,7 @@ QUERIES = {
     "summaries_by_total": _on(
         lambda logs: signposts.summaries_by_total(
             signposts.signpost_summary(signposts.signpost_intervals(logs))
-        ).select("rank", "name", "total_ms")
+        ).select("name", "total_ms")
     ),
     "signpost_occurrences": _on(
         lambda logs: signposts.signpost_occurrences(signposts.signpost_intervals(logs)).withColumnRenamed(
@@ -152,7 +152,7 @@ QUERIES = {
         )
     ),
     "intervals_by_start": _on(
-        lambda logs: signposts.intervals_by_start(signposts.signpost_intervals(logs)).select("rank", "begin_seq", "name")
+        lambda logs: signposts.intervals_by_start(signposts.signpost_intervals(logs)).select("begin_seq", "start", "name").withColumnRenamed("start", "start_time")
     ),
     "last_args": _on(lambda logs: signposts.last_args(signposts.signpost_intervals(logs))),
     "signpost_totals": _on(signposts.signpost_totals),
@@ -262,6 +262,7 @@ _PAIRED = f"""{LOGS_CTE}, paired AS (
     FROM states
 )"""
 _NET = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.app.net') AND eventType")
+_NOWHERE = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.nowhere') AND eventType")
 _SUMMARY = "name, subsystem, category, count, in_flight, min_ms, p50_ms, max_ms, total_ms"
 
 
@@ -361,28 +362,22 @@ ORACLES = {
         FROM states WHERE state = 'orphan'""",
     "completed_union_open": f"{_PAIRED} SELECT begin_seq, name, duration_us FROM intervals",
     "signpost_summary": f"{_PAIRED} SELECT {_SUMMARY} FROM summaries",
-    "summaries_by_total": f"""{_PAIRED} SELECT row_number() OVER (ORDER BY coalesce(total_us, 0) DESC, name DESC) AS rank,
-        name, total_ms FROM summaries""",
-    "signpost_occurrences": f"""{_PAIRED} SELECT name,
-        row_number() OVER (PARTITION BY name ORDER BY start_time, begin_seq) AS occurrence, start_time, duration_ms, message
-        FROM intervals""",
-    "intervals_by_start": f"""{_PAIRED} SELECT row_number() OVER (ORDER BY start_time, begin_seq) AS rank, begin_seq, name
-        FROM intervals""",
+    "summaries_by_total": f"{_PAIRED} SELECT name, total_ms FROM summaries ORDER BY coalesce(total_us, 0) DESC, name DESC",
+    "signpost_occurrences": f"""{_PAIRED} SELECT name, start_time, begin_seq, duration_ms, message FROM intervals
+        ORDER BY name, start_time, begin_seq""",
+    "intervals_by_start": f"{_PAIRED} SELECT begin_seq, start_time, name FROM intervals ORDER BY start_time, begin_seq",
     "last_args": f"{_PAIRED} SELECT name, last_args FROM summaries",
     "signpost_totals": f"{_PAIRED} SELECT * FROM totals",
-    "signpost_table": f"""{_PAIRED} SELECT row_number() OVER (ORDER BY coalesce(total_us, 0) DESC, name DESC) AS rank, name,
-        count, {_ms('p50_us')} AS p50, {_ms('max_us')} AS max, {_ms('total_us')} AS total, last_args FROM summaries""",
+    "signpost_table": f"""{_PAIRED} SELECT name, count, {_ms('p50_us')} AS p50, {_ms('max_us')} AS max, {_ms('total_us')} AS total, last_args FROM summaries""",
     "signpost_footer": f"""{_PAIRED} SELECT 'note: ' || nullif(concat_ws(', ',
             CASE WHEN in_flight > 0 THEN in_flight || ' in-flight (begin with no end)' END,
             CASE WHEN orphan_ends > 0 THEN orphan_ends || ' orphaned end' || CASE WHEN orphan_ends = 1 THEN '' ELSE 's' END
                 || ' (end with no begin)' END), '') AS note FROM totals""",
     "signpost_report": f"{_NET} SELECT *, 'show' AS mode, CAST(NULL AS VARCHAR) AS hint FROM totals",
-    "signpost_report_empty": """SELECT count(*) AS count, count(*) AS in_flight, count(*) AS orphan_ends,
-        count(*) AS overwritten, 'stream' AS mode,
+    "signpost_report_empty": f"""{_NOWHERE} SELECT *, 'stream' AS mode, CASE WHEN count = 0 THEN
         'No signpost intervals captured. Confirm that the process emits intervals under this subsystem and category, '
-        || 'and that it was exercised during the capture.' AS hint FROM events WHERE event_id < 0""",
-    "signpost_report_intervals": f"""{_NET} SELECT {_SUMMARY},
-        row_number() OVER (ORDER BY coalesce(total_us, 0) DESC, name DESC) AS rank FROM summaries""",
+        || 'and that it was exercised during the capture.' END AS hint FROM totals""",
+    "signpost_report_intervals": f"{_NET} SELECT {_SUMMARY} FROM summaries ORDER BY coalesce(total_us, 0) DESC, name DESC",
     "p50": """WITH ordered AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS nth,
             count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
         SELECT l_suppkey, max(l_partkey) FILTER (nth = (n + 1) // 2) AS low, max(l_partkey) FILTER (nth = n // 2 + 1) AS high
@@ -413,14 +408,19 @@ ORACLES = {
     "result_envelope_summary_only": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs ORDER BY seq LIMIT 100000)
         SELECT (SELECT count(*) FROM seen) AS count, (SELECT count(*) FROM seen) >= 100000 AS scan_capped,
             {_NEXT.format(rows='seen')}, {_summary_sql('seen')}""",
-    "result_envelope_empty": f"""SELECT 0::BIGINT AS count, CAST(NULL AS TIMESTAMP) AS next_since, '{limits.HINT_SUBSYSTEM}' AS hint,
-        false AS truncated, CAST(NULL AS TIMESTAMP) AS range_start, CAST(NULL AS TIMESTAMP) AS range_end,
-        CAST(NULL AS VARCHAR) AS by_level, CAST(NULL AS VARCHAR) AS top_processes, CAST(NULL AS VARCHAR) AS top_subsystems,
-        CAST(NULL AS VARCHAR) AS top_categories, '' AS entries, CAST(NULL AS VARCHAR) AS head, CAST(NULL AS VARCHAR) AS tail""",
+    "result_envelope_empty": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs WHERE starts_with(subsystem, 'com.nowhere'))
+        SELECT (SELECT count(*) FROM seen) AS count, {_NEXT.format(rows='seen')},
+            CASE WHEN NOT EXISTS (FROM seen) THEN '{limits.HINT_SUBSYSTEM}' END AS hint, {_envelope_sql('seen', 500)}""",
     "retained_rows": f"{LOGS_CTE} SELECT seq, message FROM logs WHERE level = 'Error' ORDER BY seq LIMIT 500",
-    "empty_hint": f"""SELECT 'subsystem' AS "case", 0::BIGINT AS count, '{limits.HINT_SUBSYSTEM}' AS hint
-        UNION ALL SELECT 'process', 0, '{limits.HINT_PROCESS}' UNION ALL SELECT 'short', 0, '{limits.HINT_SHORT_RANGE}'
-        UNION ALL SELECT 'found', count(*), NULL FROM events WHERE user_id % 10 = 1""",
+    "empty_hint": f"""{LOGS_CTE}
+        SELECT 'subsystem' AS "case", count(*) AS count, CASE WHEN count(*) = 0 THEN '{limits.HINT_SUBSYSTEM}' END AS hint
+            FROM logs WHERE starts_with(subsystem, 'com.nowhere')
+        UNION ALL SELECT 'process', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_PROCESS}' END
+            FROM logs WHERE lower(processName) = 'nobody'
+        UNION ALL SELECT 'short', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_SHORT_RANGE}' END
+            FROM logs WHERE pid = -1
+        UNION ALL SELECT 'found', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_SHORT_RANGE}' END
+            FROM logs WHERE pid = 1001""",
     "next_since": f"{LOGS_CTE} SELECT {_NEXT.format(rows='logs')}",
     "tail_cursor": f"{LOGS_CTE} SELECT seq, timestamp FROM logs WHERE timestamp >= TIMESTAMP '2024-01-28 10:00:00'",
     "bounded_capture": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs WHERE level IN ('Error', 'Fault')),
@@ -433,7 +433,10 @@ ORACLES = {
     "bounded_capture_time": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs WHERE pid = 1005)
         SELECT seq, 'capture' AS stop_reason FROM matching
         WHERE timestamp <= (SELECT arg_min(timestamp, seq) FROM matching) + INTERVAL 72 HOUR""",
-    "bounded_capture_timeout": "SELECT 0::BIGINT AS captured, 'timeout' AS stop_reason",
+    "bounded_capture_timeout": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs WHERE timestamp > TIMESTAMP '2024-01-03 00:00:00'),
+        first AS (SELECT arg_min(timestamp, seq) > TIMESTAMP '2024-01-02 00:00:00' AS late, count(*) AS n FROM matching)
+        SELECT CASE WHEN late THEN 0 ELSE n END AS captured, CASE WHEN late THEN 'timeout' ELSE 'exhausted' END AS stop_reason
+        FROM first""",
     "capture_report": f"""{LOGS_CTE}, inside AS (SELECT * FROM logs WHERE starts_with(subsystem, 'com.app')
             AND eventType <> 'signpostEvent'
             AND timestamp <= (SELECT arg_min(timestamp, seq) FROM logs) + INTERVAL 3 DAY ORDER BY seq LIMIT 100)

@@ -45,13 +45,16 @@ def with_neighbours(
 
     def step(rows: DataFrame, width: int | None) -> DataFrame:
         window = _window(keys, F.col(order), width)
-        before, after = F.lag(packed(previous)).over(window), F.lead(packed(following)).over(window)
+        before, after = F.lag("_previous").over(window), F.lead("_following").over(window)
         if "_before" in rows.columns:
             before, after = F.coalesce("_before", before), F.coalesce("_after", after)
         return rows.withColumns({"_before": before, "_after": after})
 
+    # Packed once, below the first shuffle: all levels then need the same columns, whatever is
+    # pruned above, and the rows settled on one level and those passed on share its shuffle.
+    rows = df.withColumns({"_previous": packed(previous), "_following": packed(following)})
     settled = F.col("_before").isNotNull() & F.col("_after").isNotNull()
-    rows, parts = df, []
+    parts = []
     for width in bits:
         rows = step(rows, width)
         parts.append(rows.where(settled))
@@ -140,41 +143,26 @@ def relative_time(logs: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def key_of(columns: tuple[str, ...]) -> Column:
-    """Grouping columns as one that is never null, so that null keys join like any other.
-
-    It also keeps the optimizer from inferring `IS NOT NULL` filters for one side of a join
-    only, after which the two sides no longer share a shuffle.
-    """
-    return F.struct(*columns) if columns else F.lit(0)
-
-
-LEAST = -(1 << 63)
-
-
 def rank_rows(
     df: DataFrame,
     order: Column,
-    ties: tuple[Column, ...] = (),
-    keys: tuple[str, ...] = (),
     rank: str = "rank",
     total: str | None = None,
     limit: int | None = None,
     tail: int = 0,
     bits: tuple[int, int] = SLICE_BITS,
 ) -> DataFrame:
-    """Number the rows of each key from 1 along the BIGINT `order` (null first), then `ties`.
+    """Number all rows from 1 along a unique BIGINT `order`.
 
     Counts per slice give the number of rows before each slice; numbering within slices does
-    the rest. With `limit`, only the first `limit` and the last `tail` rows of each key are
-    kept, and only the slices holding those are read again after the counting pass, which
-    itself needs few columns. `total` names a column for the number of rows of the key.
+    the rest. With `limit`, only the first `limit` and the last `tail` rows are kept, and only
+    the slices holding those are read again after the counting pass, which itself needs few
+    columns. `total` names a column for the number of all rows.
     """
     narrow, wide = bits
-    order = F.coalesce(order, F.lit(LEAST))
-    rows = df.withColumns({"_key": key_of(keys), "_group": F.shiftright(order, wide), "_slice": F.shiftright(order, narrow)})
-    slices = rows.groupBy("_key", "_group", "_slice").agg(F.count("*").alias("_rows"))
-    groups = slices.groupBy("_key", "_group").agg(F.sum("_rows").alias("_rows"))
+    rows = df.withColumns({"_group": F.shiftright(order, wide), "_slice": F.shiftright(order, narrow)})
+    slices = rows.groupBy("_group", "_slice").agg(F.count("*").alias("_rows"))
+    groups = slices.groupBy("_group").agg(F.sum("_rows").alias("_rows"))
 
     def rows_before(window) -> Column:
         return F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
@@ -182,23 +170,23 @@ def rank_rows(
     def wanted(start: Column, length: Column) -> Column:
         return (start < limit) | (start + length > F.col("_total") - tail)
 
-    of_key = Window.partitionBy("_key").orderBy("_group")
-    whole = of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.withColumns({"_group_start": rows_before(of_key), "_total": F.sum("_rows").over(whole)})
+    along = Window.orderBy("_group")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.withColumns({"_group_start": rows_before(along), "_total": F.sum("_rows").over(whole)})
     if limit is not None:
         groups = groups.where(wanted(F.col("_group_start"), F.col("_rows")))
-    in_group = Window.partitionBy("_key", "_group").orderBy("_slice")
-    slices = slices.join(groups.drop("_rows"), ["_key", "_group"]).withColumn(
+    in_group = Window.partitionBy("_group").orderBy("_slice")
+    slices = slices.join(groups.drop("_rows"), "_group").withColumn(
         "_start", F.col("_group_start") + rows_before(in_group)
     )
     if limit is not None:
         slices = slices.where(wanted(F.col("_start"), F.col("_rows")))
-    slices = slices.select("_key", "_group", "_slice", "_start", "_total")
-    if limit is not None and not keys and limit + tail <= MOST_BROADCAST:
+    slices = slices.select("_group", "_slice", "_start", "_total")
+    if limit is not None and limit + tail <= MOST_BROADCAST:
         # Every slice has a row, so there are no more slices left than rows wanted.
         slices = F.broadcast(slices)
-    numbered = rows.join(slices, ["_key", "_group", "_slice"])
-    window = Window.partitionBy("_key", "_group", "_slice").orderBy(order, *ties)
+    numbered = rows.join(slices, ["_group", "_slice"])
+    window = Window.partitionBy("_group", "_slice").orderBy(order)
     numbered = numbered.withColumn(rank, F.col("_start") + F.row_number().over(window))
     if limit is not None:
         numbered = numbered.where((F.col(rank) <= limit) | (F.col(rank) > F.col("_total") - tail))

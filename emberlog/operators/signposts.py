@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import duration_us, format_ms, ms_from_us
 from emberlog.operators.filters import signposts_only
-from emberlog.operators.ordered import key_of, rank_rows, with_neighbours
+from emberlog.operators.ordered import with_neighbours
 
 PAIRING_KEY = ("pid", "signpostName", "signpostID")
 
@@ -92,6 +92,15 @@ def completed_union_open(completed: DataFrame, in_flight: DataFrame) -> DataFram
     return completed.unionByName(in_flight)
 
 
+def key_of(columns: tuple[str, ...]) -> Column:
+    """Grouping columns as one that is never null, so that null keys join like any other.
+
+    It also keeps the optimizer from inferring `IS NOT NULL` filters for one side of a join
+    only, after which the two sides no longer share a shuffle.
+    """
+    return F.struct(*columns) if columns else F.lit(0)
+
+
 def p50(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Exact median of a BIGINT column per key, as `low` and `high`: the middle two values.
 
@@ -174,33 +183,25 @@ def signpost_summary(intervals: DataFrame) -> DataFrame:
 
 
 def summaries_by_total(summary: DataFrame) -> DataFrame:
-    """Number the names by total duration, then name, both descending.
-
-    There is one row per name by now, so one task numbers them; counting them beforehand as
-    `rank_rows` does would pair all intervals twice.
-    """
-    order = Window.orderBy(F.coalesce("total_ms", F.lit(0.0)).desc(), F.col("name").desc())
-    return summary.withColumn("rank", F.row_number().over(order))
+    """Names ordered by total duration, then name, both descending."""
+    return summary.orderBy(F.coalesce("total_ms", F.lit(0.0)).desc(), F.col("name").desc())
 
 
 def intervals_by_start(intervals: DataFrame) -> DataFrame:
-    """Number the intervals by start; equal starts in arrival order."""
-    return rank_rows(intervals, F.unix_micros(F.col("start").cast("timestamp")), ties=(F.col("begin_seq"),))
+    """Intervals ordered by start; equal starts in arrival order.
+
+    A range sort on both, so even a start shared by very many intervals spreads out.
+    """
+    return intervals.orderBy("start", "begin_seq")
 
 
 def signpost_occurrences(intervals: DataFrame) -> DataFrame:
-    """One row per interval, numbered within its name in begin order.
+    """One row per interval, ordered by name and then in begin order.
 
     Flat rather than nested: a list per name would gather a hot name in one row.
     """
-    numbered = rank_rows(
-        intervals,
-        F.unix_micros(F.col("start").cast("timestamp")),
-        ties=(F.col("begin_seq"),),
-        keys=("name",),
-        rank="occurrence",
-    )
-    return numbered.select("name", "occurrence", "start", "duration_ms", "message")
+    ordered = intervals.orderBy("name", "start", "begin_seq")
+    return ordered.select("name", "start", "begin_seq", "duration_ms", "message")
 
 
 def _latest_message(moment: Column) -> Column:
@@ -236,7 +237,6 @@ def signpost_table(logs: DataFrame) -> DataFrame:
         return format_ms(F.round(F.col(column) * 1000).cast("long"))
 
     return named.select(
-        "rank",
         "name",
         "count",
         shown("p50_ms").alias("p50"),
