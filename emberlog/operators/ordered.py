@@ -4,7 +4,7 @@ Looking at the previous row, numbering rows or joining runs needs all rows in on
 a plain window over them puts everything (or one hot key) into one task. Here the order axis
 is cut into fixed-width slices instead. Each slice is a task of its own; what only the
 neighbours of a slice can settle, its first and last rows, goes on to the next, wider level.
-Orders are unique integers, so a slice of width 2**18 holds at most that many rows, and the
+Orders are unique integers, so a slice of width 2**16 holds at most that many rows, and the
 levels above hold two rows per slice.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import duration_us, relative_text
 
-# Slice widths as powers of two: 262 144 rows per slice, then about a million slices.
-SLICE_BITS = (18, 38)
+# Slice widths as powers of two: 65 536 rows per slice, then 262 144 slices.
+SLICE_BITS = (16, 34)
 
 # Most rows of a table of slices that is sent to every task: a few megabytes.
 MOST_BROADCAST = 100_100
