@@ -19,6 +19,8 @@ SLICE_BITS = (16, 34)
 # Most rows of a table of slices that is sent to every task: a few megabytes.
 MOST_BROADCAST = 100_100
 
+LEAST = -(1 << 63)
+
 
 def _window(keys, order: Column, bits: int | None):
     slices = [] if bits is None else [F.shiftright(order, bits)]
@@ -160,6 +162,9 @@ def rank_rows(
     columns. `total` names a column for the number of all rows.
     """
     narrow, wide = bits
+    # Never null, so that the joins below infer no filter for one of their sides only, after
+    # which the two would no longer share the counting pass.
+    order = F.coalesce(order, F.lit(LEAST))
     rows = df.withColumns({"_group": F.shiftright(order, wide), "_slice": F.shiftright(order, narrow)})
     slices = rows.groupBy("_group", "_slice").agg(F.count("*").alias("_rows"))
     groups = slices.groupBy("_group").agg(F.sum("_rows").alias("_rows"))

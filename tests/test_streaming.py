@@ -5,7 +5,7 @@ import random
 import time
 
 import pytest
-from rows import at, event, log_frame
+from rows import event, log_frame
 
 from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.ordered import dedup_consecutive
