@@ -18,6 +18,11 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared root."""
+    return f"{shared_root(spark).rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new folder below the shared root and read it back.
 
@@ -25,7 +30,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder stays until whoever owns the shared root clears it, as Spark's own checkpoints do.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, exact, mixing, simhash, templates
+from emberlog.llm import chat, decontaminate, exact, mixing, simhash, templates, tokens
+
+from emberlog.llm.common import shared_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +52,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The end of a text in the token files, and the vocabulary file's name among the public ones.
+END_ID, VOCABULARY = 1, "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "tokens")
+    tokens.write_tokens(_read(spark, sf_dir, "documents"), out, tokenizer_path(), END_ID)
+    return tokens.token_digest(spark, out)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -73,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
 }
 ORACLES: dict[str, str] = {}
