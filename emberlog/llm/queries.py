@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, exact, mixing, simhash, templates, tokens
+from emberlog.llm import chat, decontaminate, exact, mixing, simhash, substrings, suffixes, templates, tokens
 
 from emberlog.llm.common import shared_path
 
@@ -52,6 +52,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substrings.drop_repeated_words(_read(spark, sf_dir, "documents"), window=50)
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffixes.drop_repeated_bytes(_read(spark, sf_dir, "documents"), length=100)
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return made.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # The end of a text in the token files, and the vocabulary file's name among the public ones.
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
 
@@ -92,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
 }
