@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, exact, mixing, simhash, substrings, suffixes, templates, tokens
+from emberlog.llm import chat, decontaminate, exact, mixing, simhash, substrings, suffixes, templates, tokens, toxicity
 
 from emberlog.llm.common import shared_path
 
@@ -97,6 +97,22 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Scores from here on count as toxic.
+TOXIC_FROM = 0.3
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -107,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
