@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, exact, mixing, simhash, substrings, suffixes, templates, tokens, toxicity
+from emberlog.llm import chat, decontaminate, exact, mixing, oracles, simhash, substrings, suffixes, templates, tokens, toxicity
 
 from emberlog.llm.common import shared_path
 
@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_dedup(_read(spark, sf_dir, "documents"))
+    return exact.exact_dedup(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": oracles.EXACT,
+    "op3_line_dedup": oracles.LINES,
+    "op4_mixing": oracles.MIXING,
+    "op5_decontamination": oracles.CONTAMINATION,
+    "op6_substring_dedup": oracles.WORD_WINDOWS,
+    "op9_chat_formatting": oracles.CHATS,
+}

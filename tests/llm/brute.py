@@ -147,3 +147,32 @@ def chats(rows):
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         out.append((conv, len(turns), sha(told.encode()), len(loss), sha(loss.encode())))
     return out
+
+
+def recurring_lines(docs, min_docs=3, depth=3, similarity=0.7):
+    """(doc_id, n_lines, dropped) per row."""
+
+    def masked(line):
+        tokens = [t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
+        return " ".join("<*>" if re.search("[0-9]", t) else t for t in tokens)
+
+    lines = [[masked(line) for line in (t or "").split("\n")] for _, t in docs]
+    counts = defaultdict(int)
+    for own in lines:
+        for m in set(own) - {""}:
+            counts[m] += 1
+    leaves = defaultdict(list)
+    for m in counts:
+        tokens = m.split(" ")
+        leaves[len(tokens), " ".join(tokens[:depth])].append(m)
+    totals, template = defaultdict(int), {}
+    for leaf in leaves.values():
+        leader = min(leaf, key=lambda m: (-counts[m], m.encode()))
+        for m in leaf:
+            equal = sum(a == b for a, b in zip(m.split(" "), leader.split(" ")))
+            template[m] = leader if equal >= similarity * len(m.split(" ")) else m
+            totals[template[m]] += counts[m]
+    return [
+        (i, len(own), [k for k, m in enumerate(own) if m and totals[template[m]] >= min_docs])
+        for (i, _), own in zip(docs, lines)
+    ]
