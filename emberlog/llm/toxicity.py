@@ -21,8 +21,8 @@ EDGES = b".,;:!?\"'()[]{}<>*-_=/\\"
 # Bounds of the sample that the model is fitted on: rows of either label, windows of a clean row.
 MOST_TOXIC, MOST_CLEAN, CLEAN_WINDOWS = 2000, 4000, 3
 FOLDS, EPOCHS, BATCH, RATE = 4, 8, 128, 0.01
-# Windows scored at once, and words whose features a worker keeps.
-SCORED, KNOWN_WORDS = 2048, 300_000
+# Windows scored at once, words looked up at once, and words whose features a worker keeps.
+SCORED, WORDS_AT_ONCE, KNOWN_WORDS = 2048, 1 << 16, 500_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -45,9 +45,10 @@ class Lexicon:
         begins = np.cumsum(self.length + 2) - self.length - 2
         self.grams, self.counts = [], []
         for n in GRAMS:
-            mixed = np.zeros(max(len(inside) - n + 1, 0), np.uint64)
+            places = max(len(inside) - n + 1, 0)
+            mixed = np.zeros(places, np.uint64)
             for k in range(n):
-                mixed = mixed * np.uint64(0x100000001B3) + inside[k : len(inside) - n + 1 + k] + np.uint64(n)
+                mixed = mixed * np.uint64(0x100000001B3) + inside[k : k + places] + np.uint64(n)
             mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)
             counts = np.maximum(self.length + 3 - n, 0)
             self.grams.append(mixed[_ranges(begins, counts)].astype(np.int64))
@@ -222,10 +223,9 @@ class Model:
         A toxic document teaches with its most suspicious window, a clean one with that and some
         others. With only one label, or none, everything scores the base rate.
         """
-        split = [words_of(t) for t in texts]
-        known = {w: k for k, w in enumerate(sorted({w for words in split for w in words}))}
+        known: dict[bytes, int] = {}
+        indices = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t in texts]
         lexicon = Lexicon(list(known))
-        indices = [np.array([known[w] for w in words], np.int64) for words in split]
         seen = [(*lexicon.ids_of(np.unique(index)), y) for index, y in zip(indices, labels)]
         base = (sum(labels) + 0.5) / (len(labels) + 5.0)
         network = Network()
@@ -234,7 +234,7 @@ class Model:
             for fold in range(FOLDS):
                 odds = Odds.fit([d for k, d in enumerate(seen) if k % FOLDS != fold])
                 table = odds.features(lexicon)
-                for k in range(fold, len(split), FOLDS):
+                for k in range(fold, len(indices), FOLDS):
                     if not len(indices[k]):
                         continue
                     rows = table[indices[k]]
@@ -268,6 +268,8 @@ class Scorer:
 
     def _indices(self, words: list[bytes]) -> np.ndarray:
         """Rows of the feature table, from 1; row 0 is padding."""
+        if len(self.rows) > KNOWN_WORDS:
+            self.forget()
         rows = self.rows
         found = list(map(rows.get, words))
         if None in found:
@@ -278,38 +280,45 @@ class Scorer:
             self.table[at : at + len(new)] = self.model.odds.features(Lexicon(new))
             rows.update(zip(new, range(at, at + len(new))))
             found = list(map(rows.get, words))
-        return np.array(found, np.int64)
+        return np.array(found, np.int32)
+
+    def _logits(self, index: np.ndarray) -> np.ndarray:
+        """Logits of windows of table rows, WINDOW of them each, some windows at a time."""
+        out = np.empty(len(index))
+        for at in range(0, len(index), SCORED):
+            part = index[at : at + SCORED].T
+            out[at : at + SCORED] = self.model.network.forward(self.table[part], (part > 0).astype(np.float32)[..., None])
+        return out
 
     def score(self, texts: Iterator[bytes | None], n: int) -> np.ndarray:
         """The greatest score of each text's windows; a text without words has the base rate."""
         scores = np.full(n, -np.inf)
-        held, owners, size = [], [], 0
+        owners: list[int] = []
+        sizes: list[int] = []
+        held: list[bytes] = []
 
         def flush() -> None:
-            index = np.concatenate(held)
-            x = self.table[index.T]
-            mask = (index.T > 0).astype(np.float32)[..., None]
-            logit = self.model.network.forward(x, mask)
-            np.maximum.at(scores, np.concatenate(owners), logit.astype(np.float64))
+            whole, windows, of = self._indices(held), [], []
+            begin = 0
+            for owner, size in zip(owners, sizes):
+                last = window_starts(size)[-1]
+                padded = np.zeros(last + WINDOW, np.int32)
+                padded[:size] = whole[begin : begin + size]
+                begin += size
+                windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
+                of.append(np.full(len(windows[-1]), owner))
+            np.maximum.at(scores, np.concatenate(of), self._logits(np.concatenate(windows)))
 
         for k, text in enumerate(texts):
-            if len(self.rows) > KNOWN_WORDS and not held:
-                self.forget()
             words = words_of(text)
             if not words:
                 continue
-            index = self._indices(words)
-            starts = window_starts(len(words))
-            padded = np.zeros(starts[-1] + WINDOW, np.int64)
-            padded[: len(index)] = index
-            windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
-            for at in range(0, len(windows), SCORED):
-                held.append(windows[at : at + SCORED])
-                owners.append(np.full(len(held[-1]), k))
-                size += len(held[-1])
-                if size >= SCORED:
-                    flush()
-                    held, owners, size = [], [], 0
+            owners.append(k)
+            sizes.append(len(words))
+            held += words
+            if len(held) >= WORDS_AT_ONCE:
+                flush()
+                owners, sizes, held = [], [], []
         if held:
             flush()
         return np.where(np.isneginf(scores), self.model.base, 1 / (1 + np.exp(-np.clip(scores, -50, 50))))

@@ -272,6 +272,12 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3, name
 
 
+def test_lexicon_of_short_words():
+    odds = toxicity.Odds(np.ones(toxicity.BUCKETS, np.float32), np.ones(toxicity.BUCKETS, np.float32))
+    for words in ([b"a"], [b"?"], [b"a", b"bc", b"a longer one"], [b"\xc3\xa9"]):
+        assert odds.features(toxicity.Lexicon(words)).shape == (len(words), toxicity.FEATURES)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     bad = ["grubwort", "schnodder", "mufflon"]
@@ -283,7 +289,7 @@ def test_toxicity_held_out(spark):
             words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "s", "ing", "est"]))
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    rows += [(None, None), (5000, ""), (5001, " \n")]
+    rows += [(None, None), (5000, ""), (5001, " \n"), (5002, "a"), (5003, "?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     known = spark.createDataFrame(labels + [(7, None), (None, 1), (99999, 1)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, known)
