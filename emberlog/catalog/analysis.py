@@ -75,7 +75,7 @@ def _empty_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = []
     for name, (spec, last) in cases.items():
         counted = scan_filter(logs, spec).agg(F.count("*").alias("count"))
-        answers.append(limits.empty_hint(counted, spec, last).select(F.lit(name).alias("case"), "count", "hint"))
+        answers.append(limits.empty_hint(counted, spec, last).select(F.lit(name).alias("case"), "count", "hint_code"))
     result = answers[0]
     for answer in answers[1:]:
         result = result.unionByName(answer)
@@ -88,11 +88,11 @@ def _union_again(logs: DataFrame) -> DataFrame:
 
 
 def _report(logs: DataFrame) -> DataFrame:
-    return signpost_report(logs, FilterSpec(subsystem="com.app.net", level="fault", signpost=True)).header
+    return signpost_report(logs, FilterSpec(subsystem="com.app.net", level="fault", signpost=True)).header.drop("hint")
 
 
 def _report_empty(logs: DataFrame) -> DataFrame:
-    return signpost_report(logs, NOTHING, mode="stream").header
+    return signpost_report(logs, NOTHING, mode="stream").header.drop("hint")
 
 
 def _report_intervals(logs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _report_intervals(logs: DataFrame) -> DataFrame:
 
 
 MARKERS = {f"k{k}": f"|k={k}|" for k in (0, 7, 13, 42, 99)} | {"absent": "|never|"}
-CAPTURES = ["click", "view", "error", "nothing"]
+CAPTURES = ["click", "view", "signup", "purchase", "error", "nothing"]
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _benchmark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marker texts looked for in the whole text of every document, by language."""
     markers = {"the": " the ", "und": " und ", "brackets": "((", "copyright": "Copyright"}
-    return coverage_matrix(table(spark, sf_dir, "documents"), markers, ["en", "de", "fr"], source="lang")
+    return coverage_matrix(table(spark, sf_dir, "documents"), markers, ["en", "de", "fr", "es"], source="lang")
 
 
 LIVE = dict(started="2024-01-01 00:00:00")
@@ -124,7 +124,7 @@ QUERIES = {
     "top_processes": _on(lambda logs: summary.top_processes(logs, 3)),
     "top_subsystems": _on(summary.top_subsystems),
     "top_categories": _on(summary.top_categories),
-    "time_bounds": _on(lambda logs: summary.time_bounds(logs.where("pid = 1003"))),
+    "time_bounds": _on(summary.time_bounds),
     "result_summary": _on(lambda logs: summary.result_summary(logs, 4).select("count", *_summary_columns())),
     "result_summary_empty": _on(
         lambda logs: summary.result_summary(logs.where("pid < 0")).select("count", *_summary_columns())
@@ -174,20 +174,29 @@ QUERIES = {
     ),
     "limit_n": _on(lambda logs: limits.limit_n(logs.where(grep("e.*r")), 321).select("seq", "message")),
     "scan_ceiling": _on(lambda logs: limits.scan_ceiling(logs, 5000).select("seq", "rank", "scan_capped")),
-    "head_tail": _on(lambda logs: limits.head_tail(logs.where("pid = 1002")).select("seq", "position", "truncated")),
+    "head_tail": _on(lambda logs: limits.head_tail(logs, 50, 10).select("seq", "position", "truncated")),
     "list_head_tail": _on(
-        lambda customers: limits.list_head_tail(customers.select("c_name", "c_custkey"), ["c_name"]),
+        lambda customers: limits.list_head_tail(customers.select("c_name", "c_custkey"), ["c_name"], 50, 10),
         lambda spark, sf_dir: table(spark, sf_dir, "customer"),
     ),
     "result_envelope": _on(
         lambda logs: _shown_envelope(
-            result_envelope(scan_filter(logs, FilterSpec(level="default")), limit=200, ceiling=4000),
+            result_envelope(scan_filter(logs, FilterSpec(level="default")), threshold=50, k=10),
             "count", "scan_capped", "next_since", "hint",
         )
     ),
+    "result_envelope_ceiling": _on(
+        lambda logs: _shown_envelope(
+            result_envelope(scan_filter(logs, FilterSpec(level="default")), limit=200, ceiling=4000, threshold=50, k=10),
+            "count", "scan_capped", "next_since", "hint",
+        )
+    ),
+    "result_envelope_plain": _on(
+        lambda logs: result_envelope(logs).select("count", "scan_capped", "truncated", "next_since", *_summary_columns("summary"))
+    ),
     "result_envelope_full": _on(
         lambda logs: _shown_envelope(
-            result_envelope(logs.where("pid = 1004"), limit=120, full=True), "count", "scan_capped", "next_since", "hint"
+            result_envelope(logs, limit=120, full=True), "count", "scan_capped", "next_since", "hint"
         )
     ),
     "result_envelope_summary_only": _on(
@@ -196,9 +205,9 @@ QUERIES = {
         )
     ),
     "result_envelope_empty": _on(
-        lambda logs: _shown_envelope(result_envelope(scan_filter(logs, NOTHING), spec=NOTHING), "count", "next_since", "hint")
+        lambda logs: _shown_envelope(result_envelope(scan_filter(logs, NOTHING), threshold=50, k=10, spec=NOTHING), "count", "next_since", "hint_code")
     ),
-    "retained_rows": _on(lambda logs: retained_rows(logs.where("level = 'Error'")).select("seq", "message")),
+    "retained_rows": _on(lambda logs: retained_rows(logs, 500).select("seq", "message")),
     "empty_hint": _empty_hint,
     "next_since": _on(limits.next_since),
     "tail_cursor": _on(lambda logs: limits.tail_cursor(logs, "2024-01-28 10:00:00").select("seq", "timestamp")),
@@ -208,20 +217,20 @@ QUERIES = {
         ).select("seq", "message", "stop_reason")
     ),
     "bounded_capture_time": _on(
-        lambda logs: bounded_capture(logs.where("pid = 1005"), capture="72h").select("seq", "stop_reason")
+        lambda logs: bounded_capture(logs, capture="72h").select("seq", "stop_reason")
     ),
     "bounded_capture_timeout": _on(
-        lambda logs: capture_status(logs.where("timestamp > TIMESTAMP_NTZ '2024-01-03 00:00:00'"), timeout="24h", **LIVE)
+        lambda logs: capture_status(logs, timeout="24h", started="2023-12-25 00:00:00")
     ),
     "capture_report": _on(
         lambda logs: _shown_envelope(
-            capture_report(logs, FilterSpec(subsystem="com.app"), count=100, timeout=3 * 86400),
+            capture_report(logs, FilterSpec(subsystem="com.app"), count=100, timeout=3 * 86400, threshold=50, k=10),
             "captured", "requested", "stopped_by",
         )
     ),
     "capture_report_timeout": _on(
         lambda logs: _shown_envelope(
-            capture_report(logs, FilterSpec(process="finder,Finder"), timeout=7200), "captured", "requested", "stopped_by"
+            capture_report(logs, FilterSpec(process="finder,Finder"), timeout=7200, threshold=50, k=10), "captured", "requested", "stopped_by"
         )
     ),
     "coverage_matrix": _on(lambda lines: coverage_matrix(lines, MARKERS, CAPTURES), _captures),
@@ -320,16 +329,18 @@ def _summary_sql(rows: str, n: int = 10, empty: str = "''") -> str:
         {listed('category')} AS top_categories"""
 
 
-def _envelope_sql(rows: str, limit: int, full: bool = False) -> str:
-    """Truncation, summary and samples of `rows`, of which `limit` are retained."""
-    kept = f"(SELECT *, row_number() OVER (ORDER BY seq) AS nth FROM {rows} ORDER BY seq LIMIT {limit})"
-    size = f"least({limit}, (SELECT count(*) FROM {rows}))"
+def _envelope_sql(rows: str, limit: int | None = None, full: bool = False) -> str:
+    """Truncation, summary and samples of `rows`, of which `limit` (or all) are retained."""
+    first = f" ORDER BY seq LIMIT {limit}" if limit else ""
+    kept = f"(SELECT *, row_number() OVER (ORDER BY seq) AS nth FROM {rows}{first})"
+    everything = f"(SELECT count(*) FROM {rows})"
+    size = f"least({limit}, {everything})" if limit else everything
     cut = "false" if full else f"({size} > 50)"
 
     def listed(condition: str) -> str:
         return f"(SELECT string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FROM {kept} WHERE {condition})"
 
-    return f"""{cut} AS truncated, {_summary_sql(rows, empty='NULL')},
+    return f"""(CASE WHEN {cut} THEN least(20, {size}) ELSE {size} END < {everything}) AS truncated, {_summary_sql(rows, empty='NULL')},
         CASE WHEN NOT {cut} THEN coalesce({listed('true')}, '') END AS entries,
         CASE WHEN {cut} THEN {listed('nth <= 10')} END AS head,
         CASE WHEN {cut} THEN {listed(f'nth > {size} - 10')} END AS tail"""
@@ -346,8 +357,7 @@ ORACLES = {
     "top_processes": f"{LOGS_CTE} {_top_sql('processName', 3)}",
     "top_subsystems": f"{LOGS_CTE} {_top_sql('subsystem', 10)}",
     "top_categories": f"{LOGS_CTE} {_top_sql('category', 10)}",
-    "time_bounds": f"""{LOGS_CTE} SELECT arg_min(timestamp, seq) AS "start", arg_max(timestamp, seq) AS "end"
-        FROM logs WHERE pid = 1003""",
+    "time_bounds": f"""{LOGS_CTE} SELECT arg_min(timestamp, seq) AS "start", arg_max(timestamp, seq) AS "end" FROM logs""",
     "result_summary": f"{LOGS_CTE} SELECT (SELECT count(*) FROM logs) AS count, {_summary_sql('logs', 4)}",
     "result_summary_empty": f"""{LOGS_CTE}, none AS (SELECT * FROM logs WHERE pid < 0)
         SELECT (SELECT count(*) FROM none) AS count, {_summary_sql('none')}""",
@@ -369,14 +379,9 @@ ORACLES = {
     "last_args": f"{_PAIRED} SELECT name, last_args FROM summaries",
     "signpost_totals": f"{_PAIRED} SELECT * FROM totals",
     "signpost_table": f"""{_PAIRED} SELECT name, count, {_ms('p50_us')} AS p50, {_ms('max_us')} AS max, {_ms('total_us')} AS total, last_args FROM summaries""",
-    "signpost_footer": f"""{_PAIRED} SELECT 'note: ' || nullif(concat_ws(', ',
-            CASE WHEN in_flight > 0 THEN in_flight || ' in-flight (begin with no end)' END,
-            CASE WHEN orphan_ends > 0 THEN orphan_ends || ' orphaned end' || CASE WHEN orphan_ends = 1 THEN '' ELSE 's' END
-                || ' (end with no begin)' END), '') AS note FROM totals""",
-    "signpost_report": f"{_NET} SELECT *, 'show' AS mode, CAST(NULL AS VARCHAR) AS hint FROM totals",
-    "signpost_report_empty": f"""{_NOWHERE} SELECT *, 'stream' AS mode, CASE WHEN count = 0 THEN
-        'No signpost intervals captured. Confirm that the process emits intervals under this subsystem and category, '
-        || 'and that it was exercised during the capture.' END AS hint FROM totals""",
+    "signpost_footer": f"{_PAIRED} SELECT in_flight, orphan_ends FROM totals",
+    "signpost_report": f"{_NET} SELECT *, 'show' AS mode, CAST(NULL AS VARCHAR) AS hint_code FROM totals",
+    "signpost_report_empty": f"""{_NOWHERE} SELECT *, 'stream' AS mode, CASE WHEN count = 0 THEN 'nothing_paired' END AS hint_code FROM totals""",
     "signpost_report_intervals": f"{_NET} SELECT {_SUMMARY} FROM summaries ORDER BY coalesce(total_us, 0) DESC, name DESC",
     "p50": """WITH ordered AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS nth,
             count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
@@ -391,7 +396,7 @@ ORACLES = {
     "scan_ceiling": f"""{LOGS_CTE} SELECT seq, row_number() OVER (ORDER BY seq) AS rank,
         (SELECT count(*) FROM logs) >= 5000 AS scan_capped FROM logs ORDER BY seq LIMIT 5000""",
     "head_tail": f"""{LOGS_CTE}, kept AS (SELECT seq, row_number() OVER (ORDER BY seq) AS nth, count(*) OVER () AS n
-            FROM logs WHERE pid = 1002)
+            FROM logs)
         SELECT seq, CASE WHEN n <= 50 THEN 'inline' WHEN nth <= 10 THEN 'head' ELSE 'tail' END AS position, n > 50 AS truncated
         FROM kept WHERE n <= 50 OR nth <= 10 OR nth > greatest(n - 10, 10)""",
     "list_head_tail": """WITH kept AS (SELECT c_name, c_custkey, row_number() OVER (ORDER BY c_name) AS nth,
@@ -399,27 +404,34 @@ ORACLES = {
         SELECT c_name, c_custkey, CASE WHEN n <= 50 THEN 'inline' WHEN nth <= 10 THEN 'head' ELSE 'tail' END AS position,
             n > 50 AS truncated FROM kept WHERE n <= 50 OR nth <= 10 OR nth > greatest(n - 10, 10)""",
     "result_envelope": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs WHERE level IN ('Default', 'Error', 'Fault')
+            ORDER BY seq)
+        SELECT (SELECT count(*) FROM seen) AS count, false AS scan_capped,
+            {_NEXT.format(rows='seen')}, CAST(NULL AS VARCHAR) AS hint, {_envelope_sql('seen')}""",
+    "result_envelope_ceiling": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs WHERE level IN ('Default', 'Error', 'Fault')
             ORDER BY seq LIMIT 4000)
         SELECT (SELECT count(*) FROM seen) AS count, (SELECT count(*) FROM seen) >= 4000 AS scan_capped,
             {_NEXT.format(rows='seen')}, CAST(NULL AS VARCHAR) AS hint, {_envelope_sql('seen', 200)}""",
-    "result_envelope_full": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs WHERE pid = 1004 ORDER BY seq LIMIT 100000)
-        SELECT (SELECT count(*) FROM seen) AS count, (SELECT count(*) FROM seen) >= 100000 AS scan_capped,
+    "result_envelope_plain": f"""{LOGS_CTE}
+        SELECT (SELECT count(*) FROM logs) AS count, false AS scan_capped, (SELECT count(*) FROM logs) > 0 AS truncated,
+            {_NEXT.format(rows='logs')}, {_summary_sql('logs')}""",
+    "result_envelope_full": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs)
+        SELECT (SELECT count(*) FROM seen) AS count, false AS scan_capped,
             {_NEXT.format(rows='seen')}, CAST(NULL AS VARCHAR) AS hint, {_envelope_sql('seen', 120, full=True)}""",
-    "result_envelope_summary_only": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs ORDER BY seq LIMIT 100000)
-        SELECT (SELECT count(*) FROM seen) AS count, (SELECT count(*) FROM seen) >= 100000 AS scan_capped,
+    "result_envelope_summary_only": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs)
+        SELECT (SELECT count(*) FROM seen) AS count, false AS scan_capped,
             {_NEXT.format(rows='seen')}, {_summary_sql('seen')}""",
     "result_envelope_empty": f"""{LOGS_CTE}, seen AS (SELECT * FROM logs WHERE starts_with(subsystem, 'com.nowhere'))
         SELECT (SELECT count(*) FROM seen) AS count, {_NEXT.format(rows='seen')},
-            CASE WHEN NOT EXISTS (FROM seen) THEN '{limits.HINT_SUBSYSTEM}' END AS hint, {_envelope_sql('seen', 500)}""",
-    "retained_rows": f"{LOGS_CTE} SELECT seq, message FROM logs WHERE level = 'Error' ORDER BY seq LIMIT 500",
+            CASE WHEN NOT EXISTS (FROM seen) THEN 'not_persisted' END AS hint_code, {_envelope_sql('seen')}""",
+    "retained_rows": f"{LOGS_CTE} SELECT seq, message FROM logs ORDER BY seq LIMIT 500",
     "empty_hint": f"""{LOGS_CTE}
-        SELECT 'subsystem' AS "case", count(*) AS count, CASE WHEN count(*) = 0 THEN '{limits.HINT_SUBSYSTEM}' END AS hint
+        SELECT 'subsystem' AS "case", count(*) AS count, CASE WHEN count(*) = 0 THEN 'not_persisted' END AS hint_code
             FROM logs WHERE starts_with(subsystem, 'com.nowhere')
-        UNION ALL SELECT 'process', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_PROCESS}' END
+        UNION ALL SELECT 'process', count(*), CASE WHEN count(*) = 0 THEN 'process_only' END
             FROM logs WHERE lower(processName) = 'nobody'
-        UNION ALL SELECT 'short', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_SHORT_RANGE}' END
+        UNION ALL SELECT 'short', count(*), CASE WHEN count(*) = 0 THEN 'short_range' END
             FROM logs WHERE pid = -1
-        UNION ALL SELECT 'found', count(*), CASE WHEN count(*) = 0 THEN '{limits.HINT_SHORT_RANGE}' END
+        UNION ALL SELECT 'found', count(*), CASE WHEN count(*) = 0 THEN 'short_range' END
             FROM logs WHERE pid = 1001""",
     "next_since": f"{LOGS_CTE} SELECT {_NEXT.format(rows='logs')}",
     "tail_cursor": f"{LOGS_CTE} SELECT seq, timestamp FROM logs WHERE timestamp >= TIMESTAMP '2024-01-28 10:00:00'",
@@ -430,24 +442,24 @@ ORACLES = {
             WHEN (SELECT count(*) FROM matching) > (SELECT count(*) FROM inside) THEN 'capture' ELSE 'exhausted' END AS stop_reason
         FROM inside WHERE (SELECT arg_min(timestamp, seq) FROM matching) <= TIMESTAMP '2024-01-01 01:00:00'
         ORDER BY seq LIMIT 150""",
-    "bounded_capture_time": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs WHERE pid = 1005)
+    "bounded_capture_time": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs)
         SELECT seq, 'capture' AS stop_reason FROM matching
         WHERE timestamp <= (SELECT arg_min(timestamp, seq) FROM matching) + INTERVAL 72 HOUR""",
-    "bounded_capture_timeout": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs WHERE timestamp > TIMESTAMP '2024-01-03 00:00:00'),
-        first AS (SELECT arg_min(timestamp, seq) > TIMESTAMP '2024-01-02 00:00:00' AS late, count(*) AS n FROM matching)
+    "bounded_capture_timeout": f"""{LOGS_CTE}, matching AS (SELECT * FROM logs),
+        first AS (SELECT arg_min(timestamp, seq) > TIMESTAMP '2023-12-26 00:00:00' AS late, count(*) AS n FROM matching)
         SELECT CASE WHEN late THEN 0 ELSE n END AS captured, CASE WHEN late THEN 'timeout' ELSE 'exhausted' END AS stop_reason
         FROM first""",
     "capture_report": f"""{LOGS_CTE}, inside AS (SELECT * FROM logs WHERE starts_with(subsystem, 'com.app')
             AND eventType <> 'signpostEvent'
             AND timestamp <= (SELECT arg_min(timestamp, seq) FROM logs) + INTERVAL 3 DAY ORDER BY seq LIMIT 100)
-        SELECT (SELECT count(*) FROM inside) AS captured, 100 AS requested,
+        SELECT (SELECT count(*) FROM inside) AS captured, CAST(100 AS BIGINT) AS requested,
             CASE WHEN (SELECT count(*) FROM inside) >= 100 THEN 'count' ELSE 'timeout' END AS stopped_by,
-            {_envelope_sql('inside', 100)}""",
+            {_envelope_sql('inside')}""",
     "capture_report_timeout": f"""{LOGS_CTE}, inside AS (SELECT * FROM logs WHERE processName = 'Finder'
             AND eventType <> 'signpostEvent' AND level NOT IN ('Debug', 'Info')
-            AND timestamp <= (SELECT arg_min(timestamp, seq) FROM logs) + INTERVAL 2 HOUR ORDER BY seq LIMIT 1000)
-        SELECT (SELECT count(*) FROM inside) AS captured, 1000 AS requested, 'timeout' AS stopped_by,
-            {_envelope_sql('inside', 1000)}""",
+            AND timestamp <= (SELECT arg_min(timestamp, seq) FROM logs) + INTERVAL 2 HOUR)
+        SELECT (SELECT count(*) FROM inside) AS captured, CAST(NULL AS BIGINT) AS requested, 'timeout' AS stopped_by,
+            {_envelope_sql('inside')}""",
     "coverage_matrix": f"""WITH lines AS ({_MARKED}), markers(marker, sought) AS (VALUES {_MARKER_ROWS})
         SELECT marker, {', '.join(
             f"CASE WHEN bool_or(source = '{name}' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS {name}"
@@ -457,7 +469,8 @@ ORACLES = {
             VALUES ('the', ' the '), ('und', ' und '), ('brackets', '(('), ('copyright', 'Copyright'))
         SELECT marker, CASE WHEN bool_or(lang = 'en' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS en,
             CASE WHEN bool_or(lang = 'de' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS de,
-            CASE WHEN bool_or(lang = 'fr' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS fr
+            CASE WHEN bool_or(lang = 'fr' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS fr,
+            CASE WHEN bool_or(lang = 'es' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS es
         FROM documents, markers GROUP BY marker""",
     "redaction_check": f"""WITH lines AS ({_MARKED}), markers(marker, sought) AS (VALUES {_MARKER_ROWS})
         SELECT source, marker, bool_or(contains(text, sought)) AS present,

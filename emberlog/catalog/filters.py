@@ -37,8 +37,8 @@ def _filtered(operator):
 
 
 def _chain() -> Column:
-    chain = f.FilterChain().process("finder").pid(1000).subsystem("com.app", match_prefix=True)
-    return chain.minimum_level("default").exclude_message_regex("^sign").column()
+    parts = [f.process_ci("finder"), f.pid_eq(1000), f.subsystem_prefix(["com.app"])]
+    return f.filter_chain([*parts, f.min_level("default"), f.exclude_grep("^sign")])
 
 
 PROFILES = {

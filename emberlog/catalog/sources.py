@@ -24,6 +24,8 @@ from emberlog.streaming.signposts import signposts_result, stream_signposts
 from emberlog.streaming.summary import write_summary
 from emberlog.streaming.tail import stream_table, stream_tail
 
+# What may follow an object so that its line is none: text, and ways to close the list it is read in.
+CLOSED = (" tail", "]} tail", "]}", '],"x":[1')
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -55,7 +57,7 @@ def _raw_json(logs: DataFrame) -> DataFrame:
         .when(kind == 13, F.regexp_replace("line", '"eventType":"[a-zA-Z]+"', '"eventType":5'))
         .when(kind == 19, F.regexp_replace("line", '"timestamp":"[^"]*",', ""))
         .when(kind == 25, F.lit("  \t "))
-        .when(kind == 31, F.concat("line", F.lit(" tail")))
+        .when(kind == 31, F.concat("line", F.element_at(F.array(*map(F.lit, CLOSED)), F.col("seq").cast("int") % 4 + 1)))
         .otherwise(F.concat(F.lit("  "), "line"))
     )
     return logs.withColumn("line", line).select("seq", spoiled.alias("value"))

@@ -89,51 +89,6 @@ def any_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates) if predicates else F.lit(True)
 
 
-@dataclass(frozen=True)
-class FilterChain:
-    """An immutable AND of predicates with chainable builders; empty lets everything pass."""
-
-    predicates: tuple = ()
-
-    def add(self, predicate: Column) -> "FilterChain":
-        return FilterChain(self.predicates + (predicate,))
-
-    def process(self, name: str) -> "FilterChain":
-        return self.add(process_ci(name))
-
-    def pid(self, pid: int) -> "FilterChain":
-        return self.add(pid_eq(pid))
-
-    def subsystem(self, subsystem: str, match_prefix: bool = False) -> "FilterChain":
-        return self.add(subsystem_prefix([subsystem]) if match_prefix else subsystem_exact(subsystem))
-
-    def category(self, category: str) -> "FilterChain":
-        return self.add(category_eq([category]))
-
-    def minimum_level(self, level: str) -> "FilterChain":
-        return self.add(min_level(level))
-
-    def message_regex(self, pattern: str) -> "FilterChain":
-        check_regex(pattern, "grep")
-        return self.add(grep(pattern))
-
-    def exclude_message_regex(self, pattern: str) -> "FilterChain":
-        check_regex(pattern, "exclude_grep")
-        return self.add(exclude_grep(pattern))
-
-    def clear(self) -> "FilterChain":
-        return FilterChain()
-
-    def __len__(self) -> int:
-        return len(self.predicates)
-
-    def column(self) -> Column:
-        return filter_chain(list(self.predicates))
-
-    def apply(self, logs: DataFrame) -> DataFrame:
-        return logs.where(self.column()) if self.predicates else logs
-
-
 def filter_chain(predicates: list[Column]) -> Column:
     """AND; an empty chain lets everything pass."""
     return reduce(lambda a, b: a & b, predicates) if predicates else F.lit(True)

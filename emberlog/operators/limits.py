@@ -5,12 +5,6 @@ from pyspark.sql import functions as F
 
 from emberlog.operators.ordered import rank_rows
 
-# Result sizes a query has unless told otherwise.
-SCAN_CEILING = 100_000
-RETAINED = 500
-INLINE_THRESHOLD = 50
-SAMPLE = 10
-
 
 def _positive(n: int, name: str) -> int:
     if n <= 0:
@@ -28,7 +22,7 @@ def last_n(logs: DataFrame, n: int) -> DataFrame:
     return rank_rows(logs, -F.col("seq"), limit=_positive(n, "limit")).drop("rank")
 
 
-def scan_ceiling(logs: DataFrame, ceiling: int = SCAN_CEILING) -> DataFrame:
+def scan_ceiling(logs: DataFrame, ceiling: int) -> DataFrame:
     """The first `ceiling` rows, numbered, and whether the ceiling was reached.
 
     Reaching it counts even if the input ends right there.
@@ -37,9 +31,7 @@ def scan_ceiling(logs: DataFrame, ceiling: int = SCAN_CEILING) -> DataFrame:
     return seen.withColumn("scan_capped", F.col("_all") >= ceiling).drop("_all")
 
 
-def head_tail(
-    logs: DataFrame, threshold: int = INLINE_THRESHOLD, k: int = SAMPLE, full: bool = False
-) -> DataFrame:
+def head_tail(logs: DataFrame, threshold: int, k: int, full: bool = False) -> DataFrame:
     """Sample of a result: all rows up to `threshold` (or with `full`), else the first and last k.
 
     Adds `position` (`inline`, `head` or `tail`) and `truncated`.
@@ -50,9 +42,7 @@ def head_tail(
     return _sampled(ends, threshold, k)
 
 
-def list_head_tail(
-    df: DataFrame, order: list[str], threshold: int = INLINE_THRESHOLD, k: int = SAMPLE, full: bool = False
-) -> DataFrame:
+def list_head_tail(df: DataFrame, order: list[str], threshold: int, k: int, full: bool = False) -> DataFrame:
     """`head_tail` for any table; `order` names columns (ascending) that identify a row.
 
     For lists such as the process inventory. Both ends come from top-k sorts, and only they
@@ -95,26 +85,28 @@ def tail_cursor(logs: DataFrame, since=None) -> DataFrame:
     return logs.where(F.col("timestamp") >= F.lit(since).cast(logs.schema["timestamp"].dataType))
 
 
-# Why a query may have found nothing.
-HINT_SUBSYSTEM = (
-    "No events matched. Custom subsystems often emit only debug events, which are not persisted by default: "
-    "capture live, or enable persistence for the subsystem."
-)
-HINT_PROCESS = (
-    "No events matched. Process-only queries see only default and higher persistent events. "
-    "If you control the application, filter by its subsystem and capture live for debug events."
-)
-HINT_SHORT_RANGE = "No events matched. Try widening the time range (for example 5m or 1h)."
+# Reasons for an empty answer, and what to do about each.
+HINTS = {
+    "not_persisted": "Nothing is stored for this subsystem at the usual levels; try a live capture.",
+    "process_only": "A process alone selects stored rows of the upper levels; add its subsystem.",
+    "short_range": "The time range is short; a longer one may hold rows.",
+}
 
 
 def empty_hint(counted: DataFrame, spec, last: str | None = None, count: str = "count") -> DataFrame:
-    """Add `hint` to a counted result: the likeliest reason when the count is 0, else null."""
+    """Add `hint_code` and `hint` to a counted result: the likeliest reason when the count is 0."""
     if spec.subsystem and spec.level is None:
-        reason = HINT_SUBSYSTEM
+        code = "not_persisted"
     elif spec.process and not spec.subsystem:
-        reason = HINT_PROCESS
+        code = "process_only"
     elif last is not None and (last.endswith("s") or last == "1m"):
-        reason = HINT_SHORT_RANGE
+        code = "short_range"
     else:
-        reason = None
-    return counted.withColumn("hint", F.when(F.col(count) == 0, F.lit(reason).cast("string")))
+        code = None
+    nothing = F.col(count) == 0
+    return counted.withColumns(
+        {
+            "hint_code": F.when(nothing, F.lit(code).cast("string")),
+            "hint": F.when(nothing, F.lit(HINTS.get(code)).cast("string")),
+        }
+    )

@@ -8,8 +8,6 @@ included. The lists are read off the combinations, not off the rows.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.schema import LEVELS
-
 TOP_N = 10
 DIMENSIONS = ["level", "processName", "subsystem", "category"]
 
@@ -47,7 +45,7 @@ def time_bounds(logs: DataFrame) -> DataFrame:
     return logs.agg(F.min_by("timestamp", "seq").alias("start"), F.max_by("timestamp", "seq").alias("end"))
 
 
-def combination_counts(logs: DataFrame, *more: Column) -> DataFrame:
+def combination_counts(logs: DataFrame) -> DataFrame:
     """Rows per (level, process, subsystem, category), with the first and last arrival."""
     return logs.groupBy(*DIMENSIONS).agg(
         F.count("*").alias("count"),
@@ -55,7 +53,6 @@ def combination_counts(logs: DataFrame, *more: Column) -> DataFrame:
         F.min_by("timestamp", "seq").alias("first_time"),
         F.max("seq").alias("last_seq"),
         F.max_by("timestamp", "seq").alias("last_time"),
-        *more,
     )
 
 
@@ -79,22 +76,19 @@ def summary_of(combinations: DataFrame, n: int = TOP_N) -> DataFrame:
     """The result summary of rows already counted by combination.
 
     One chain of aggregations from there on, with the totals as one more dimension: branches
-    for counts and bounds would each read the rows again. A column `samples` of arrays is
-    brought along, joined to one.
+    for counts and bounds would each read the rows again.
     """
-    sampled = "samples" in combinations.columns
     total = F.col("dimension") == "total"
-    samples = [F.flatten(F.collect_list(F.when(total, F.col("samples")))).alias("samples")] if sampled else []
     per_value = _unfolded(combinations, *DIMENSIONS, "total").groupBy("dimension", "name").agg(
         F.sum("count").alias("count"),
         F.min_by("first_time", "first_seq").alias("first_time"),
         F.max_by("last_time", "last_seq").alias("last_time"),
-        *samples,
     )
-    order = Window.partitionBy("dimension").orderBy(F.desc("count"), F.asc("name"))
-    # Each task drops what cannot be among the leaders before the shuffle. Levels are all told.
-    leaders = per_value.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(n, len(LEVELS)))
-    leaders = leaders.where((F.col("rank") <= n) | (F.col("dimension") == "level"))
+    # Every level is first in a group of its own, so all are told; of the other dimensions each
+    # task drops what cannot be among the leaders before the shuffle.
+    alone = F.when(F.col("dimension") == "level", F.col("name"))
+    order = Window.partitionBy("dimension", alone).orderBy(F.desc("count"), F.asc("name"))
+    leaders = per_value.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
     def buckets(dimension: str) -> Column:
         found = F.collect_list(F.when(F.col("dimension") == dimension, F.struct("rank", "name", "count")))
@@ -109,7 +103,6 @@ def summary_of(combinations: DataFrame, n: int = TOP_N) -> DataFrame:
         buckets("processName").alias("top_processes"),
         buckets("subsystem").alias("top_subsystems"),
         buckets("category").alias("top_categories"),
-        *([F.first(F.when(total, F.col("samples")), ignorenulls=True).alias("samples")] if sampled else []),
     )
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from emberlog.functions import duration_seconds
 from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.ordered import rank_rows
-from emberlog.plans.envelope import sampled_summary, summary_struct
+from emberlog.plans.envelope import retained_rows, sampled_summary, summary_struct
 
-# The most rows one capture takes, and how long it waits.
-MOST_ROWS = 1000
+# How long a capture waits unless told otherwise.
 WAIT_SECONDS = 30
 
 
@@ -89,28 +88,28 @@ def capture_report(
     count: int | None = None,
     timeout: float = WAIT_SECONDS,
     started=None,
-    full: bool = False,
+    threshold: int | None = None,
+    k: int | None = None,
 ) -> DataFrame:
     """One row: captured, requested, stopped_by, truncated, summary, entries or head and tail.
 
-    Takes the first `count` (at most 1000) matching rows within `timeout` seconds of
-    `started`, by default of the first row of all. `stopped_by` is `count`, else `timeout` if
-    rows went on arriving after that, else `exhausted`.
+    Takes the matching rows within `timeout` seconds of `started`, by default of the first row
+    of all: all of them, or the first `count`. `stopped_by` is `count`, else `timeout` if rows
+    went on arriving after that, else `exhausted`. Rows are shown as `threshold` and `k` ask
+    (see `sampled_summary`).
     """
-    if count is not None and not 0 < count <= MOST_ROWS:
-        raise ValueError(f"count must be between 1 and {MOST_ROWS}, got {count}")
-    requested = MOST_ROWS if count is None else count
+    if count is not None and count <= 0:
+        raise ValueError(f"count must be a positive integer, got {count}")
     kind = logs.schema["timestamp"].dataType
     begun = _first_time(logs) if started is None else F.lit(started).cast(kind)
     deadline = _later(begun, timeout)
     matching = scan_filter(logs, spec or FilterSpec(), mode="live").where(F.col("timestamp") <= deadline)
-    ranked = rank_rows(matching, F.col("seq"), limit=requested, total="_all")
-    ranked = ranked.withColumn("_all", F.least(F.col("_all"), F.lit(requested)))
-    answer = summary_struct(sampled_summary(ranked, requested, full)).withColumnRenamed("count", "captured")
+    taken = retained_rows(matching, count)
+    answer = summary_struct(sampled_summary(taken, None, threshold, k, False)).withColumnRenamed("count", "captured")
     went_on = logs.agg(F.max("timestamp")).scalar() > deadline
     return answer.withColumns(
         {
-            "requested": F.lit(requested),
-            "stopped_by": F.when(F.col("captured") >= requested, "count").when(went_on, "timeout").otherwise("exhausted"),
+            "requested": F.lit(count).cast("long"),
+            "stopped_by": F.when(F.col("captured") >= F.lit(count), "count").when(went_on, "timeout").otherwise("exhausted"),
         }
     )

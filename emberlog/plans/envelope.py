@@ -4,49 +4,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.limits import INLINE_THRESHOLD, RETAINED, SAMPLE, SCAN_CEILING, empty_hint
-from emberlog.operators.ordered import rank_rows
+from emberlog.operators.limits import empty_hint, limit_n
 from emberlog.operators.summary import TOP_N, combination_counts, summary_of
 
-# Rows that may be nested in one answer; more are to be taken as a frame of their own.
-NESTED_ROWS = 10_000
 
+def retained_rows(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows an answer is about, as a frame to write or read on: all, or the first `limit`."""
+    return logs if limit is None else limit_n(logs, limit)
 
-def retained_rows(logs: DataFrame, limit: int = RETAINED, ceiling: int = SCAN_CEILING) -> DataFrame:
-    """The rows an envelope's sample is taken from, as a frame: what a spill holds."""
-    return rank_rows(logs, F.col("seq"), limit=min(limit, ceiling)).drop("rank")
 
+def _nested(rows: DataFrame, up: bool, most: int) -> Column:
+    """The first (or last) `most` rows in arrival order, as one array: a top-n sort, no numbering."""
+    end = rows.orderBy(F.col("seq").asc() if up else F.col("seq").desc()).limit(most)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("seq").alias("_at"), F.struct(*rows.columns).alias("_row"))))
+    return end.agg(F.transform(pairs, lambda e: e["_row"]).alias("_rows")).scalar()
 
-def sampled_summary(ranked: DataFrame, limit: int, full: bool, n: int = TOP_N) -> DataFrame:
-    """One row on numbered rows (`rank`, and `_all` for how many there are before any limit):
-    the summary, `truncated`, and `entries` or `head` and `tail` of the first `limit`.
 
-    The samples are collected along with the counts, so the rows are gone through once. They
-    are bounded by the parameters, whatever the rows hold.
-    """
-    columns = [name for name in ranked.columns if name not in ("rank", "_all")]
-    retained = F.least(F.col("_all"), F.lit(limit))
-    shown = F.col("rank") <= (limit if full else INLINE_THRESHOLD)
-    shown = shown | ((F.col("rank") <= limit) & (F.col("rank") > retained - SAMPLE))
-    sample = F.struct("rank", retained.alias("retained"), F.struct(*columns).alias("entry"))
-    answer = summary_of(combination_counts(ranked, F.collect_list(F.when(shown, sample)).alias("samples")), n)
-
-    samples = F.array_sort("samples")
-    size = F.coalesce(F.element_at("samples", 1)["retained"], F.lit(0))
-    truncated = F.lit(False) if full else F.col("_size") > INLINE_THRESHOLD
-
-    def part(kept) -> Column:
-        return F.transform(F.filter("samples", kept), lambda e: e["entry"])
+def sampled_summary(
+    logs: DataFrame, limit: int | None, threshold: int | None, k: int | None, full: bool, n: int = TOP_N
+) -> DataFrame:
+    """One row: the summary of all of logs, `truncated`, and `entries` or `head` and `tail`.
 
-    answer = answer.withColumn("samples", F.coalesce(samples, F.array())).withColumn("_size", F.when(F.size("samples") > 0, size).otherwise(0))
-    return answer.withColumns(
-        {
-            "truncated": truncated,
-            "entries": F.when(~truncated, part(lambda e: F.lit(True))),
-            "head": F.when(truncated, part(lambda e: e["rank"] <= SAMPLE)),
-            "tail": F.when(truncated, part(lambda e: e["rank"] > F.greatest(F.col("_size") - SAMPLE, F.lit(SAMPLE)))),
-        }
-    ).drop("samples", "_size")
+    Counts come from one pass with map-side combining. Samples are taken beside it, and only if
+    they are asked for: up to `threshold` of the first `limit` rows are entries, else the first
+    and last `k` of them are head and tail; `full` nests all of the first `limit`. `truncated`
+    tells that rows counted are not shown.
+    """
+    answer = summary_of(combination_counts(logs), n)
+    if full:
+        if limit is None:
+            raise ValueError("full nests rows in one answer: name a limit, or take retained_rows() as a frame")
+        entries = _nested(logs, True, limit)
+        answer = answer.withColumn("entries", entries)
+        none = F.when(F.lit(False), F.col("entries"))
+        answer = answer.withColumns({"head": none, "tail": none})
+        shown = F.size("entries")
+    elif threshold is None or k is None:
+        return answer.withColumn("truncated", F.col("count") > 0)
+    else:
+        rows = retained_rows(logs, limit)
+        size = F.col("count") if limit is None else F.least(F.col("count"), F.lit(limit))
+        whole = size <= threshold
+        tail = F.least(F.lit(k), F.greatest(size - k, F.lit(0))).cast("int")
+        answer = answer.withColumns({"_first": _nested(rows, True, max(threshold, k)), "_last": _nested(rows, False, k)})
+        last = F.when(tail > 0, F.slice("_last", -tail, tail)).otherwise(F.slice("_last", 1, 0))
+        answer = answer.withColumns(
+            {
+                "entries": F.when(whole, F.col("_first")),
+                "head": F.when(~whole, F.slice("_first", 1, k)),
+                "tail": F.when(~whole, last),
+            }
+        ).drop("_first", "_last")
+        shown = F.when(whole, F.size("entries")).otherwise(F.size("head") + F.size("tail"))
+    return answer.withColumn("truncated", shown < F.col("count"))
 
 
 def summary_struct(answer: DataFrame) -> DataFrame:
@@ -57,8 +67,10 @@ def summary_struct(answer: DataFrame) -> DataFrame:
 
 def result_envelope(
     logs: DataFrame,
-    limit: int = RETAINED,
-    ceiling: int = SCAN_CEILING,
+    limit: int | None = None,
+    ceiling: int | None = None,
+    threshold: int | None = None,
+    k: int | None = None,
     full: bool = False,
     summary_only: bool = False,
     spec: FilterSpec | None = None,
@@ -66,24 +78,23 @@ def result_envelope(
     n: int = TOP_N,
 ) -> DataFrame:
     """One row about rows already filtered: count, scan_capped, truncated, summary,
-    entries or head and tail, next_since, hint.
+    entries or head and tail, next_since, hint_code, hint.
 
-    Count and summary cover the first `ceiling` rows, the sample the first `limit` of those.
-    `spec` and `last` are the query's parameters, for the hint of an empty answer.
+    Count and summary cover all rows, or the first `ceiling` if that is named. Rows are shown
+    only if `threshold` and `k`, or `full` with a `limit`, ask for them (see `sampled_summary`);
+    `retained_rows` has them as a frame. `spec` and `last` are the query's parameters, for the
+    hint of an empty answer.
     """
     if full and summary_only:
         raise ValueError("full and summary_only are mutually exclusive")
-    if full and limit > NESTED_ROWS:
-        raise ValueError(f"full nests up to {NESTED_ROWS} rows; take retained_rows() for more")
-    ranked = rank_rows(logs, F.col("seq"), limit=ceiling, total="_all")
-    ranked = ranked.withColumn("_all", F.least(F.col("_all"), F.lit(ceiling)))
+    seen = logs if ceiling is None else limit_n(logs, ceiling)
     if summary_only:
-        answer = summary_of(combination_counts(ranked), n).withColumn("truncated", F.lit(False))
+        answer = summary_of(combination_counts(seen), n).withColumn("truncated", F.col("count") > 0)
     else:
-        answer = sampled_summary(ranked, limit, full, n)
+        answer = sampled_summary(seen, limit, threshold, k, full, n)
     answer = answer.withColumns(
         {
-            "scan_capped": F.col("count") >= ceiling,
+            "scan_capped": F.lit(False) if ceiling is None else F.col("count") >= ceiling,
             "next_since": F.col("time_range.end") + F.expr("INTERVAL '0.000001' SECOND"),
         }
     )

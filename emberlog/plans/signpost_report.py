@@ -15,16 +15,10 @@ from emberlog.operators.signposts import (
     totals_of,
 )
 
-# Why no interval may have been found, by mode.
+# What to do about an answer without intervals, by mode.
 HINTS = {
-    "show": (
-        "No signpost intervals found. Signposts of custom subsystems are often not persisted by default: "
-        "capture live while exercising the application, or enable persistence for the subsystem."
-    ),
-    "stream": (
-        "No signpost intervals captured. Confirm that the process emits intervals under this subsystem and "
-        "category, and that it was exercised during the capture."
-    ),
+    "show": "No stored begin and end events pair up here; try a live capture.",
+    "stream": "The capture saw no begin and end events that pair up; check the filters and run it longer.",
 }
 
 
@@ -53,7 +47,11 @@ def report_of(states: DataFrame, full: bool = False, mode: str = "show") -> Sign
     """The report on events already paired, as the streaming pairing leaves them."""
     intervals = intervals_of(states)
     header = totals_of(states).withColumns(
-        {"mode": F.lit(mode), "hint": F.when(F.col("count") == 0, F.lit(HINTS[mode]))}
+        {
+            "mode": F.lit(mode),
+            "hint_code": F.when(F.col("count") == 0, F.lit("nothing_paired")),
+            "hint": F.when(F.col("count") == 0, F.lit(HINTS[mode])),
+        }
     )
     return SignpostReport(
         header,

@@ -60,15 +60,21 @@ def parse_objects(lines: DataFrame, schema: T.StructType, line: str = "_line") -
 
     Strict where Spark's reader is not: text fields must hold JSON text, and nothing may
     follow the object. For that the line is read as the only element of a list, where anything
-    after it is a syntax error or a second element. Numbers that do not fit their type spoil
-    the line too.
+    after it is a syntax error or a second element. A line could close that list itself, so a
+    second reading puts the line's own hash behind it in a list: only if that has exactly two
+    elements, the second with the hash, is the line one value and no more. Numbers that do not
+    fit their type spoil the line too.
     """
     listed = T.ArrayType(_untyped_text(schema))
     outer = T.StructType([T.StructField("_objects", listed), T.StructField("_corrupt", T.StringType())])
     text = F.concat(F.lit('{"_objects":['), F.col(line), F.lit("]}"))
     parsed = F.from_json(text, outer, {"columnNameOfCorruptRecord": "_corrupt"})
     rows = lines.select("*", F.inline(F.array(parsed)))
-    single = F.col("_corrupt").isNull() & (F.size("_objects") == 1)
+    digest = F.sha2(F.col(line).cast("binary"), 256)
+    ended = F.concat(F.lit("["), F.col(line), F.lit(',{"_end":"'), digest, F.lit('"}]'))
+    marks = F.from_json(ended, T.ArrayType(T.StructType([T.StructField("_end", T.StringType())])))
+    alone = (F.size(marks) == 2) & (F.get(marks, F.lit(1))["_end"] == digest)
+    single = F.col("_corrupt").isNull() & (F.size("_objects") == 1) & F.coalesce(alone, F.lit(False))
     rows = once(rows, _object=F.when(single, F.get("_objects", F.lit(0))))
     value = F.col("_object")
     valid = reduce(lambda a, b: a & b, _all_text(schema, value), value.isNotNull())

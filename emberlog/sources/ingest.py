@@ -25,7 +25,7 @@ from emberlog.sources.decode import once, parse_objects
 BLANK = r"[\p{Zs}\t]*"
 LEGACY_LINE = (
     r"(?s)^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2}\.\d+[+-]\d{4})" + BLANK
-    + r"(?:(\S+)\[(\d{1,18})\]" + BLANK
+    + r"(?:(\S+)\[(\d+)\]" + BLANK
     + r"(?:\(([^)]+)\)" + BLANK + r")?"
     + r"(?:\[([\p{L}\p{M}\p{N}_]+)\]" + BLANK + r")?)?(.*)$"
 )
@@ -95,14 +95,17 @@ def _legacy_row() -> Column:
     def part(n: int) -> Column:
         return F.nullif(F.get("_parts", F.lit(n - 1)), F.lit(""))
 
+    # A number that is no pid makes what looks like a process part of the message.
+    no_pid = part(4).isNotNull() & part(4).try_cast("long").isNull()
+    after_time = F.regexp_extract("_line", r"(?s)^\S+\s+\S+" + BLANK + "(.*)$", 1)
     row = _row(
         {
             "timestamp": F.col("_text_time"),
-            "processName": F.coalesce(part(3), F.lit(UNKNOWN_PROCESS)),
+            "processName": F.coalesce(F.when(no_pid, None).otherwise(part(3)), F.lit(UNKNOWN_PROCESS)),
             "pid": F.coalesce(part(4).try_cast("long"), F.lit(0)),
-            "subsystem": part(5),
-            "level": parse_level(part(6)),
-            "message": F.get("_parts", F.lit(6)),
+            "subsystem": F.when(no_pid, None).otherwise(part(5)),
+            "level": parse_level(F.when(no_pid, None).otherwise(part(6))),
+            "message": F.when(no_pid, after_time).otherwise(F.get("_parts", F.lit(6))),
         }
     )
     return F.when(F.col("_text_time").isNotNull(), row)

@@ -1,7 +1,6 @@
 """Tables written batch by batch, so that a batch run again replaces what it wrote."""
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +11,12 @@ CARRIED = -(1 << 62)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`; a local one only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A new folder's path in a place that all executors share.
+
+    That is `spark.checkpoint.dir`, or the warehouse where it is unset. The folder stays until
+    whoever owns that place clears it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 

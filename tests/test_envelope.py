@@ -19,29 +19,39 @@ def numbers(rows):
 
 
 def test_small_results_are_inlined(spark):
-    answer = result_envelope(many(spark, 10)).head()
+    answer = result_envelope(many(spark, 10), threshold=50, k=10).head()
     assert (answer["count"], answer.truncated, answer.scan_capped) == (10, False, False)
     assert numbers(answer.entries) == list(range(10)) and answer.head is None and answer.tail is None
 
 
 @pytest.mark.parametrize("n, inline", [(50, True), (51, False)])
 def test_threshold(spark, n, inline):
-    answer = result_envelope(many(spark, n)).head()
+    answer = result_envelope(many(spark, n), threshold=50, k=10).head()
     assert answer.truncated is not inline and (answer.entries is not None) is inline
 
 
 def test_large_results_are_sampled(spark):
     logs = many(spark, 200)
-    answer = result_envelope(logs).head()
+    answer = result_envelope(logs, threshold=50, k=10).head()
     assert answer.truncated and answer.entries is None
     assert numbers(answer.head) == list(range(10)) and numbers(answer.tail) == list(range(190, 200))
-    full = result_envelope(logs, full=True).head()
+    full = result_envelope(logs, full=True, limit=200).head()
     assert numbers(full.entries) == list(range(200)) and not full.truncated
-    assert retained_rows(logs, 150).count() == 150
+    part = result_envelope(logs, full=True, limit=120).head()
+    assert numbers(part.entries) == list(range(120)) and part.truncated
+    assert retained_rows(logs, 150).count() == 150 and retained_rows(logs).count() == 200
+
+
+def test_nothing_is_cut_by_default(spark):
+    logs = log_frame(spark, [{"level": f"L{i % 30}", "timestamp": at(i)} for i in range(1200)])
+    answer = result_envelope(logs).head()
+    assert (answer["count"], answer.scan_capped, answer.truncated) == (1200, False, True)
+    assert len(answer.summary.by_level) == 30 and sum(answer.summary.by_level.values()) == 1200
+    assert capture_report(logs, timeout=10_000).head().captured == capture_report(logs, timeout=10_000, count=5000).head().captured
 
 
 def test_limit_and_ceiling(spark):
-    answer = result_envelope(many(spark, 200), limit=60, ceiling=120).head()
+    answer = result_envelope(many(spark, 200), limit=60, ceiling=120, threshold=50, k=10).head()
     assert (answer["count"], answer.scan_capped) == (120, True)
     assert numbers(answer.tail) == list(range(50, 60))
     assert answer.summary.time_range.end == at(119)
@@ -57,22 +67,21 @@ def test_parameters_are_checked(spark):
     with pytest.raises(ValueError, match="mutually exclusive"):
         result_envelope(logs, full=True, summary_only=True)
     with pytest.raises(ValueError, match="retained_rows"):
-        result_envelope(logs, full=True, limit=1_000_000)
+        result_envelope(logs, full=True)
     with pytest.raises(ValueError, match="limit"):
         limit_n(logs, 0)
-    for count in (0, 1001):
-        with pytest.raises(ValueError, match="between 1 and 1000"):
-            capture_report(logs, count=count)
+    with pytest.raises(ValueError, match="count"):
+        capture_report(logs, count=0)
 
 
 def test_empty_result(spark):
     empty = many(spark, 5).where("pid < 0")
-    answer = result_envelope(empty, spec=FilterSpec(subsystem="com.a")).head()
+    answer = result_envelope(empty, threshold=50, k=10, spec=FilterSpec(subsystem="com.a")).head()
     assert (answer["count"], answer.summary, answer.next_since, answer.entries) == (0, None, None, [])
-    assert "persisted" in answer.hint
-    assert "Process-only" in result_envelope(empty, spec=FilterSpec(process="x", level="error")).head().hint
+    assert answer.hint_code == "not_persisted" and answer.hint
+    assert result_envelope(empty, spec=FilterSpec(process="x", level="error")).head().hint_code == "process_only"
     assert result_envelope(empty, spec=FilterSpec(subsystem="x", level="error")).head().hint is None
-    assert "widening" in result_envelope(empty, last="1m").head().hint
+    assert result_envelope(empty, last="1m").head().hint_code == "short_range"
     assert result_envelope(empty, last="5m").head().hint is None
     summary = result_summary(empty).head()
     assert (summary["count"], summary.time_range, summary.by_level, summary.top_processes) == (0, None, {}, [])
@@ -105,12 +114,12 @@ def test_head_tail(spark):
     assert found == {**{i: "head" for i in range(5)}, **{i: "tail" for i in range(25, 30)}}
     overlapping = {r.seq: r.position for r in head_tail(many(spark, 12), threshold=5, k=10).collect()}
     assert overlapping == {**{i: "head" for i in range(10)}, 10: "tail", 11: "tail"}
-    assert {r.position for r in head_tail(many(spark, 12)).collect()} == {"inline"}
-    assert head_tail(many(spark, 80), full=True).where("position = 'inline' and not truncated").count() == 80
+    assert {r.position for r in head_tail(many(spark, 12), 50, 10).collect()} == {"inline"}
+    assert head_tail(many(spark, 80), 50, 10, full=True).where("position = 'inline' and not truncated").count() == 80
     names = spark.createDataFrame([(f"n{i:03}",) for i in range(60)], "name string")
-    ends = list_head_tail(names, ["name"])
+    ends = list_head_tail(names, ["name"], 50, 10)
     assert sorted(r.name for r in ends.where("position = 'tail'").collect()) == [f"n{i:03}" for i in range(50, 60)]
-    assert ends.count() == 20 and list_head_tail(names, ["name"], full=True).count() == 60
+    assert ends.count() == 20 and list_head_tail(names, ["name"], 50, 10, full=True).count() == 60
 
 
 def test_limits(spark):
@@ -166,14 +175,14 @@ def test_capture(spark):
 
 def test_capture_report(spark):
     logs = many(spark, 120, subsystem="com.a")
-    by_count = capture_report(logs, count=60, timeout=100).head()
+    by_count = capture_report(logs, count=60, timeout=100, threshold=50, k=10).head()
     assert (by_count.captured, by_count.requested, by_count.stopped_by, by_count.truncated) == (60, 60, "count", True)
     assert numbers(by_count.tail) == list(range(50, 60))
-    by_time = capture_report(logs, timeout=30).head()
-    assert (by_time.captured, by_time.requested, by_time.stopped_by) == (31, 1000, "timeout")
+    by_time = capture_report(logs, timeout=30, threshold=50, k=10).head()
+    assert (by_time.captured, by_time.requested, by_time.stopped_by) == (31, None, "timeout")
     assert numbers(by_time.entries) == list(range(31))
     assert capture_report(logs, timeout=1000).head().stopped_by == "exhausted"
-    nothing = capture_report(logs, FilterSpec(pid=-1), timeout=1000).head()
+    nothing = capture_report(logs, FilterSpec(pid=-1), timeout=1000, threshold=50, k=10).head()
     assert (nothing.captured, nothing.summary, nothing.entries) == (0, None, [])
 
 

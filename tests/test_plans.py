@@ -17,7 +17,7 @@ SCANS = {
     "p50": 1,
     "limit_n": 2,
     "head_tail": 2,
-    "result_envelope": 2,
+    "result_envelope_plain": 1,
 }
 
 
