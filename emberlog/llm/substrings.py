@@ -11,7 +11,7 @@ from emberlog.llm.windows import Units, range_hashes, without_repeats
 GRAM = 8
 
 
-def _by_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def _by_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return range_hashes(data, first, end)
 
 

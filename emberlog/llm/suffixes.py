@@ -43,7 +43,7 @@ def refined_buckets(data: np.ndarray, first: np.ndarray, length: int) -> np.ndar
     return bucket[first]
 
 
-def _refined(length: int, data: np.ndarray, first: np.ndarray, end: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def _refined(length: int, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return refined_buckets(data, first, length)
 
 

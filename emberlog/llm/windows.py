@@ -10,13 +10,16 @@ Both substring operators find them in the same steps. Only what two tasks must c
    each, and travel to the bucket of their minimiser, where equal windows are found exactly.
 3. What is to be removed goes back to its document as spans.
 
-A minimiser that many windows share would make a hot bucket. Its windows are dealt one by one by
-the hash of the whole window instead, and equal strings meet inside each task before anything is
-shuffled, so that a passage in a third of all documents leaves each task about once.
+A minimiser that many windows share would make a hot bucket. Its strings are dealt by the hash of
+the whole string instead, where copies meet, and the windows of those that are left, each first of
+its kind in its task, are dealt once more by the hash of the whole window. Equal strings also meet
+inside each task before anything is shuffled, so that a passage in a third of all documents
+leaves each task about once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,12 +32,12 @@ from pyspark.sql import types as T
 
 from emberlog.llm.common import import_path, materialize
 
-# Windows sharing a minimiser above which they are dealt one by one.
-HOT_WINDOWS = 100_000
+# Windows sharing a minimiser above which they are not dealt by it.
+HOT_WINDOWS = 20_000
 # Windows of one super-k-mer at most; longer runs (of one character, say) are cut.
 LONGEST_RUN = 4096
 # Windows hashed at once, descriptions held for combining, bytes of strings held and compared.
-WINDOWS_AT_ONCE, DESCRIBED, CUT_BYTES, BUCKET_BYTES = 1 << 16, 1 << 19, 1 << 24, 1 << 21
+WINDOWS_AT_ONCE, DESCRIBED, CUT_BYTES, BUCKET_BYTES = 1 << 16, 1 << 18, 1 << 22, 1 << 19
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -148,6 +151,18 @@ def _record(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+STRINGS = "key long, doc long, uid long, first int, n int, hot boolean, packed binary"
+STRING_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+
+def _strings(*columns) -> pa.RecordBatch:
+    return _record([c.split()[0] for c in STRINGS.split(", ")], *[pa.array(c, t) for c, t in zip(columns, STRING_TYPES)])
+
+
+def _string_hash(packed: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+
+
 def describe(own: DataFrame, units: Units) -> DataFrame:
     """key, uid, first, n, weight, known: the super-k-mers of every text.
 
@@ -191,15 +206,11 @@ def repeating(described: DataFrame) -> DataFrame:
 
 
 def cut_out(joined: DataFrame, units: Units) -> DataFrame:
-    """Packed strings and spans already known: key, doc, uid, first, n, packed (null for a span).
+    """Packed strings and spans already known, as rows of STRINGS; a span has no string.
 
     joined holds uid, doc (the document's place in the order), text and cuts. Equal strings meet
     here: the one of the first document goes on, the others are spans to remove at once.
     """
-    names = ["key", "doc", "uid", "first", "n", "packed"]
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-
     def flush(held: list[tuple]) -> pa.RecordBatch:
         seen: dict[bytes, tuple[int, int]] = {}
         rows: list[tuple] = []
@@ -215,27 +226,10 @@ def cut_out(joined: DataFrame, units: Units) -> DataFrame:
                     continue
                 packed = data[starts[first] : ends[first + n + units.window - 2]]
                 if repeats(packed, doc, first):
-                    rows.append((key ^ uid ^ first, doc, uid, first, n, None))
-                elif not hot or n == 1:
-                    rows.append((key, doc, uid, first, n, packed))
+                    rows.append((key ^ uid ^ first, doc, uid, first, n, False, None))
                 else:
-                    a = starts[first : first + n]
-                    b = ends[first + units.window - 1 : first + units.window - 1 + n]
-                    part = np.frombuffer(data, np.uint8)[a[0] : b[-1]]
-                    hashes = range_hashes(part, a - a[0], b - a[0]).view(np.int64).tolist()
-                    gone = 0
-                    for k, (h, s, e) in enumerate(zip(hashes, a.tolist(), b.tolist())):
-                        if repeats(data[s:e], doc, first + k):
-                            gone += 1
-                            continue
-                        rows.append((h, doc, uid, first + k, 1, data[s:e]))
-                        if gone:
-                            rows.append((h ^ uid, doc, uid, first + k - gone, gone, None))
-                        gone = 0
-                    if gone:
-                        rows.append((key ^ uid, doc, uid, first + n - gone, gone, None))
-        columns = zip(*rows) if rows else [()] * len(kinds)
-        return _record(names, *[pa.array(c, kind) for c, kind in zip(columns, kinds)])
+                    rows.append((_string_hash(packed) if hot else key, doc, uid, first, n, hot, packed))
+        return _strings(*(zip(*rows) if rows else [()] * len(STRING_TYPES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -251,24 +245,23 @@ def cut_out(joined: DataFrame, units: Units) -> DataFrame:
         if held:
             yield flush(held)
 
-    return joined.mapInArrow(run, "key long, doc long, uid long, first int, n int, packed binary")
-
+    return joined.mapInArrow(run, STRINGS)
 
-Group = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
+Group = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-def _merge(uid: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return _record(["uid", "doc", "first", "end"], uid, doc, first.astype(np.int64), end.astype(np.int64))
 
+def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
+    """Spans of the windows that repeat an earlier one, the other windows of hot rows one by one,
+    and which rows hold a window that is not repeated.
 
-def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Spans of the windows that repeat an earlier one, and which rows hold a first window.
-
-    rows are strings of a bucket by (key, doc, first). `group` numbers their windows so that
-    unequal numbers mean unequal windows. Windows that repeat in step are compared in one piece,
-    byte by byte; should a piece differ, its windows are looked up by their bytes.
+    `group` numbers windows so that unequal numbers mean unequal windows. Windows that repeat in
+    step are compared in one piece, byte by byte; should a piece differ, its windows are looked up
+    by their bytes.
     """
+    rows = rows.sort_by([("doc", "ascending"), ("uid", "ascending"), ("first", "ascending")])
     doc, uid, first, n = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "uid", "first", "n"))
+    hot = rows["hot"].to_numpy()
     strings = rows["packed"].to_pylist()
     data = b"\n".join(strings)
     array = np.frombuffer(data, np.uint8)
@@ -284,7 +277,7 @@ def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.Recor
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     unit = unit_of_row[row] + step
     a, b = starts[unit], ends[unit + units.window - 1]
-    ids = group(array, a, b, begins)
+    ids = group(array, a, b)
     order = np.argsort(ids, kind="stable")
     fresh = np.append(True, ids[order][1:] != ids[order][:-1])
     leader = np.empty(len(ids), np.int64)
@@ -295,61 +288,65 @@ def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.Recor
         own, met = doc[row[i]], doc[row[f]]
         return (met < own) | (units.same_document & (met == own) & (place[f] < place[i]))
 
+    gone = np.zeros(len(ids), bool)
     other = np.flatnonzero(leader != np.arange(len(ids)))
-    spans_of: list[tuple[int, int, int]] = []
     if len(other):
         f = leader[other]
         together = (np.diff(other) == 1) & (np.diff(row[other]) == 0) & (np.diff(f) == 1) & (np.diff(row[f]) == 0)
-        together &= np.diff(later(other, f).astype(np.int8)) == 0
         at = np.flatnonzero(np.append(True, ~together))
         until = np.append(at[1:], len(other))
+        gone[other] = later(other, f)
         for s, e in zip(at.tolist(), until.tolist()):
-            i, j, fi, fj = other[s], other[e - 1], f[s], f[e - 1]
-            if data[a[i] : b[j]] == data[a[fi] : b[fj]]:
-                if later(i, fi):
-                    spans_of.append((row[i], place[i], place[j] + units.window))
-                continue
-            for k in other[s:e].tolist():
-                own = data[a[k] : b[k]]
-                same = [x for x in np.flatnonzero(ids == ids[k]).tolist() if x <= k and data[a[x] : b[x]] == own]
-                leader[k] = same[0]
-                if same[0] != k and later(k, same[0]):
-                    spans_of.append((row[k], place[k], place[k] + units.window))
-    leads = np.zeros(len(n), bool)
-    leads[row[leader == np.arange(len(ids))]] = True
-    r, s, e = np.array(spans_of, np.int64).reshape(-1, 3).T
-    return _merge(uid[r], doc[r], s, e), leads
+            if data[a[other[s]] : b[other[e - 1]]] != data[a[f[s]] : b[f[e - 1]]]:
+                for k in other[s:e].tolist():
+                    own = data[a[k] : b[k]]
+                    same = next(x for x in np.flatnonzero(ids == ids[k]).tolist() if data[a[x] : b[x]] == own)
+                    gone[k] = later(k, same)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))) if len(gone) else np.empty(0, np.int64)
+    # Runs of repeated windows, cut where a row ends.
+    cut = np.unique(np.concatenate((edges[::2], np.flatnonzero(gone & (step == 0)))))
+    stop = np.minimum(np.append(cut[1:], len(gone)), edges[1::2][np.searchsorted(edges[1::2], cut, "right")]) if len(cut) else cut
+    m = len(cut)
+    spans = _strings(
+        uid[row[cut]] ^ place[cut], doc[row[cut]], uid[row[cut]], place[cut], stop - cut, np.zeros(m, bool), pa.nulls(m, pa.binary())
+    )
+    on = np.flatnonzero(~gone & hot[row])
+    keys = range_hashes(array, a[on], b[on]).view(np.int64) if len(on) else np.empty(0, np.int64)
+    single = [data[s:e] for s, e in zip(a[on].tolist(), b[on].tolist())]
+    singles = _strings(keys, doc[row[on]], uid[row[on]], place[on], np.ones(len(on), np.int32), np.zeros(len(on), bool), single)
+    holds = np.zeros(len(n), bool)
+    holds[row[~gone]] = True
+    return spans, singles, holds
 
 
 def compare_buckets(cut: DataFrame, units: Units, group: Group) -> DataFrame:
-    """uid, doc, first, end: the units to remove, from packed strings dealt to their buckets.
+    """Spans to remove and what is still to be compared, from packed strings dealt to buckets.
 
     A task walks its buckets in order, some at a time. Of a bucket that is larger than that, the
-    strings that hold a first window go along to the next part, so memory is bounded by what
+    strings that hold a window not yet met go along to the next part, so memory is bounded by what
     differs inside one bucket.
     """
 
-    def known(table: pa.Table) -> pa.RecordBatch:
-        first = table["first"].to_numpy().astype(np.int64)
-        end = first + table["n"].to_numpy() + units.window - 1
-        return _merge(table["uid"].to_numpy(), table["doc"].to_numpy(), first, end)
+    def length(table: pa.Table) -> int:
+        return pa.compute.sum(pa.compute.binary_length(table["packed"])).as_py() or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, carried = [], 0, 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            spans = pa.compute.is_null(table["packed"])
-            yield known(table.filter(spans))
-            table = table.filter(pa.compute.invert(spans))
+            known = pa.compute.is_null(batch.column("packed"))
+            yield batch.filter(known)
+            table = pa.Table.from_batches([batch.filter(pa.compute.invert(known))])
+            if not len(table):
+                continue
             # Parts of bounded size, whatever the size of a batch.
-            ends = np.cumsum(pa.compute.binary_length(table["packed"]).to_numpy())
-            cuts = np.searchsorted(ends, np.arange(BUCKET_BYTES, (ends[-1] if len(ends) else 0) + BUCKET_BYTES, BUCKET_BYTES))
+            ends = np.cumsum(pa.compute.binary_length(table["packed"]).to_numpy().astype(np.int64))
+            marks = np.searchsorted(ends, np.arange(BUCKET_BYTES, ends[-1] + BUCKET_BYTES, BUCKET_BYTES))
             at = 0
-            for cut_at in np.unique(np.minimum(cuts + 1, len(table))).tolist():
-                part = table.slice(at, cut_at - at)
-                at = cut_at
+            for until in np.unique(np.minimum(marks + 1, len(table))).tolist():
+                part = table.slice(at, until - at)
+                at = until
                 held.append(part)
-                size += pa.compute.sum(pa.compute.binary_length(part["packed"])).as_py() or 0
+                size += length(part)
                 if size - carried < BUCKET_BYTES:
                     continue
                 whole = pa.concat_tables(held)
@@ -357,21 +354,21 @@ def compare_buckets(cut: DataFrame, units: Units, group: Group) -> DataFrame:
                 before = np.flatnonzero(key != key[-1])
                 split = int(before[-1]) + 1 if len(before) else 0
                 if split:
-                    yield repeated_spans(units, group, whole.slice(0, split))[0]
-                last = whole.slice(split)
-                if not split:
-                    out, leads = repeated_spans(units, group, last)
-                    yield out
-                    last = last.filter(pa.array(leads))
+                    yield from repeated_spans(units, group, whole.slice(0, split))[:2]
+                    last = whole.slice(split)
+                else:  # hot rows wait for the end of their bucket: they are told one by one only once
+                    spans, singles, holds = repeated_spans(units, group, whole)
+                    yield spans
+                    order = [("doc", "ascending"), ("uid", "ascending"), ("first", "ascending")]
+                    last = whole.sort_by(order).filter(pa.array(holds))
                 held = [last]
-                size = carried = pa.compute.sum(pa.compute.binary_length(last["packed"])).as_py() or 0
-        if held:
-            whole = pa.concat_tables(held)
-            if len(whole):
-                yield repeated_spans(units, group, whole)[0]
+                size = carried = length(last)
+        whole = pa.concat_tables(held) if held else None
+        if whole is not None and len(whole):
+            yield from repeated_spans(units, group, whole)[:2]
 
     dealt = cut.repartition("key").sortWithinPartitions("key", "doc", "uid", "first")
-    return dealt.mapInArrow(run, "uid long, doc long, first long, end long")
+    return dealt.mapInArrow(run, STRINGS)
 
 
 def remove_spans(joined: DataFrame, units: Units, kind: T.DataType) -> DataFrame:
@@ -438,6 +435,8 @@ def without_repeats(docs: DataFrame, units: Units, group: Group, id_col: str, te
     hot = materialize(hot.select("key", F.lit(True).alias("hot")), "hot-minimisers")
     cuts = again.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cuts = cuts.groupBy("uid").agg(F.collect_list(F.struct("first", "n", "key", "hot")).alias("cuts"))
-    spans = compare_buckets(cut_out(own.join(cuts, "uid"), units), units, group)
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("doc", "first", "end")).alias("spans"))
+    told = compare_buckets(cut_out(own.join(cuts, "uid"), units), units, group)
+    told = compare_buckets(told, units, group).where("packed is null")
+    end = (F.col("first") + F.col("n") + (units.window - 1)).alias("end")
+    spans = told.groupBy("uid").agg(F.collect_list(F.struct("doc", "first", end)).alias("spans"))
     return remove_spans(own.join(spans, "uid", "left"), units, docs.schema[id_col].dataType)
