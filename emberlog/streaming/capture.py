@@ -3,6 +3,7 @@
 import time
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from emberlog.operators.limits import limit_n
@@ -17,6 +18,17 @@ class Capture(NamedTuple):
     captured: int
 
 
+def taken_before(rows: DataFrame, path: str) -> dict[int, int]:
+    """Rows per batch in the batch table, of which there may be none yet."""
+    try:
+        counted = rows.sparkSession.read.parquet(path).groupBy("batch_id").count().collect()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return {}
+    return {row.batch_id: row["count"] for row in counted}
+
+
 def capture_stream(
     rows: DataFrame,
     path: str,
@@ -29,13 +41,15 @@ def capture_stream(
     """Write matching rows of a stream to the batch table at `path` until a bound is met.
 
     Bounds are those of `bounded_capture`, by the wall clock: no row within `timeout`,
-    `capture` after the first row, or `count` rows. Only the counters live in the driver.
+    `capture` after the first row, or `count` rows. Only the counters live in the driver, and
+    they start from the batch table: a capture run again on its checkpoint counts the rows it
+    has. Its clocks start anew, and rows it has count as a first row at the start.
     """
     timeout, capture = seconds_of(timeout, "timeout"), seconds_of(capture, "capture")
     if count is not None and count <= 0:
         raise ValueError("count must be a positive integer")
-    taken: dict[int, int] = {}
-    first_at: list[float] = []
+    taken = taken_before(rows, path)
+    first_at = [time.monotonic()] if any(taken.values()) else []
 
     def take(batch: DataFrame, batch_id: int) -> None:
         before = sum(n for other, n in taken.items() if other != batch_id)

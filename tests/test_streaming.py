@@ -112,6 +112,14 @@ def test_capture_by_count(spark, logs, landed):
     assert sorted(r.seq for r in spark.read.parquet(path).collect()) == expected
 
 
+def test_capture_run_again_counts_what_it_has(spark, landed):
+    path = shared_dir(spark, "capture")
+    first = capture_stream(live(spark, landed), path, f"{path}-cp", count=25, timeout="60s", **NOW)
+    assert first == ("count", 25)
+    again = capture_stream(live(spark, landed), path, f"{path}-cp", count=60, timeout="60s", **NOW)
+    assert spark.read.parquet(path).count() == again.captured <= 60
+
+
 def test_capture_ends(spark, landed):
     path = shared_dir(spark, "capture")
     answer = capture_stream(live(spark, landed), path, f"{path}-cp", **NOW)
