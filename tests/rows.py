@@ -1,10 +1,13 @@
-"""Small log tables for tests."""
+"""Small log tables for tests, and where the given tables are."""
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 from emberlog.schema import LOG_SCHEMA
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 BASE = dt.datetime(2026, 6, 26, 13, 0, 0)
 DEFAULTS = {
     "processName": "TestApp", "pid": 42, "level": "Default", "message": "Test message", "timestamp": BASE,

@@ -1,7 +1,7 @@
 """Plans keep their shape: how often the input is read, and no all-pairs joins."""
 
 import pytest
-from conftest import SF_DIR
+from rows import SF_DIR
 
 import __spark_entry__ as entry
 

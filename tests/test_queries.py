@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connection, difference
-from conftest import SF_DIR
+from rows import SF_DIR
 
 import __spark_entry__ as entry
 
