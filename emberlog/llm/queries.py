@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, exact, mixing, oracles, simhash, substrings, suffixes, templates, tokens, toxicity
-
+from emberlog.llm import alignment, chat, decontaminate, exact, language, mixing, oracles, ranked, simhash
+from emberlog.llm import substrings, suffixes, templates, tokens, toxicity
 from emberlog.llm.common import shared_path
 
 
@@ -65,13 +65,15 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The end of a text in the token files, and the vocabulary file's name among the public ones.
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
+# The two that are aligned.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
-    """Where the vocabulary file lies, on the driver as on the executors."""
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    """Where a vocabulary file lies, on the driver as on the executors."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    made = language.predict_language(docs, language.fit_language(docs))
+    return made.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    made = alignment.align_tokenizers(docs, tokenizer_path(BYTE_LEVEL), tokenizer_path(PIECES))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return made.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -124,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_language": op11_language,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": oracles.EXACT,
@@ -132,4 +154,5 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": oracles.CONTAMINATION,
     "op6_substring_dedup": oracles.WORD_WINDOWS,
     "op9_chat_formatting": oracles.CHATS,
+    "op12_ranked_search": oracles.RANKED,
 }

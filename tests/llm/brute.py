@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -176,3 +176,87 @@ def recurring_lines(docs, min_docs=3, depth=3, similarity=0.7):
         (i, len(own), [k for k, m in enumerate(own) if m and totals[template[m]] >= min_docs])
         for (i, _), own in zip(docs, lines)
     ]
+
+
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall(text_of(text).lower())
+
+
+def ranked(docs, items, k=10):
+    """(item_id, rank, doc_id, score); rows of documents are documents of their own."""
+    from math import floor, log
+
+    held = [(i, Counter(terms(t))) for i, t in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    total, words = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item].update(terms(text))
+    out = []
+    for item, wanted in asked.items():
+        scored = []
+        for i, c, n in held:
+            m = 100 - 90 + (90 * n * total) // words
+            s = 0
+            for t in wanted & c.keys():
+                s += floor(1000 * log((2 * total + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+            if s > 0:
+                scored.append((-s, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scored, key=lambda x: x[:2] + (x[2] or 0,))[:k], 1)]
+    return out
+
+
+def aligned(docs, encode_a, encode_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups); encoders give (id, bytes) pairs."""
+    made, counts = [], Counter()
+    for i, text in docs:
+        a, b = ([], []) if not text else (encode_a(" " + text), encode_b(text))
+        told = (" " + (text or "")).encode()
+        if b"".join(x for _, x in a) != told or b"".join(x for _, x in b) != told:
+            made.append((i, [], [], [], []))
+            continue
+        spans = []
+        for ids in (a, b):
+            at, own = 0, []
+            for _, x in ids:
+                own.append((at, at + len(x)))
+                at += len(x)
+            spans.append(own)
+        links = [
+            (a[p][0], b[q][0])
+            for p, (s, e) in enumerate(spans[0])
+            for q, (u, v) in enumerate(spans[1])
+            if s < v and u < e
+        ]
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups = []
+        for low, high in zip([0] + ends, ends):
+            sides = [[str(x) for (x, _), (_, e) in zip(ids, own) if low < e <= high] for ids, own in zip((a, b), spans)]
+            groups.append("|".join(map(",".join, sides)))
+        counts.update(links)
+        made.append((i, a, b, groups, links))
+    most = defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    return [
+        (i, len(a), len(b), len(g), len(ls), sum(counts[x] == most[x[1]] for x in ls), sum(counts[x] for x in ls), ";".join(g))
+        for i, a, b, g, ls in made
+    ]
+
+
+def gram_counts(text, buckets, sizes):
+    """n-grams of bytes one by one, hashed with Python's numbers."""
+    words = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).encode()
+    data = b" " + b" ".join(words.split()) + b" "
+    counts, mask = [0] * buckets, (1 << 32) - 1
+    for n in sizes:
+        for at in range(len(data) - n + 1):
+            h = 0
+            for k in range(1, n + 1):
+                h = (h * 0x01000193 + data[at + k - 1] + k) & mask
+            counts[((h ^ h >> 15) * 0x9E3779B1 & mask) >> 32 - 13] += 1
+    return counts
