@@ -132,10 +132,10 @@ def simulate(rows):
     return done, sorted(pending.values()), orphans, replaced
 
 
-@pytest.mark.parametrize("bits", [(1, 3), (3, 5), (18, 38)])
-def test_pairing_equals_a_state_machine(spark, monkeypatch, bits):
-    """A third and more of the events share one key, which many slices have to share."""
-    monkeypatch.setattr(ordered.with_neighbours, "__defaults__", (*ordered.with_neighbours.__defaults__[:-1], bits))
+@pytest.mark.parametrize("ranges, hot_rows", [(1, 1), (9, 1), (50, 20), (4, 100), (8, 1 << 16), (8, None)])
+def test_pairing_equals_a_state_machine(spark, monkeypatch, ranges, hot_rows):
+    """A third and more of the events share one key, which many ranges have to share."""
+    monkeypatch.setattr(ordered.with_neighbours, "__defaults__", (*ordered.with_neighbours.__defaults__[:-2], ranges, hot_rows))
     chance = random.Random(11)
     rows = []
     for i in range(500):
