@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.catalog.tables import LOGS_CTE, comparable, event_logs, table
+from emberlog.catalog.tables import LOGS_CTE, SINGLE_USE_CTE, comparable, event_logs, single_use_logs, table
 from emberlog.operators import limits, ordered, signposts, summary
 from emberlog.operators.coverage import coverage_matrix, redaction_check
 from emberlog.operators.filters import FilterSpec, grep, scan_filter
@@ -135,6 +135,13 @@ QUERIES = {
     "pairing_state": _on(
         lambda logs: signposts.pairing_state(logs).select("seq", "signpostType", "state", F.col("end").alias("end_time"))
     ),
+    "pairing_state_single_use": _on(
+        lambda logs: signposts.pairing_state(logs).select("seq", "signpostType", "state", F.col("end").alias("end_time")),
+        single_use_logs,
+    ),
+    "signpost_summary_single_use": _on(
+        lambda logs: signposts.signpost_summary(signposts.signpost_intervals(logs)), single_use_logs
+    ),
     "signpost_intervals": _on(
         lambda logs: signposts.signpost_intervals(logs).withColumnsRenamed({"start": "start_time", "end": "end_time"})
     ),
@@ -270,6 +277,7 @@ _PAIRED = f"""{LOGS_CTE}, paired AS (
         count(*) FILTER (state = 'overwritten') AS overwritten
     FROM states
 )"""
+_SINGLE_USE = _PAIRED.replace(LOGS_CTE, SINGLE_USE_CTE)
 _NET = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.app.net') AND eventType")
 _NOWHERE = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.nowhere') AND eventType")
 _SUMMARY = "name, subsystem, category, count, in_flight, min_ms, p50_ms, max_ms, total_ms"
@@ -367,6 +375,8 @@ ORACLES = {
     "process_inventory_filtered": f"""{LOGS_CTE} SELECT processName AS name, arg_min(pid, seq) AS pid FROM logs
         WHERE contains(lower(processName), 'd') GROUP BY processName""",
     "pairing_state": f"{_PAIRED} SELECT seq, signpostType, state, end_time FROM states",
+    "pairing_state_single_use": f"{_SINGLE_USE} SELECT seq, signpostType, state, end_time FROM states",
+    "signpost_summary_single_use": f"{_SINGLE_USE} SELECT {_SUMMARY} FROM summaries",
     "signpost_intervals": f"{_PAIRED} SELECT * REPLACE (CAST(signpostID AS VARCHAR) AS signpostID) FROM intervals",
     "orphan_ends": f"""{_PAIRED} SELECT seq, pid, signpostName, CAST(signpostID AS VARCHAR) AS signpostID
         FROM states WHERE state = 'orphan'""",

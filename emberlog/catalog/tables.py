@@ -39,6 +39,15 @@ EVENT_LOGS = {
     "signpostScope": f"CASE WHEN {_PAIRED} THEN 'process' END",
 }
 
+# `events` as interval events whose ids are used once: a begin and an end each, of which every fifth event is missing.
+SINGLE_USE_LOGS = EVENT_LOGS | {
+    "pid": "CAST(1000 + CAST(floor(event_id / 2) AS BIGINT) % 10 AS BIGINT)",
+    "eventType": "CASE WHEN event_id % 5 = 0 THEN 'logEvent' ELSE 'signpostEvent' END",
+    "signpostID": "CAST(floor(event_id / 2) AS DECIMAL(20,0))",
+    "signpostName": "'op'",
+    "signpostType": "CASE WHEN event_id % 2 = 0 THEN 'begin' ELSE 'end' END",
+}
+
 # `documents` as logs with long messages in several languages.
 DOCUMENT_LOGS = {
     "seq": "doc_id",
@@ -53,6 +62,7 @@ def _selected(columns: dict[str, str], table: str) -> str:
     return f"SELECT {listed} FROM {table}"
 
 
+SINGLE_USE_CTE = f"WITH logs AS ({_selected(SINGLE_USE_LOGS, 'events')})"
 LOGS_CTE = f"WITH logs AS ({_selected(EVENT_LOGS, 'events')})"
 DOCUMENTS_CTE = f"WITH logs AS ({_selected(DOCUMENT_LOGS, 'documents')})"
 
@@ -70,6 +80,11 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_logs(table(spark, sf_dir, "events"))
 
 
+def single_use_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.selectExpr(*[f"{expression} AS {name}" for name, expression in SINGLE_USE_LOGS.items()])
+
+
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return documents.selectExpr(*[f"{expression} AS {name}" for name, expression in DOCUMENT_LOGS.items()])

@@ -1,8 +1,11 @@
 """Pairing begin and end events into timed intervals, and statistics over them.
 
 Events pair within (pid, name, id) in arrival order: an end closes the begin right before it,
-a second begin replaces the first. So one look at the neighbouring event decides each row, and
-no state, self-join or per-key task is needed, however hot a key is.
+a second begin replaces the first. So one look at the neighbouring event decides each row: one
+window on the key, and ranges of the order for keys that have very many events.
+
+Statistics start from a histogram, how often each duration occurs per name. Counts, sums, bounds
+and the exact median all come from it, so events are paired once for a whole answer.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,13 +111,22 @@ def p50(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     key in one task, so equal values are counted first, and the middle is then found from
     coarse value ranges down to fine ones: only the two ranges around it are opened.
     """
-    # The key is one column that is never null, and so are the ranges: the three readers of the
-    # counts then get no filters of their own and share one shuffle.
     known = df.where(F.col(value).isNotNull()).select(
         key_of(keys).alias("_key"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("_value")
     )
-    counted = known.groupBy("_key", "_value").agg(F.count("*").alias("_rows"))
-    counted = counted.withColumns({"_coarse": F.shiftright("_value", 40), "_fine": F.shiftright("_value", 20)})
+    middle = middle_of(known.groupBy("_key", "_value").agg(F.count("*").alias("_rows")))
+    return middle.select(*[F.col("_key")[name].alias(name) for name in keys], "low", "high")
+
+
+def middle_of(counted: DataFrame) -> DataFrame:
+    """The middle two values per `_key`, as `low` and `high`, of values counted as (_value, _rows).
+
+    Neither `_key` nor `_value` may be null. The three readers of `counted` get no filters of
+    their own and share one shuffle. Keys without rows have nulls or are left out.
+    """
+    counted = counted.select(
+        "_key", "_value", "_rows", F.shiftright("_value", 40).alias("_coarse"), F.shiftright("_value", 20).alias("_fine")
+    )
 
     def located(counts: DataFrame, inside: list[str], along: str) -> DataFrame:
         """Keep the ranges that hold a middle row, with the number of rows before each."""
@@ -146,30 +158,56 @@ def p50(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     def at(rank: str) -> Column:
         return F.max(F.when((F.col("_from") < F.col(rank)) & (F.col(rank) <= F.col("_until")), F.col("_value")))
 
-    middle = values.groupBy("_key").agg(at("_lower").alias("low"), at("_upper").alias("high"))
-    return middle.select(*[F.col("_key")[name].alias(name) for name in keys], "low", "high")
+    return values.groupBy("_key").agg(at("_lower").alias("low"), at("_upper").alias("high"))
 
 
 SUMMARY_COLUMNS = ["name", "subsystem", "category", "count", "in_flight", "min_ms", "p50_ms", "max_ms", "total_ms"]
 
 
-def _name_statistics(intervals: DataFrame) -> DataFrame:
-    """All about each name, `last_args` included; columns not asked for are not computed."""
-    moment = F.struct("start", "begin_seq")
-    stats = intervals.groupBy("name").agg(
-        F.min_by(F.struct("subsystem", "category"), moment).alias("_origin"),
-        F.count("*").alias("count"),
-        (F.count("*") - F.count("duration_us")).alias("in_flight"),
-        ms_from_us(F.min("duration_us")).alias("min_ms"),
-        ms_from_us(F.max("duration_us")).alias("max_ms"),
-        ms_from_us(F.sum("duration_us")).alias("total_ms"),
-        _latest_message(moment).alias("last_args"),
+def duration_histogram(intervals: DataFrame) -> DataFrame:
+    """Per name and duration: `_rows`, and the `_first` and `_last` interval that lasted as long.
+
+    Open intervals are counted in a row of their own (`_open`, value 0). What many names share, a
+    key that is never null, keeps readers of the histogram from filtering it each their own way.
+    """
+    told = intervals.select(
+        key_of(("name",)).alias("_key"),
+        F.coalesce("duration_us", F.lit(0)).alias("_value"),
+        F.col("duration_us").isNull().alias("_open"),
+        F.struct("start", "begin_seq", "subsystem", "category", "message").alias("_cell"),
     )
-    middle = p50(intervals, "duration_us", ("name",)).select(
-        "name", (F.round((F.col("low") + F.col("high")) / F.lit(2.0)) / F.lit(1000.0)).alias("p50_ms")
+    return told.groupBy("_key", "_value", "_open").agg(
+        F.count("*").alias("_rows"), F.min("_cell").alias("_first"), F.max("_cell").alias("_last")
+    )
+
+
+def _name_statistics(intervals: DataFrame) -> DataFrame:
+    """All about each name, `last_args` included, from one histogram.
+
+    Both readers of the histogram ask for all of it, so they share its one shuffle, and the
+    pairing below it is done once.
+    """
+    histogram = duration_histogram(intervals)
+    done = F.col("_first").isNotNull() & F.col("_last").isNotNull() & ~F.col("_open")
+    middle = middle_of(histogram.select("_key", "_value", F.when(done, F.col("_rows")).otherwise(0).alias("_rows")))
+    lasted = F.when(~F.col("_open"), F.col("_value"))
+    stats = histogram.groupBy("_key").agg(
+        F.sum("_rows").alias("count"),
+        F.sum(F.when(F.col("_open"), F.col("_rows")).otherwise(0)).alias("in_flight"),
+        ms_from_us(F.min(lasted)).alias("min_ms"),
+        ms_from_us(F.max(lasted)).alias("max_ms"),
+        ms_from_us(F.sum(lasted * F.col("_rows"))).alias("total_ms"),
+        F.min("_first").alias("_origin"),
+        F.coalesce(F.nullif(F.max("_last")["message"], F.lit("")), F.lit("-")).alias("last_args"),
     )
-    return stats.join(middle, "name", "left").withColumns(
-        {"subsystem": F.col("_origin.subsystem"), "category": F.col("_origin.category")}
+    p50_ms = F.round((F.col("low") + F.col("high")) / F.lit(2.0)) / F.lit(1000.0)
+    return stats.join(middle, "_key", "left").withColumns(
+        {
+            "name": F.col("_key.name"),
+            "subsystem": F.col("_origin.subsystem"),
+            "category": F.col("_origin.category"),
+            "p50_ms": p50_ms,
+        }
     )
 
 
