@@ -281,6 +281,15 @@ _SINGLE_USE = _PAIRED.replace(LOGS_CTE, SINGLE_USE_CTE)
 _NET = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.app.net') AND eventType")
 _NOWHERE = _PAIRED.replace("WHERE eventType", "WHERE starts_with(subsystem, 'com.nowhere') AND eventType")
 _SUMMARY = "name, subsystem, category, count, in_flight, min_ms, p50_ms, max_ms, total_ms"
+RANKED_SUMMARIES = f"SELECT {_SUMMARY} FROM summaries ORDER BY coalesce(total_us, 0) DESC, name DESC"
+
+
+def captured_sql(most: int, answer: str) -> str:
+    """An answer about the first `most` begin and end events of the com.app subsystems."""
+    first = f"""first AS (SELECT * FROM logs WHERE starts_with(subsystem, 'com.app') AND eventType = 'signpostEvent'
+        AND signpostType IN ('begin', 'end') ORDER BY seq LIMIT {most}), paired AS ("""
+    paired = _PAIRED.replace("paired AS (", first, 1).replace("FROM logs WHERE eventType = 'signpostEvent' AND signpostType IN ('begin', 'end')\n", "FROM first\n")
+    return f"{paired} {answer.format(most=most)}"
 
 
 def _ms(us: str) -> str:
@@ -392,7 +401,7 @@ ORACLES = {
     "signpost_footer": f"{_PAIRED} SELECT in_flight, orphan_ends FROM totals",
     "signpost_report": f"{_NET} SELECT *, 'show' AS mode, CAST(NULL AS VARCHAR) AS hint_code FROM totals",
     "signpost_report_empty": f"""{_NOWHERE} SELECT *, 'stream' AS mode, CASE WHEN count = 0 THEN 'nothing_paired' END AS hint_code FROM totals""",
-    "signpost_report_intervals": f"{_NET} SELECT {_SUMMARY} FROM summaries ORDER BY coalesce(total_us, 0) DESC, name DESC",
+    "signpost_report_intervals": f"{_NET} {RANKED_SUMMARIES}",
     "p50": """WITH ordered AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS nth,
             count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
         SELECT l_suppkey, max(l_partkey) FILTER (nth = (n + 1) // 2) AS low, max(l_partkey) FILTER (nth = n // 2 + 1) AS high

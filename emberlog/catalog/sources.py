@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from emberlog.catalog.tables import LOGS_CTE, as_logs, comparable, event_logs, table
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.signposts import signpost_summary, intervals_of
+from emberlog.operators.signposts import intervals_of, signpost_summary
 from emberlog.operators.summary import dimension_counts, summary_of
 from emberlog.sources.ingest import ingest_legacy_text, ingest_mixed, ingest_ndjson
 from emberlog.sources.store import (
@@ -20,9 +20,9 @@ from emberlog.sources.store import (
 from emberlog.streaming.batches import shared_dir
 from emberlog.streaming.capture import capture_stream
 from emberlog.streaming.dedup import dedup_result, stream_dedup
-from emberlog.streaming.signposts import signposts_result, stream_signposts
-from emberlog.streaming.summary import write_summary
-from emberlog.streaming.tail import stream_table, stream_tail
+from emberlog.streaming.signposts import capture_signposts, signposts_result, stream_signposts
+from emberlog.streaming.summary import read_summary, write_summary
+from emberlog.streaming.tail import stream_table, stream_tail, tailed_bad, tailed_rows, write_lines
 
 # What may follow an object so that its line is none: text, and ways to close the list it is read in.
 CLOSED = (" tail", "]} tail", "]}", '],"x":[1')
@@ -161,22 +161,91 @@ def _stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(spark.read.schema(rows.schema).parquet(path).select("seq", "timestamp", "message", "subsystem"))
 
 
+# Files that the events arrive in, a micro-batch each.
+LANDINGS = 6
+
+
+def _landed(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The events cut into files by id, written one after the other, as they would land in a folder."""
+    path = shared_dir(spark, name)
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).head()[0] or 0
+    for k in range(LANDINGS):
+        part = events.where(F.expr(f"event_id * {LANDINGS} div {last + 1} = {k}"))
+        write(part.repartition(1).sortWithinPartitions("event_id"), path)
+    return path
+
+
+def _landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of log rows in several micro-batches."""
+    path = _landed(spark, sf_dir, "landed", lambda part, path: part.write.mode("append").parquet(path))
+    return as_logs(stream_table(spark, path, table(spark, sf_dir, "events").schema, maxFilesPerTrigger=1))
+
+
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "dedup")
-    stream_dedup(_live(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
+    stream_dedup(_landing(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
     return comparable(dedup_result(spark, path).select("seq", "message", "repeat_count"))
 
 
 def _stream_signposts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "signposts")
-    stream_signposts(_live(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
+    stream_signposts(_landing(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
     return comparable(signpost_summary(intervals_of(signposts_result(spark, path))))
 
 
+def _stream_signpost_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "signposts")
+    stream_signposts(_landing(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
+    return comparable(signposts_result(spark, path).select("seq", "signpostType", "state", F.col("end").alias("end_time")))
+
+
+def _captured_signposts(spark: SparkSession, sf_dir: str):
+    path = shared_dir(spark, "intervals")
+    spec = FilterSpec(subsystem="com.app")
+    return capture_signposts(_landing(spark, sf_dir), path, f"{path}-checkpoint", spec, seconds=3600, most=CAPTURED, **NOW)
+
+
+# Events that the capture of intervals stops at.
+CAPTURED = 300
+
+
+def _capture_signposts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = _captured_signposts(spark, sf_dir)
+    return answer.report.header.drop("hint").withColumns(
+        {"stop_reason": F.lit(answer.stop_reason), "events": F.lit(answer.events).cast("long")}
+    )
+
+
+def _capture_signposts_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(_captured_signposts(spark, sf_dir).report.intervals)
+
+
+def _tailed(spark: SparkSession, sf_dir: str) -> str:
+    """Raw lines of both layouts that arrive in several files, followed into a table."""
+    def write(part: DataFrame, path: str) -> None:
+        lines = _mixed_lines(as_logs(part)).repartition(1).sortWithinPartitions("seq")
+        lines.select("value").write.mode("append").text(path)
+
+    source = _landed(spark, sf_dir, "lines", write)
+    path = shared_dir(spark, "tailed")
+    write_lines(spark, source, path, f"{path}-checkpoint", {"maxFilesPerTrigger": 1}, **NOW).awaitTermination()
+    return path
+
+
+def _stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tailed_rows(spark, _tailed(spark, sf_dir), FilterSpec(level="default"))
+    return comparable(found.select("seq", "timestamp", "processName", "level", "message"))
+
+
+def _stream_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tailed_bad(spark, _tailed(spark, sf_dir)).select("seq")
+
+
 def _summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "summary")
-    write_summary(_live(spark, sf_dir), path, f"{path}-checkpoint", **NOW).awaitTermination()
-    return spark.read.parquet(path)
+    write_summary(_landing(spark, sf_dir), path, f"{path}-checkpoint", merged_after=3, **NOW).awaitTermination()
+    return read_summary(spark, path)
 
 
 def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +279,11 @@ QUERIES = {
     "stream_tail": _stream_tail,
     "stream_dedup": _stream_dedup,
     "stream_signposts": _stream_signposts,
+    "stream_signpost_states": _stream_signpost_states,
+    "capture_signposts": _capture_signposts,
+    "capture_signposts_intervals": _capture_signposts_intervals,
+    "stream_lines": _stream_lines,
+    "stream_bad_lines": _stream_bad_lines,
     "stream_summary": _stream_summary,
     "stream_summary_bounds": _stream_summary_bounds,
     "capture_stream": _capture_stream,
@@ -229,6 +303,7 @@ _FROM_TEXT = """timestamp, CASE WHEN threadID % 7 = 0 THEN 'unknown' ELSE proces
     CAST(NULL AS VARCHAR) AS signpostID, CAST(NULL AS VARCHAR) AS signpostName, CAST(NULL AS VARCHAR) AS signpostType"""
 _GOOD_JSON = "threadID % 36 NOT IN (1, 7, 13, 19, 25, 31)"
 _BAD_JSON = "threadID % 36 IN (1, 7, 13, 19, 31)"
+_ARRIVED = f"{LOGS_CTE}, arrived AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS line FROM logs)"
 
 ORACLES = {
     "ingest_ndjson": f"""{LOGS_CTE} SELECT seq, {_FROM_JSON}, true AS readable FROM logs WHERE {_GOOD_JSON}
@@ -256,8 +331,12 @@ ORACLES = {
     "source_projection": f"{LOGS_CTE} SELECT seq, CAST(NULL AS VARCHAR) AS source FROM logs",
     "stream_tail": f"""{LOGS_CTE} SELECT seq, timestamp, message, subsystem FROM logs
         WHERE starts_with(subsystem, 'com.app.net') AND eventType <> 'signpostEvent' AND regexp_matches(message, 'err|sign', 'i')""",
-    "stream_dedup": None,
-    "stream_signposts": None,
+    "stream_lines": f"""{_ARRIVED} SELECT line AS seq, timestamp, processName, level, message FROM (
+            SELECT line, {_FROM_JSON} FROM arrived WHERE seq % 2 = 0 AND {_GOOD_JSON}
+            UNION ALL SELECT line, {_FROM_TEXT} FROM arrived WHERE seq % 2 = 1 AND threadID % 7 <> 6)
+        WHERE level IN ('Default', 'Error', 'Fault') AND coalesce(eventType, '') <> 'signpostEvent'""",
+    "stream_bad_lines": f"""{_ARRIVED} SELECT line AS seq FROM arrived
+        WHERE (seq % 2 = 0 AND {_BAD_JSON}) OR (seq % 2 = 1 AND threadID % 7 = 6)""",
     "stream_summary": f"""{LOGS_CTE} SELECT 'level' AS dimension, level AS name, count(*) AS count FROM logs GROUP BY level
         UNION ALL SELECT 'processName', processName, count(*) FROM logs GROUP BY processName
         UNION ALL SELECT 'subsystem', subsystem, count(*) FROM logs WHERE subsystem <> '' GROUP BY subsystem

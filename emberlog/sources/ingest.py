@@ -129,9 +129,9 @@ def _decode_legacy(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
 
 
 def _split(decoded: DataFrame, row: Column) -> Ingested:
-    rows = decoded.select("seq", "value", row.alias("_row"))
-    good = rows.where("_row is not null").select("seq", "_row.*")
-    return Ingested(good, rows.where("_row is null").select("seq", "value"))
+    rows = decoded.select("seq", "value", row.alias("row"))
+    good = rows.where("row is not null").select("seq", "row.*")
+    return Ingested(good, rows.where("row is null").select("seq", "value"))
 
 
 def ingest_ndjson(lines: DataFrame) -> Ingested:
@@ -142,7 +142,15 @@ def ingest_legacy_text(lines: DataFrame) -> Ingested:
     return _split(_decode_legacy(_lines(lines)), F.col("_text"))
 
 
+def _decode_mixed(lines: DataFrame) -> DataFrame:
+    return _decode_legacy(_decode_json(_lines(lines)), wanted=F.col("_json").isNull())
+
+
 def ingest_mixed(lines: DataFrame) -> Ingested:
     """JSON lines, and the older text layout for those that are not."""
-    rows = _decode_legacy(_decode_json(_lines(lines)), wanted=F.col("_json").isNull())
-    return _split(rows, F.coalesce("_json", "_text"))
+    return _split(_decode_mixed(lines), F.coalesce("_json", "_text"))
+
+
+def read_mixed(lines: DataFrame) -> DataFrame:
+    """The same as one frame, for writers of both: seq, value, and `row`, null for a line that is none."""
+    return _decode_mixed(lines).select("seq", "value", F.coalesce("_json", "_text").alias("row"))

@@ -42,3 +42,18 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFra
     return text.join(splits, ["file", "_block"]).select(
         (F.col("_offset") + nth).alias("seq"), "file", (F.col("_file_offset") + nth + 1).alias("line_no"), "value"
     )
+
+
+def place_in_files(lines: DataFrame, time: str, file: str, block: str, row: str) -> DataFrame:
+    """Add `_place`, a BIGINT that rises along (time, file, block, row), from 0.
+
+    `row` rises within each split (a block of a file). One row per split goes through a window;
+    the lines themselves are only joined to their split's place. Lines may be missing in between.
+    """
+    order = {"_time": time, "_file": file, "_block": block}
+    rows = lines.withColumns({**{name: F.col(source) for name, source in order.items()}, "_row": F.col(row)})
+    splits = rows.groupBy(*order).agg(F.min("_row").alias("_first"), (F.max("_row") - F.min("_row") + 1).alias("_span"))
+    before = F.sum("_span").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    splits = splits.withColumn("_offset", before - F.col("_span")).drop("_span")
+    placed = rows.join(splits, list(order)).withColumn("_place", F.col("_offset") + F.col("_row") - F.col("_first"))
+    return placed.select(*lines.columns, "_place")

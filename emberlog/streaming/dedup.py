@@ -14,7 +14,7 @@ def dedup_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     Reads only the table of the batch before and replaces that of this one, so doing a batch
     again gives the same table.
     """
-    rows = numbered(batch).withColumns(
+    rows = numbered(batch).drop("arrival").withColumns(
         {"repeat_count": F.lit(1).cast("long"), "head_batch": F.lit(batch_id).cast("long"), "_arrival": F.col("seq")}
     )
     if batch_id > 0:

@@ -5,19 +5,22 @@ import random
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from rows import event, log_frame
 
 from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.ordered import dedup_consecutive
-from emberlog.operators.signposts import pairing_state
-from emberlog.operators.summary import result_summary, summary_of
+from emberlog.operators.signposts import pairing_events, pairing_state
+from emberlog.operators.summary import combination_counts, result_summary, summary_of
+from emberlog.plans.signpost_report import report_of
 from emberlog.schema import LOG_SCHEMA
 from emberlog.streaming.batches import shared_dir
 from emberlog.streaming.capture import capture_stream
 from emberlog.streaming.dedup import dedup_batch, dedup_result, stream_dedup
-from emberlog.streaming.signposts import signposts_batch, signposts_result, stream_signposts
-from emberlog.streaming.summary import write_summary
-from emberlog.streaming.tail import stream_lines, stream_table, stream_tail
+from emberlog.streaming import versions
+from emberlog.streaming.signposts import capture_signposts, signposts_batch, signposts_result, stream_signposts
+from emberlog.streaming.summary import read_summary, summary_batch, write_summary
+from emberlog.streaming.tail import bad_lines, stream_lines, stream_table, stream_tail, tailed_bad, tailed_rows, write_lines
 
 NOW = {"availableNow": True}
 
@@ -84,7 +87,148 @@ def test_batches_may_run_again(spark, logs, cuts):
 def test_summary(spark, logs, landed):
     path = shared_dir(spark, "summary")
     write_summary(live(spark, landed), path, f"{path}-cp", **NOW).awaitTermination()
-    assert summary_of(spark.read.parquet(path)).head() == result_summary(logs).head()
+    assert summary_of(read_summary(spark, path)).head() == result_summary(logs).head()
+
+
+def cut(logs, size):
+    n = logs.count()
+    return [logs.where(f"seq >= {low} and seq < {low + size}") for low in range(0, n, size)]
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("work, result, whole", [
+    (signposts_batch, signposts_result, pairing_state),
+    (lambda batch, i, path: summary_batch(batch, i, path, merged_after=2), read_summary, combination_counts),
+])
+def test_a_batch_that_fails_loses_nothing(spark, logs, monkeypatch, work, result, whole):
+    """Every write of every batch fails once, just before and just after it; readers see whole batches only."""
+    path, batches, done = shared_dir(spark, "failing"), cut(logs, 40), 0
+    with pytest.raises(LookupError):
+        result(spark, path)
+    publish, write, count = versions.publish, DataFrameWriter.parquet, [0]
+
+    for batch_id, batch in enumerate(batches):
+        for fail_at in range(1, 7):
+            count[0] = 0
+
+            def failing(real):
+                def call(*args, **options):
+                    count[0] += 1
+                    if count[0] == fail_at:
+                        raise Stopped
+                    real(*args, **options)
+                    count[0] += 1
+                    if count[0] == fail_at:
+                        raise Stopped
+
+                return call
+
+            with monkeypatch.context() as patched:
+                patched.setattr(versions, "publish", failing(publish))
+                patched.setattr(DataFrameWriter, "parquet", failing(write))
+                try:
+                    work(batch, batch_id, path)
+                except Stopped:
+                    pass
+            seen = versions.latest(spark, path)
+            done = -1 if seen is None else seen.batch_id
+            assert done in (batch_id - 1, batch_id)
+            if fail_at in (2, 4) and done >= 0:
+                same(result(spark, path), whole(logs.where(f"seq < {40 * (done + 1)}")))
+        work(batch, batch_id, path)
+        assert versions.latest(spark, path).batch_id == batch_id
+    same(result(spark, path), whole(logs))
+
+
+def stored_rows(spark, path):
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    return files.count()
+
+
+def test_lone_begins_are_kept_twice_at_most(spark):
+    """Fifty batches of begins that never end: what is stored stays within two generations."""
+    path = shared_dir(spark, "lone")
+    rows = log_frame(spark, [event("begin", i, id=i) for i in range(200)]).cache()
+    for i in range(50):
+        signposts_batch(rows.where(f"seq >= {4 * i} and seq < {4 * i + 4}"), i, path)
+        if i % 10 == 9:
+            assert stored_rows(spark, path) <= 2 * 4 * (i + 1)
+    assert stored_rows(spark, path) == 200 + 196
+    same(signposts_result(spark, path), pairing_state(rows))
+    assert len(versions._ids(spark, path)) == 2
+
+
+def test_old_begins_are_given_up(spark):
+    rows = log_frame(spark, [
+        event("begin", 0, id=1), event("begin", 90, id=2), event("end", 100, id=2), event("begin", 200, id=3),
+        event("end", 210, id=1), event("end", 215, id=3),
+    ])
+    path = shared_dir(spark, "ttl")
+    for i in range(6):
+        signposts_batch(rows.where(f"seq = {i}"), i, path, ttl="1m")
+    states = {r.seq: r.state for r in signposts_result(spark, path).collect()}
+    assert states == {0: "in_flight", 1: "completed", 2: "completed", 3: "completed", 4: "orphan", 5: "completed"}
+    assert pairing_state(rows).where("state = 'orphan'").count() == 0
+
+
+def test_capture_of_intervals(spark, logs, landed):
+    path = shared_dir(spark, "intervals")
+    answer = capture_signposts(live(spark, landed), path, f"{path}-cp", FilterSpec(subsystem="com.a"), 600, most=50, **NOW)
+    events = pairing_events(logs).orderBy("seq").limit(50)
+    assert (answer.stop_reason, answer.events) == ("count", 50)
+    expected = report_of(pairing_state(events), mode="stream")
+    same(answer.report.header, expected.header)
+    same(answer.report.intervals, expected.intervals)
+    again = capture_signposts(live(spark, landed), path, f"{path}-cp", FilterSpec(subsystem="com.a"), 600, most=50, **NOW)
+    assert again[:2] == answer[:2]
+    more = capture_signposts(live(spark, landed), path, f"{path}-cp", FilterSpec(subsystem="com.a"), 600, **NOW)
+    assert more.stop_reason == "exhausted" and more.events >= 50
+
+
+def test_capture_of_intervals_goes_on_with_its_clock(spark, logs, landed):
+    """A capture that is run again counts its time from when it began, and a whole one equals the batch answer."""
+    path = shared_dir(spark, "intervals")
+    answer = capture_signposts(live(spark, landed), path, f"{path}-cp", seconds=600, full=True, **NOW)
+    assert answer.stop_reason == "exhausted" and answer.events == pairing_events(logs).count()
+    same(answer.report.intervals, report_of(pairing_state(logs)).intervals)
+    began = versions.latest(spark, path).note["began"]
+    time.sleep(1)
+    late = capture_signposts(live(spark, landed), path, f"{path}-cp", seconds=0.5)
+    assert (late.stop_reason, late.events) == ("time", answer.events) and versions.latest(spark, path).note["began"] == began
+    path = shared_dir(spark, "intervals")
+    none = capture_signposts(live(spark, landed).where("pid < 0"), path, f"{path}-cp", seconds=600, **NOW)
+    assert none.stop_reason == "exhausted" and none.events == 0 and none.report.header.head().hint_code == "nothing_paired"
+
+
+def test_lines_keep_their_order_and_bad_ones_are_told(spark, tmp_path):
+    """Several files, several batches, and a restart in between; numbers rise along files and lines."""
+    source, path = tmp_path / "in", shared_dir(spark, "lines")
+    source.mkdir()
+
+    def land(name, *messages):
+        made = [m if m.startswith(("bad", " ")) else json.dumps({"timestamp": "2024-01-15T10:30:45Z", "eventMessage": m}) for m in messages]
+        (source / name).write_text("\n".join(made) + "\n")
+        time.sleep(0.05)
+
+    def follow():
+        write_lines(spark, str(source), path, f"{path}-cp", {"maxFilesPerTrigger": 1}, **NOW).awaitTermination()
+
+    land("b.txt", "one", "bad 1", "two", " ")
+    land("a.txt", "three", "four")
+    follow()
+    land("c.txt", "bad 2", "five")
+    land("0.txt", "six")
+    follow()
+    told = sorted((r.seq, r.message) for r in tailed_rows(spark, path).collect())
+    assert [m for _, m in told] == ["one", "two", "three", "four", "five", "six"]
+    assert [s for s, _ in told] == [0, 2, 4, 5, 7, 8]
+    assert sorted(map(tuple, tailed_bad(spark, path).collect())) == [(1, "bad 1"), (6, "bad 2")]
+    query = bad_lines(spark, str(source)).writeStream.option("checkpointLocation", f"{path}-bad-cp").trigger(**NOW)
+    query.format("parquet").start(f"{path}-bad").awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(f"{path}-bad").collect()) == ["bad 1", "bad 2"]
 
 
 def test_tail_of_text(spark, tmp_path):
