@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from emberlog.catalog.tables import LOGS_CTE, SINGLE_USE_CTE, comparable, event_logs, single_use_logs, table
 from emberlog.operators import limits, ordered, signposts, summary
-from emberlog.operators.coverage import coverage_matrix, redaction_check
+from emberlog.operators.coverage import coverage_matrix, coverage_table, redaction_check, redaction_table
 from emberlog.operators.filters import FilterSpec, grep, scan_filter
 from emberlog.operators.inventory import distinct_first, process_inventory
 from emberlog.plans.capture import bounded_capture, capture_report, capture_status
@@ -117,6 +117,25 @@ def _benchmark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_matrix(table(spark, sf_dir, "documents"), markers, ["en", "de", "fr", "es"], source="lang")
 
 
+def _place_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers that the given tables hold: for every part a text that some documents and events have."""
+    parts = table(spark, sf_dir, "part")
+    return parts.selectExpr("'m' || p_partkey AS marker", f"{SOUGHT} AS sought")
+
+
+# Parts as markers: short and long ones, ones that occur and ones that do not.
+SOUGHT = """CASE p_partkey % 5 WHEN 0 THEN '|k=' || p_partkey % 120 || '|' WHEN 1 THEN 'user ' || p_partkey
+    WHEN 2 THEN CAST(p_partkey AS STRING) WHEN 3 THEN 'k=' || p_partkey % 30 || '| user' ELSE '|' || p_partkey || '||' END"""
+
+
+def _coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage_table(_captures(spark, sf_dir), _place_markers(spark, sf_dir), CAPTURES)
+
+
+def _redaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction_table(_captures(spark, sf_dir), _place_markers(spark, sf_dir), "user 1")
+
+
 LIVE = dict(started="2024-01-01 00:00:00")
 
 QUERIES = {
@@ -243,6 +262,8 @@ QUERIES = {
     "coverage_matrix": _on(lambda lines: coverage_matrix(lines, MARKERS, CAPTURES), _captures),
     "coverage_matrix_documents": _benchmark_coverage,
     "redaction_check": _on(lambda lines: redaction_check(lines, MARKERS, "user 1"), _captures),
+    "coverage_table": _coverage_table,
+    "redaction_table": _redaction_table,
 }
 
 _PAIRED = f"""{LOGS_CTE}, paired AS (
@@ -491,6 +512,14 @@ ORACLES = {
             CASE WHEN bool_or(lang = 'fr' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS fr,
             CASE WHEN bool_or(lang = 'es' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS es
         FROM documents, markers GROUP BY marker""",
+    "coverage_table": f"""WITH lines AS ({_MARKED}), markers AS (SELECT 'm' || p_partkey AS marker, {SOUGHT} AS sought FROM part)
+        SELECT marker, {', '.join(
+            f"CASE WHEN bool_or(source = '{name}' AND contains(text, sought)) THEN 'YES' ELSE 'no' END AS {name}"
+            for name in CAPTURES)}
+        FROM lines, markers GROUP BY marker""",
+    "redaction_table": f"""WITH lines AS ({_MARKED}), markers AS (SELECT 'm' || p_partkey AS marker, {SOUGHT} AS sought FROM part)
+        SELECT source, marker, bool_or(contains(text, 'user 1')) AS leaked
+        FROM lines JOIN markers ON contains(text, sought) GROUP BY source, marker""",
     "redaction_check": f"""WITH lines AS ({_MARKED}), markers(marker, sought) AS (VALUES {_MARKER_ROWS})
         SELECT source, marker, bool_or(contains(text, sought)) AS present,
             bool_or(contains(text, sought) AND contains(text, 'user 1')) AS leaked

@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.catalog.tables import DOCUMENTS_CTE, LOGS_CTE, document_logs, event_logs
+from emberlog.catalog.tables import DOCUMENTS_CTE, LOGS_CTE, document_logs, event_logs, table
 from emberlog.operators import filters as f
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.profiles import Profile, profile_match
+from emberlog.operators.profiles import Profile, match_profiles, profile_match
 
 
 def _kept(build, columns=("seq", "level", "processName", "subsystem", "category")):
@@ -54,6 +54,27 @@ def _profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_match(event_logs(spark, sf_dir), PROFILES, Profile(info=True)).select("seq", "profile")
 
 
+# Suppliers as saved filters, a rule each, of all kinds.
+RULES = {
+    "profile": "'r' || s_suppkey",
+    "pid": "CASE WHEN s_suppkey % 8 IN (0, 7) THEN CAST(1000 + s_suppkey % 10 AS BIGINT) END",
+    "process": "CASE s_suppkey % 8 WHEN 1 THEN ' finder,Dock,FINDER' WHEN 7 THEN 'myapp' END",
+    "subsystem": "CASE s_suppkey % 8 WHEN 2 THEN 'com.app.net' WHEN 3 THEN 'com.app.net.http, com.app' END",
+    "category": "CASE WHEN s_suppkey % 8 IN (1, 4) THEN 'http,query' END",
+    "level": "CASE s_suppkey % 8 WHEN 0 THEN 'error' WHEN 4 THEN 'Default' WHEN 5 THEN 'fault' WHEN 6 THEN 'loud' END",
+    "grep": "CASE s_suppkey % 8 WHEN 2 THEN '^(view|ERR)' WHEN 6 THEN 'purchase' END",
+    "exclude_grep": "CASE s_suppkey % 8 WHEN 3 THEN 'CLICK' END",
+}
+
+
+def _match_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = table(spark, sf_dir, "supplier").selectExpr(*[f"{rule} AS {name}" for name, rule in RULES.items()])
+    found = match_profiles(event_logs(spark, sf_dir), rules)
+    return found.groupBy("profile").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("seq").alias("total")
+    )
+
+
 QUERIES = {
     "process_ci": _kept(lambda: f.process_ci("FINDER") | f.process_ci("Dock", case_sensitive=True)),
     "process_path_suffix": _kept(lambda: f.process_path_suffix(["Finder", "dock", "kernel"])),
@@ -93,6 +114,7 @@ QUERIES = {
     "time_range_last": _filtered(lambda logs: f.time_range(logs, last="36h", now="2024-01-20 12:30:00")),
     "time_range_boot": _filtered(lambda logs: f.time_range(logs, last="boot", boot="2024-01-25 00:00:00")),
     "profile_match": _profile_match,
+    "match_profiles": _match_profiles,
 }
 
 ORACLES = {
@@ -144,4 +166,17 @@ ORACLES = {
         UNION ALL SELECT seq, 'queries' FROM logs
             WHERE category = 'query' AND regexp_matches(message, '^(view|PURCHASE)$', 'i')
         UNION ALL SELECT seq, 'everything' FROM logs""",
+    "match_profiles": f"""{LOGS_CTE}, rules AS (SELECT {', '.join(f'{rule} AS {name}' for name, rule in RULES.items())} FROM supplier)
+        SELECT profile, count(*) AS n, min(seq) AS first, max(seq) AS last, CAST(sum(seq) AS BIGINT) AS total
+        FROM logs JOIN rules ON (rules.pid IS NULL OR logs.pid = rules.pid)
+            AND (process IS NULL OR list_contains(string_split(lower(trim(process)), ','), lower(processName)))
+            AND (rules.subsystem IS NULL OR len([p FOR p IN string_split(rules.subsystem, ',')
+                IF starts_with(logs.subsystem, trim(p))]) > 0)
+            AND (rules.category IS NULL OR list_contains(string_split(rules.category, ','), logs.category))
+            AND (rules.level IS NULL OR lower(rules.level) = 'loud' OR CASE lower(rules.level)
+                WHEN 'error' THEN logs.level IN ('Error', 'Fault') WHEN 'fault' THEN logs.level = 'Fault'
+                ELSE logs.level IN ('Default', 'Error', 'Fault') END)
+            AND (grep IS NULL OR regexp_matches(message, grep, 'i'))
+            AND (exclude_grep IS NULL OR NOT regexp_matches(message, exclude_grep, 'i'))
+        GROUP BY profile""",
 }

@@ -1,8 +1,11 @@
 """Which marker texts turn up in which capture, and whether secrets leak."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Characters of the piece that a marker is looked up by, and bytes of markers that go to every task at once.
+GRAM, MARKER_BYTES = 4, 4 << 20
+
 
 def coverage_matrix(
     lines: DataFrame, markers: dict[str, str], sources: list[str], text: str = "text", source: str = "source"
@@ -54,3 +57,72 @@ def redaction_check(
         for i, name in enumerate(markers)
     ]
     return seen.select(source, F.inline(F.array(*rows)))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All pieces of n characters of a text, wherever they begin."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
+
+
+def marker_keys(markers: DataFrame) -> DataFrame:
+    """marker, sought, key: of the pieces of each text the one that the fewest markers share.
+
+    Texts shorter than a piece are their own key. Null texts occur nowhere.
+    """
+    own = markers.where(F.col("sought").isNotNull()).select("marker", "sought").distinct()
+    pieces = F.when(F.char_length("sought") < GRAM, F.array("sought")).otherwise(F.array_distinct(_grams(F.col("sought"), GRAM)))
+    pieces = own.withColumn("key", F.explode(pieces))
+    shared = pieces.groupBy("key").agg(F.count("*").alias("_sharing"))
+    rarest = F.min_by("key", F.struct("_sharing", "key")).alias("key")
+    return pieces.join(shared, "key").groupBy("marker", "sought").agg(rarest)
+
+
+def _in_parts(keys: DataFrame) -> list[DataFrame]:
+    """The markers in parts of about MARKER_BYTES, one part unless there are very many."""
+    total = keys.agg(F.sum(F.octet_length("sought") + F.octet_length("key") + 64)).head()[0] or 0
+    n = max(1, -(-total // MARKER_BYTES))
+    return [keys.where(F.pmod(F.xxhash64("marker", "sought"), F.lit(n)) == k) for k in range(n)] if n > 1 else [keys]
+
+
+def find_markers(
+    lines: DataFrame, markers: DataFrame, text: str = "text", source: str = "source", secret: str | None = None
+) -> DataFrame:
+    """source, marker, n_lines, leaked: which markers of a table occur in lines of which source.
+
+    `markers` has `marker` and `sought`, the text to look for. A line is taken apart into pieces
+    of a few characters; those that are a marker's key meet it in a join, and only there the
+    whole text is looked for. The plan does not grow with the markers, and one pass over the
+    lines serves all of them up to some 40 000; beyond that there is a pass for each part. Lines
+    are counted per task before the shuffle. `leaked` tells whether any such line holds `secret`.
+    """
+    keys = marker_keys(markers)
+    lengths = sorted(r[0] for r in keys.select(F.char_length("key")).distinct().collect())  # 0 to GRAM
+    given = lines.select(F.col(source).alias("source"), F.col(text).alias("_text"))
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    leaks = F.lit(False) if secret is None else F.col("_text").contains(secret)
+    met = None
+    for part in _in_parts(keys):
+        # A part has a checked size; a broadcast keeps the pieces in the task that made them.
+        found = given.withColumn("key", F.explode(pieces)).join(F.broadcast(part), "key")
+        found = found.where(F.contains("_text", "sought")).groupBy("source", "marker", "sought").agg(
+            F.count("*").alias("n_lines"), F.coalesce(F.bool_or(leaks), F.lit(False)).alias("leaked")
+        )
+        met = found if met is None else met.unionByName(found)
+    return met.drop("sought")
+
+
+def coverage_table(
+    lines: DataFrame, markers: DataFrame, sources: list[str], text: str = "text", source: str = "source"
+) -> DataFrame:
+    """`coverage_matrix` for markers that are a table: a row per marker, `YES` or `no` per source."""
+    found = find_markers(lines.where(F.col(source).isin(sources)), markers, text, source)
+    seen = found.groupBy("marker").agg(*[F.bool_or(F.col("source") == name).alias(f"_{j}") for j, name in enumerate(sources)])
+    cells = [F.when(F.coalesce(f"_{j}", F.lit(False)), "YES").otherwise("no").alias(name) for j, name in enumerate(sources)]
+    return markers.select("marker").distinct().join(seen, "marker", "left").select("marker", *cells)
+
+
+def redaction_table(
+    lines: DataFrame, markers: DataFrame, secret: str, text: str = "text", source: str = "source"
+) -> DataFrame:
+    """`redaction_check` for markers that are a table, of the pairs that are present: source, marker, leaked."""
+    return find_markers(lines, markers, text, source, secret).select("source", "marker", "leaked")

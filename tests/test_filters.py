@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from rows import at, log_frame
 
 from emberlog.operators import filters as f
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.profiles import Profile, profile_match
+from emberlog.operators.profiles import Profile, match_profiles, profile_match
 
 
 def keeps(spark, predicate, *rows):
@@ -149,3 +150,49 @@ def test_profiles(spark):
     assert sorted((r.seq, r.profile) for r in found.collect()) == [
         (0, "all"), (0, "bad"), (0, "one"), (1, "all"), (2, "all"), (2, "bad"),
     ]
+
+
+def table_of(spark, profiles):
+    names = ["process", "pid", "subsystem", "category", "level", "grep", "exclude_grep"]
+    rows = [(name, *[getattr(profile, n) for n in names]) for name, profile in profiles.items()]
+    kinds = ", ".join(f"{n} {'long' if n == 'pid' else 'string'}" for n in names)
+    return spark.createDataFrame(rows, f"profile string, {kinds}")
+
+
+def test_profiles_of_a_table_match_as_the_others(spark):
+    """Random rules and rows, nulls everywhere, lists with repeats and with prefixes of each other."""
+    chance = random.Random(8)
+
+    def some(*values):
+        return chance.choice([None, None, *values])
+
+    rows = [
+        {"processName": some("A", "b"), "pid": some(1, 2), "subsystem": some("com.a", "com.ab.c", "x"), "category": some("c", "d", ""),
+         "level": some("Debug", "Default", "Error"), "message": some("one", "TWO", "")}
+        for _ in range(60)
+    ]
+    logs = log_frame(spark, rows)
+    profiles = {
+        str(i): Profile(
+            process=some("a, B,a", "a"), pid=some(1, 2), subsystem=some("com.a,com,com.ab", "com.ab", " , "), category=some("c,d", "c"),
+            level=some("error", "Info", "loud"), grep=some("o"), exclude_grep=some("^t", "e$"),
+        )
+        for i in range(80)
+    }
+    for overrides in (None, Profile(level="default"), Profile(grep="n", pid=1)):
+        expected = profile_match(logs, profiles, overrides).select("seq", "profile").collect()
+        found = match_profiles(logs, table_of(spark, profiles), overrides).select("seq", "profile").collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+    assert match_profiles(logs, table_of(spark, profiles).limit(0)).count() == 0
+
+
+def test_ten_thousand_profiles_have_the_same_plan(spark):
+    logs = log_frame(spark, [{"pid": i} for i in range(50)])
+
+    def plan(n):
+        rules = spark.range(n).selectExpr("string(id) AS profile", "id AS pid", "if(id % 2 = 0, 'com.test', null) AS subsystem")
+        found = match_profiles(logs, rules)
+        return found, found._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+
+    few, many = plan(10), plan(10_000)
+    assert few[1] == many[1] and many[0].count() == 25 and few[0].count() == 5
