@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.catalog.tables import LOGS_CTE, as_logs, comparable, event_logs, table
-from emberlog.operators.filters import FilterSpec
+from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.signposts import intervals_of, signpost_summary
 from emberlog.operators.summary import dimension_counts, summary_of
+from emberlog.plans.envelope import written_envelope
 from emberlog.sources.ingest import ingest_legacy_text, ingest_mixed, ingest_ndjson
 from emberlog.sources.store import (
     replay_spill,
@@ -137,6 +138,18 @@ def _replay_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(found.select("seq", "timestamp", "processName", "level", "message", "signpostID"))
 
 
+def _written_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer about errors, and what the file beside it holds."""
+    path = shared_dir(spark, "rest")
+    errors = scan_filter(event_logs(spark, sf_dir), FilterSpec(level="error"))
+    answer = written_envelope(errors, path, threshold=20, k=5)
+    rest = replay_spill(spark, path).agg(
+        F.count("*").alias("written"), F.min("timestamp").alias("since"), F.max("timestamp").alias("until")
+    )
+    shown = answer.select("count", "truncated", F.size("head").alias("head"), F.size("tail").alias("tail"), F.col("output_file").isNotNull().alias("written_out"))
+    return comparable(shown.crossJoin(rest))
+
+
 def _structured_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON rows taken apart again."""
     lines = structured_json(event_logs(spark, sf_dir))
@@ -273,6 +286,7 @@ QUERIES = {
     "scan_archive": _scan_archive,
     "write_spill": _write_spill,
     "replay_spill": _replay_spill,
+    "written_envelope": _written_envelope,
     "structured_output": lambda spark, sf_dir: comparable(structured_output(event_logs(spark, sf_dir))),
     "structured_json": _structured_json,
     "source_projection": lambda spark, sf_dir: source_projection(event_logs(spark, sf_dir)).select("seq", "source"),
@@ -323,6 +337,9 @@ ORACLES = {
     "write_spill": f"{LOGS_CTE} SELECT * REPLACE (CAST(signpostID AS VARCHAR) AS signpostID) FROM logs",
     "replay_spill": f"""{LOGS_CTE} SELECT seq, timestamp, processName, level, message, CAST(signpostID AS VARCHAR) AS signpostID
         FROM logs WHERE processName IN ('Finder', 'Dock') AND level <> 'Debug' AND NOT contains(message, 'purch')""",
+    "written_envelope": f"""{LOGS_CTE}, errors AS (SELECT * FROM logs WHERE level IN ('Error', 'Fault'))
+        SELECT count(*) AS count, count(*) > 10 AS truncated, CAST(5 AS INT) AS head, CAST(5 AS INT) AS tail, true AS written_out,
+            count(*) AS written, min(timestamp) AS since, max(timestamp) AS until FROM errors""",
     "structured_output": f"""{LOGS_CTE} SELECT timestamp, processName AS process, pid, level, message, subsystem, category,
         threadID, activityID, processImagePath, senderImagePath, traceID, eventType, source FROM logs""",
     "structured_json": f"""{LOGS_CTE} SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,

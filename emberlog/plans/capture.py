@@ -20,9 +20,14 @@ def _later(time: Column, seconds: float) -> Column:
     return time + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
 
 
-def _first_time(logs: DataFrame) -> Column:
-    """When the first row arrived, as a scalar subquery."""
-    return logs.agg(F.min_by("timestamp", "seq")).scalar()
+def _state(logs: DataFrame) -> Column:
+    """When the first row arrived and the latest time of any, `first` and `newest`: one read, one scalar subquery.
+
+    Rows are beyond a deadline exactly if the latest time is, so nothing has to be counted for that.
+    """
+    return logs.agg(
+        F.struct(F.min_by("timestamp", "seq").alias("first"), F.max("timestamp").alias("newest")).alias("state")
+    ).scalar()
 
 
 def capture_status(
@@ -41,26 +46,34 @@ def capture_status(
     timeout, capture = seconds_of(timeout, "timeout"), seconds_of(capture, "capture")
     if count is not None and count <= 0:
         raise ValueError("count must be a positive integer")
-    first = _first_time(logs)
+    first = _state(logs)["first"]
     inside = F.count("*") if capture is None else F.count_if(F.col("timestamp") <= _later(first, capture))
     totals = logs.agg(
         F.count("*").alias("_all"), inside.alias("_inside"), F.min_by("timestamp", "seq").alias("_first")
     )
-    late = F.lit(False)
-    if timeout is not None:
-        if started is None:
-            raise ValueError("timeout needs the time the capture started")
-        begun = F.lit(started).cast(logs.schema["timestamp"].dataType)
-        late = F.col("_first").isNull() | (F.col("_first") > _later(begun, timeout))
+    late = _too_late(F.col("_first"), logs, timeout, started)
+    reason = _reason(late, F.col("_inside"), F.col("_all") > F.col("_inside"), capture, count)
+    most = F.col("_inside") if count is None else F.least("_inside", F.lit(count))
+    return totals.select(F.when(late, 0).otherwise(most).cast("long").alias("captured"), reason.alias("stop_reason"))
+
+
+def _too_late(first: Column, logs: DataFrame, timeout: float | None, started) -> Column:
+    """Whether no row came within `timeout` of the start."""
+    if timeout is None:
+        return F.lit(False)
+    if started is None:
+        raise ValueError("timeout needs the time the capture started")
+    begun = F.lit(started).cast(logs.schema["timestamp"].dataType)
+    return first.isNull() | (first > _later(begun, timeout))
+
+
+def _reason(late: Column, inside: Column, beyond: Column, capture: float | None, count: int | None) -> Column:
     reason = F.when(late, "timeout")
     if count is not None:
-        reason = reason.when(F.col("_inside") >= count, "count")
+        reason = reason.when(inside >= count, "count")
     if capture is not None:
-        reason = reason.when(F.col("_all") > F.col("_inside"), "capture")
-    most = F.col("_inside") if count is None else F.least("_inside", F.lit(count))
-    return totals.select(
-        F.when(late, 0).otherwise(most).cast("long").alias("captured"), reason.otherwise("exhausted").alias("stop_reason")
-    )
+        reason = reason.when(beyond, "capture")
+    return reason.otherwise("exhausted")
 
 
 def bounded_capture(
@@ -70,16 +83,25 @@ def bounded_capture(
     count: int | None = None,
     started=None,
 ) -> DataFrame:
-    """The rows such a capture takes, each with the `stop_reason` (see `capture_status`)."""
-    status = capture_status(logs, timeout, capture, count, started)
-    rows = logs
-    capture = seconds_of(capture, "capture")
+    """The rows such a capture takes, each with the `stop_reason` (see `capture_status`).
+
+    One state of the whole input says when the time runs out and whether rows came after that;
+    how many rows there are inside comes with their numbers, which only `count` asks for.
+    """
+    timeout, capture = seconds_of(timeout, "timeout"), seconds_of(capture, "capture")
+    if count is not None and count <= 0:
+        raise ValueError("count must be a positive integer")
+    rows = logs.withColumn("_state", _state(logs))
+    first, newest = F.col("_state")["first"], F.col("_state")["newest"]
     if capture is not None:
-        rows = rows.where(F.col("timestamp") <= _later(_first_time(logs), capture))
+        rows = rows.where(F.col("timestamp") <= _later(first, capture))
+    inside = F.lit(0)
     if count is not None:
-        rows = rank_rows(rows, F.col("seq"), limit=count).drop("rank")
-    rows = rows.withColumn("stop_reason", status.select("stop_reason").scalar())
-    return rows.where("stop_reason <> 'timeout'")
+        rows, inside = rank_rows(rows, F.col("seq"), limit=count, total="_inside").drop("rank"), F.col("_inside")
+    late = _too_late(first, logs, timeout, started)
+    beyond = F.lit(False) if capture is None else newest > _later(first, capture)
+    rows = rows.withColumn("stop_reason", _reason(late, inside, beyond, capture, count))
+    return rows.where("stop_reason <> 'timeout'").drop("_state", "_inside")
 
 
 def capture_report(
@@ -100,13 +122,13 @@ def capture_report(
     """
     if count is not None and count <= 0:
         raise ValueError(f"count must be a positive integer, got {count}")
-    kind = logs.schema["timestamp"].dataType
-    begun = _first_time(logs) if started is None else F.lit(started).cast(kind)
+    state = _state(logs)
+    begun = state["first"] if started is None else F.lit(started).cast(logs.schema["timestamp"].dataType)
     deadline = _later(begun, timeout)
     matching = scan_filter(logs, spec or FilterSpec(), mode="live").where(F.col("timestamp") <= deadline)
     taken = retained_rows(matching, count)
     answer = summary_struct(sampled_summary(taken, None, threshold, k, False)).withColumnRenamed("count", "captured")
-    went_on = logs.agg(F.max("timestamp")).scalar() > deadline
+    went_on = state["newest"] > deadline
     return answer.withColumns(
         {
             "requested": F.lit(count).cast("long"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from emberlog.operators.filters import FilterSpec
 from emberlog.operators.limits import empty_hint, limit_n
 from emberlog.operators.summary import TOP_N, combination_counts, summary_of
+from emberlog.sources.store import write_spill
 
 
 def retained_rows(logs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -65,6 +66,33 @@ def summary_struct(answer: DataFrame) -> DataFrame:
     return answer.withColumn("summary", F.when(F.col("count") > 0, F.struct(*parts))).drop(*parts)
 
 
+def written_envelope(
+    logs: DataFrame,
+    path: str,
+    threshold: int,
+    k: int,
+    limit: int | None = None,
+    ceiling: int | None = None,
+    spec: FilterSpec | None = None,
+    last: str | None = None,
+    n: int = TOP_N,
+) -> DataFrame:
+    """A `result_envelope` whose rows are written out when the answer does not show them all.
+
+    Adds `output_file`: `path`, which then holds all rows, or the first `limit`, as `write_spill`
+    leaves them for `replay_spill`; null if the answer shows them, and then nothing is written.
+    The answer is computed here, once; a file that stands at `path` already is replaced.
+    """
+    spark = logs.sparkSession
+    seen = logs if ceiling is None else limit_n(logs, ceiling)
+    answer = result_envelope(logs, limit, ceiling, threshold, k, spec=spec, last=last, n=n)
+    answer = answer.withColumn("output_file", F.when(F.col("entries").isNull(), F.lit(path)))
+    told = answer.collect()
+    if told[0]["output_file"] is not None:
+        write_spill(retained_rows(seen, limit), path)
+    return spark.createDataFrame(told, answer.schema)
+
+
 def result_envelope(
     logs: DataFrame,
     limit: int | None = None,

@@ -1,13 +1,16 @@
 import pytest
-from rows import at, log_frame
+from executed import executed, scans
+from rows import SF_DIR, at, log_frame
 
+from emberlog.catalog.tables import as_logs
 from emberlog.operators.coverage import coverage_matrix, redaction_check
 from emberlog.operators.filters import FilterSpec
 from emberlog.operators.inventory import distinct_first, process_inventory
 from emberlog.operators.limits import head_tail, last_n, limit_n, list_head_tail, next_since, scan_ceiling, tail_cursor
 from emberlog.operators.summary import combination_counts, dimension_counts, result_summary, summary_of
 from emberlog.plans.capture import bounded_capture, capture_report, capture_status
-from emberlog.plans.envelope import result_envelope, retained_rows
+from emberlog.plans.envelope import result_envelope, retained_rows, written_envelope
+from emberlog.sources.store import replay_spill
 
 
 def many(spark, n, **columns):
@@ -201,3 +204,27 @@ def test_coverage(spark):
     assert checks[("show", "private")] == (True, True)
     assert checks[("show", "fault")] == (True, False)
     assert checks[("stdout", "private")] == (False, False)
+
+
+def test_an_answer_with_its_rest_written_out(spark, tmp_path):
+    """A file exactly when the answer does not show all rows; it holds them all and can be replayed."""
+    path = str(tmp_path / "rest")
+    small = written_envelope(many(spark, 20), path, threshold=20, k=3).head()
+    assert small.output_file is None and len(small.entries) == 20 and not (tmp_path / "rest").exists()
+    logs = many(spark, 200, subsystem="com.a")
+    answer = written_envelope(logs, path, threshold=20, k=3, limit=150)
+    told = answer.head()
+    assert told.output_file == path and numbers(told.head) == [0, 1, 2] and numbers(told.tail) == [147, 148, 149]
+    assert answer.drop("output_file").head() == result_envelope(logs, limit=150, threshold=20, k=3).head()
+    assert [r.message for r in replay_spill(spark, path).orderBy("seq").collect()] == [f"m{i}" for i in range(150)]
+    capped = written_envelope(logs, path, threshold=20, k=3, ceiling=40).head()
+    assert (capped["count"], capped.scan_capped, replay_spill(spark, path).count()) == (40, True, 40)
+
+
+def test_captures_read_their_state_once(spark):
+    """One state of the input for all that is asked of it, subqueries counted."""
+    path = f"{SF_DIR}/events.parquet"
+    logs = as_logs(spark.read.parquet(path))
+    assert scans(executed(bounded_capture(logs, capture="72h"))) == 2
+    assert scans(executed(bounded_capture(logs, capture="72h", count=50, timeout="1h", started="2024-01-01"))) <= 5
+    assert scans(executed(capture_report(logs, timeout=7200, threshold=20, k=3))) <= 4
