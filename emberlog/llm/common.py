@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """`wanted`, or that with as many underscores after it as keep it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def import_path(spark: SparkSession) -> None:
     """Let the Python workers of a local session import this package as the driver does."""
     root = str(Path(__file__).resolve().parents[2])

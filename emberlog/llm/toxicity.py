@@ -39,7 +39,7 @@ class Lexicon:
 
     def __init__(self, words: list[bytes]):
         bare = [w.strip(EDGES) or w for w in words]
-        self.word = np.array([zlib.crc32(w) % BUCKETS for w in bare], np.int64)
+        self.word = np.array([zlib.crc32(w) % BUCKETS for w in bare], np.int32)
         self.length = np.array([len(w) for w in bare], np.int64)
         inside = np.frombuffer(b"^" + b"$^".join(bare) + b"$", np.uint8).astype(np.uint64)
         begins = np.cumsum(self.length + 2) - self.length - 2
@@ -51,7 +51,7 @@ class Lexicon:
                 mixed = mixed * np.uint64(0x100000001B3) + inside[k : k + places] + np.uint64(n)
             mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)
             counts = np.maximum(self.length + 3 - n, 0)
-            self.grams.append(mixed[_ranges(begins, counts)].astype(np.int64))
+            self.grams.append(mixed.astype(np.int32)[_ranges(begins, counts)])
             self.counts.append(counts)
 
     def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,30 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+class Counts:
+    """How many documents of either label hold each word and each n-gram, per fold."""
+
+    def __init__(self):
+        self.documents = np.zeros((FOLDS, 2), np.int64)
+        self.held = np.zeros((2, FOLDS, 2, BUCKETS), np.int32)
+
+    def add(self, ids: tuple[np.ndarray, np.ndarray], fold: int, label: int) -> None:
+        """A document's distinct word ids and n-gram ids."""
+        self.documents[fold, label] += 1
+        for part in (0, 1):
+            self.held[part, fold, label, ids[part]] += 1
+
+    def odds(self, without: int | None = None) -> "Odds":
+        """Odds over all documents, or over those of the other folds."""
+        rest = np.array([k for k in range(FOLDS) if k != without])
+        n = self.documents[rest].sum(axis=0) + 1.0
+        smooth, out = 0.5 * n / n.sum(), []
+        for part in (0, 1):
+            df = self.held[part, rest].sum(axis=0, dtype=np.float64)
+            out.append(np.log((df[1] + smooth[1]) / n[1]) - np.log((df[0] + smooth[0]) / n[0]))
+        return Odds(*(np.clip(x, -4, 6).astype(np.float32) for x in out))
+
+
 @dataclass
 class Odds:
     """Log odds of toxic against clean documents for each word and each n-gram."""
@@ -72,19 +96,6 @@ class Odds:
     word: np.ndarray
     gram: np.ndarray
 
-    @staticmethod
-    def fit(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> "Odds":
-        """documents: the distinct word ids and gram ids of each, and its label."""
-        n = np.bincount([y for _, _, y in documents], minlength=2) + 1.0
-        out = []
-        for part in (0, 1):
-            df = np.zeros((2, BUCKETS), np.float64)
-            for d in documents:
-                df[d[2], d[part]] += 1
-            smooth = 0.5 * n / n.sum()
-            out.append(np.log((df[1] + smooth[1]) / n[1]) - np.log((df[0] + smooth[0]) / n[0]))
-        return Odds(*(np.clip(x, -4, 6).astype(np.float32) for x in out))
-
     def features(self, lexicon: Lexicon) -> np.ndarray:
         """What the network sees of each word: its own odds, and the odds of its characters."""
         n = len(lexicon.word)
@@ -225,15 +236,18 @@ class Model:
         """
         known: dict[bytes, int] = {}
         indices = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int32) for t in texts]
+        del texts
         lexicon = Lexicon(list(known))
-        seen = [(*lexicon.ids_of(np.unique(index)), y) for index, y in zip(indices, labels)]
+        known.clear()
+        counts = Counts()
+        for k, (index, label) in enumerate(zip(indices, labels)):
+            counts.add(lexicon.ids_of(np.unique(index)), k % FOLDS, label)
         base = (sum(labels) + 0.5) / (len(labels) + 5.0)
         network = Network()
         if len(set(labels)) == 2:
             xs, masks, ys = [], [], []
             for fold in range(FOLDS):
-                odds = Odds.fit([d for k, d in enumerate(seen) if k % FOLDS != fold])
-                table = odds.features(lexicon)
+                table = counts.odds(fold).features(lexicon)
                 for k in range(fold, len(indices), FOLDS):
                     if not len(indices[k]):
                         continue
@@ -248,7 +262,7 @@ class Model:
                     masks.append(mask)
                     ys += [labels[k]] * len(chosen)
             network.fit(np.concatenate(xs, axis=1), np.concatenate(masks, axis=1), np.array(ys, np.float32))
-            return Model(Odds.fit(seen), network, base)
+            return Model(counts.odds(), network, base)
         none = np.zeros(BUCKETS, np.float32)
         network.p["w"][:] = 0
         network.p["c"][:] = np.log(base / (1 - base))
@@ -327,21 +341,25 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts: at most MOST_TOXIC and MOST_CLEAN, least hashed ids first.
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN
+) -> tuple[list[bytes], list[int]]:
+    """A bounded sample of labelled texts, least hashed ids first.
 
-    Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never taken.
+    Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never taken. Of rows with one id
+    the least text is taken, once.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     known = known.groupBy("label_id").agg(F.max("label").alias("label"))
     taken = None
-    for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
+    for label, most in ((1, most_toxic), (0, most_clean)):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
         taken = part if taken is None else taken.unionByName(part)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    # At most MOST_TOXIC + MOST_CLEAN rows of an id and a label.
-    rows = own.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    # At most most_toxic + most_clean rows of an id and a label.
+    rows = own.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sample = sorted((r["doc_id"], bytes(r["text"] or b""), r["label"]) for r in rows.toLocalIterator())
     return [t for _, t, _ in sample], [y for _, _, y in sample]
 
@@ -350,18 +368,33 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit a model on the labelled rows of docs that are not held out, in a bounded sample."""
-    return Model.fit(*training_rows(docs, labels, id_col, text_col))
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_toxic: int = MOST_TOXIC,
+    most_clean: int = MOST_CLEAN,
+) -> Model:
+    """Fit a model on the labelled rows of docs that are not held out, in a bounded sample.
+
+    At most `most_toxic` and `most_clean` documents. Labels other than 0 and 1 and null ids teach
+    nothing; an id with both labels is toxic. Null texts are empty. Without rows, or with one
+    label only, every text scores the base rate.
+    """
+    return Model.fit(*training_rows(docs, labels, id_col, text_col, most_toxic, most_clean))
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `toxicity`, 0 to 1, the greatest score among all overlapping windows of a text.
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """docs with `score_col`, 0 to 1, the greatest score among all overlapping windows of a text.
 
     Only the text is looked at. Null and empty texts have the base rate of the sample. Repeated
-    rows score alike. All columns come back as they are, so none may be called toxicity. Without
+    rows score alike. Long texts are scored window by window, all of them. All columns come back
+    as they are, so `score_col` has to be a name that docs has not (`free_name` finds one). Without
     rows no rows come.
     """
+    if score_col in docs.columns:
+        raise ValueError(f"docs has a column {score_col} already")
     import_path(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the data
 
@@ -375,4 +408,4 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for column in texts:
             yield pd.Series(scorer.score(iter(column), len(column)))
 
-    return docs.withColumn("toxicity", scored(F.col(text_col).cast("binary")))
+    return docs.withColumn(score_col, scored(F.col(text_col).cast("binary")))
