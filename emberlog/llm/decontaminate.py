@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ascii_lower, materialize
+from emberlog.llm.common import ascii_lower, free_name, materialize
 
 # Fixed value: what separates words, after lower-casing A-Z.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -174,18 +174,21 @@ def decontaminate(
     """docs without contaminated documents (remove="documents"), or without the hit words (remove="spans").
 
     Columns stay as they are. With "spans", the words of a document that is hit are joined by one
-    space, lower-cased, without the hit ones; other documents stay untouched.
+    space, lower-cased, without the hit ones; other documents stay untouched. Null texts and those
+    without words are never hit, rows that repeat get the same answer, and empty tables give docs
+    as they are. Long texts are searched whole.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     hits = find_contamination(docs, benchmark, window, id_col, text_col).where("n_hit > 0")
-    hits = hits.select(F.col("uid").alias("_hit_uid"), F.col("spans").alias("_hit_spans")).dropDuplicates(["_hit_uid"])
+    hit, spans = free_name(docs.columns, "_hit_uid"), free_name(docs.columns, "_hit_spans")
+    hits = hits.select(F.col("uid").alias(hit), F.col("spans").alias(spans)).dropDuplicates([hit])
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     if remove == "documents":
-        return docs.join(hits, uid == F.col("_hit_uid"), "left_anti")
+        return docs.join(hits, uid == F.col(hit), "left_anti")
     kept = F.filter(
         words_of(F.col(text_col)),
-        lambda w, i: ~F.exists("_hit_spans", lambda s: (i >= s["first"]) & (i < s["first"] + s["n"])),
+        lambda w, i: ~F.exists(spans, lambda s: (i >= s["first"]) & (i < s["first"] + s["n"])),
     )
-    text = F.when(F.col("_hit_uid").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))
-    return docs.join(hits, uid == F.col("_hit_uid"), "left").withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))
+    return docs.join(hits, uid == F.col(hit), "left").withColumn(text_col, text).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize, one_space
+from emberlog.llm.common import free_name, materialize, one_space
 
 # A chunk ends after the first clause mark and space at or beyond 512 characters, so that an
 # insertion moves no cut but those near it; a text without such marks is cut every 8192.
@@ -88,6 +88,13 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; columns as they were. Rows with a null id stay if nothing equals them."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    """docs without the copies; columns as they were, whatever they are called.
+
+    Of equal texts the row with the smallest id stays, once if it is there repeatedly. Rows with a
+    null id stay if no row with an id equals them, also once. Null and empty texts are equal. Long
+    texts are compared by their chunks. Without documents no rows come.
+    """
+    kept_id, same = free_name(docs.columns, "_kept_id"), free_name(docs.columns, "_same")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    return kept.withColumn(same, F.md5(one_space(F.col(text_col)))).dropDuplicates([id_col, same]).drop(same)

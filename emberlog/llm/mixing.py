@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize
+from emberlog.llm.common import free_name, materialize
 
 
 def uniform(*parts: Column) -> Column:
@@ -76,19 +76,21 @@ def mix_sources(
     rows are ordered (range-partitioned, so a hot source spreads over all tasks). Sources missing
     from `weights` have share 0 and go. A null source is a source of its own, share 0 if weights
     are given. Null text has no characters. Rows with the same id draw the same count; null ids
-    draw as one id. Without documents no rows come.
+    draw as one id. Columns of docs that are called like the added ones stay, and the added ones
+    get underscores behind their names (`free_name`). Without documents no rows come.
 
     The table of rates has a row per source; Spark broadcasts it while its written size is below
     its own threshold and otherwise joins by shuffle, splitting a hot source's partition.
     """
     rates = materialize(source_rates(docs, weights, epochs, power, source_col, text_col), "source-rates")
-    drawn = docs.join(rates.select("mix_source", "mix_steps"), F.col(source_col).eqNullSafe(F.col("mix_source")))
+    inner = ("mix_source", "mix_steps", "mix_copies", "mix_copy", "mix_key")
+    source, steps, n, nth, place = (free_name(docs.columns, name) for name in inner)
+    rates = rates.select(F.col("mix_source").alias(source), F.col("mix_steps").alias(steps))
+    drawn = docs.join(rates, F.col(source_col).eqNullSafe(F.col(source)))
     u = uniform(F.lit(seed), F.col(id_col))
-    drawn = drawn.withColumn("mix_copies", F.size(F.filter("mix_steps", lambda c: c <= u)).cast("long"))
-    copies = drawn.where("mix_copies > 0").select(
-        *[docs[c] for c in docs.columns],
-        "mix_copies",
-        F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("mix_copy"),
+    drawn = drawn.withColumn(n, F.size(F.filter(steps, lambda c: c <= u)).cast("long"))
+    copies = drawn.where(F.col(n) > 0).select(
+        *docs.columns, n, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(nth)
     )
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy"))
-    return copies.withColumn("mix_key", key).orderBy("mix_key")
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), nth))
+    return copies.withColumn(place, key).orderBy(place)

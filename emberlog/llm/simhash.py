@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import import_path, materialize
+from emberlog.llm.common import free_name, import_path, materialize
 from emberlog.llm.components import connected_components
 
 # Buckets up to this size are compared all at once, row against the rows after it.
@@ -231,5 +231,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **settings) -> Dat
     Rows with a null id go if their component has an id, and stay otherwise.
     """
     kept = near_copies(docs, id_col=id_col, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept_id = free_name(docs.columns, "_kept_id")
+    kept = kept.select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
