@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize, shared_path
+from emberlog.llm.common import free_name, materialize, shared_path
 from emberlog.llm.decontaminate import decontaminate
 from emberlog.llm.mixing import mix_sources
 from emberlog.llm.queries import END_ID, TOXIC_FROM, tokenizer_path
@@ -21,7 +21,8 @@ from emberlog.llm.toxicity import fit_toxicity, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model is fitted on those that `labels` covers."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
