@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,9 +49,10 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
 class ChunkEncoder:
     """A tokenizer of the tokenizers library that keeps what it has encoded, chunk by chunk.
 
-    For tokenizers that lower their input and whose pieces never cross ASCII white space, nor a
-    change from letters to punctuation: then a text's ids are those of its chunks in order, and a
-    chunk that is met again need not be encoded again. `__init__` checks this on a probe.
+    For tokenizers that lower their input, cut it at ASCII white space and between a letter and a
+    comma or full stop, drop the white space, and merge inside what is left: then a text's ids are
+    those of its chunks in order, and a chunk that is met again need not be encoded again.
+    `__init__` checks this on a probe.
     """
 
     def __init__(self, path: str):
@@ -58,23 +60,54 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = bool(suffix) and token.endswith(suffix)
+        # Whether a word of lower-case ASCII letters reaches the merges as it is.
+        letters, before = "abcdefghijklmnopqrstuvwxyz", self.tokenizer.pre_tokenizer
+        as_it_is = self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(letters) == letters
+        self.bare = as_it_is and before is not None and [w for w, _ in before.pre_tokenize_str(letters)] == [letters]
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         probe = "It's  One,\n\tTwo-é́. <|endoftext|>x   3.4, ... THE END."
         if self._encoded([probe])[0] != self(probe.encode()).tobytes():
             raise ValueError(f"{path}: pieces cross white space; encode whole texts with it")
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(m.ids, np.uint32).tobytes() for m in made]
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk.
+
+        Plain words go straight to the merges. Other words of letters are encoded in one text:
+        every chunk ends a word at least once, so if there are as many ends as words, each end is
+        a word's. What is left is encoded alone.
+        """
+        told: dict[str, bytes] = {}
+        if self.bare:
+            merged = self.tokenizer.model.tokenize
+            for c in chunks:
+                if c.isascii() and c.isalpha() and c.islower():
+                    told[c] = array("I", [t.id for t in merged(c)]).tobytes()
+        words = [c for c in chunks if c not in told and c.isalpha()]
+        if words:
+            (made,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+            ids = np.array(made.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), (4 * ends).tolist()
+                told.update((w, data[s:e]) for w, s, e in zip(words, [0, *at], at))
+        rest = [c for c in chunks if c not in told]
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        told.update((c, np.array(m.ids, np.uint32).tobytes()) for c, m in zip(rest, made))
+        return [told[c] for c in chunks]
 
     def _learn(self, missing: set[bytes]) -> None:
         """Take chunks from the older generation or encode them.
 
-        A comma or full stop after letters is a piece of its own, so such a chunk is put together.
+        A comma or full stop after an ASCII letter is a piece of its own, so such a chunk is put
+        together. Other letters may be taken apart before they are cut, and end in a mark.
         """
         recent, older = self.recent, self.older
-        split = {c for c in missing if c[-1:] in ENDINGS and c not in older and c[:-1].decode().isalpha()}
+        split = {c for c in missing if c[-1:] in ENDINGS and c not in older and c[-2:-1].isalpha()}
         wanted = (missing - split) | {c[:-1] for c in split} | {c[-1:] for c in split}
         wanted = {c for c in wanted if c not in recent}
         found = {c for c in wanted if c in older}
