@@ -24,10 +24,11 @@ WITH l AS (
          first_value(masked) OVER w AS leader, first_value(ts) OVER w AS leader_ts
   FROM v WINDOW w AS (PARTITION BY n, lead ORDER BY docs DESC, masked)
 ), p AS (
-  SELECT masked, docs,
+  SELECT masked,
          CASE WHEN len([1 FOR i IN range(1, n + 1) IF ts[i] = leader_ts[i]]) >= 0.7::DOUBLE * n THEN leader ELSE masked END AS first
   FROM g
-), r AS (SELECT masked FROM p JOIN (SELECT first FROM p GROUP BY first HAVING sum(docs) >= 3) USING (first))
+), f AS (SELECT first FROM p JOIN m USING (masked) GROUP BY first HAVING count(DISTINCT doc_id) >= 3),
+r AS (SELECT masked FROM p JOIN f USING (first))
 SELECT m.doc_id, count(*) AS n_lines, count(r.masked) AS n_dropped,
        coalesce(string_agg(CASE WHEN r.masked IS NOT NULL THEN line::VARCHAR END, ',' ORDER BY line), '') AS dropped_lines
 FROM m LEFT JOIN r USING (masked) GROUP BY m.doc_id

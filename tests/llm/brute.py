@@ -165,15 +165,17 @@ def recurring_lines(docs, min_docs=3, depth=3, similarity=0.7):
     for m in counts:
         tokens = m.split(" ")
         leaves[len(tokens), " ".join(tokens[:depth])].append(m)
-    totals, template = defaultdict(int), {}
+    template, holders = {}, defaultdict(set)
     for leaf in leaves.values():
         leader = min(leaf, key=lambda m: (-counts[m], m.encode()))
         for m in leaf:
             equal = sum(a == b for a, b in zip(m.split(" "), leader.split(" ")))
             template[m] = leader if equal >= similarity * len(m.split(" ")) else m
-            totals[template[m]] += counts[m]
+    for row, own in enumerate(lines):
+        for m in set(own) - {""}:
+            holders[template[m]].add(row)
     return [
-        (i, len(own), [k for k, m in enumerate(own) if m and totals[template[m]] >= min_docs])
+        (i, len(own), [k for k, m in enumerate(own) if m and len(holders[template[m]]) >= min_docs])
         for (i, _), own in zip(docs, lines)
     ]
 
