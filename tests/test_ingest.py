@@ -69,48 +69,48 @@ def test_spoiled_lines(spark):
 
 def test_signpost_lines(spark):
     start = (
-        '{"timestamp":"2026-06-26 13:23:32.715547+0100","eventType":"signpostEvent","signpostID":1,"signpostName":"parse",'
-        '"signpostType":"Begin","eventMessage":"len 208123 batch=1","processID":7}'
+        '{"timestamp":"2025-03-04 09:17:08.250640+0200","eventType":"signpostEvent","signpostID":1,"signpostName":"parse",'
+        '"signpostType":"Begin","eventMessage":"rows 51 of 70","processID":7}'
     )
-    end = start.replace("32.715547", "32.760000").replace("Begin", "end").replace("len 208123 batch=1", "")
-    big = '{%s,"eventType":"signpostEvent","signpostID":17216892719917625070,"signpostType":"event"}' % TIME
+    end = start.replace("08.250640", "08.296000").replace("Begin", "end").replace("rows 51 of 70", "")
+    big = '{%s,"eventType":"signpostEvent","signpostID":18000000000000000019,"signpostType":"event"}' % TIME
     logs = ingest_ndjson(lines(spark, start, end, big)).logs
-    assert logs.where("signpostType = 'event'").head().signpostID == Decimal("17216892719917625070")
+    assert logs.where("signpostType = 'event'").head().signpostID == Decimal("18000000000000000019")
     interval = signpost_intervals(logs).head()
-    assert (interval.duration_us, interval.duration_ms, interval.message) == (44453, 44.453, "len 208123 batch=1")
+    assert (interval.duration_us, interval.duration_ms, interval.message) == (45360, 45.36, "rows 51 of 70")
 
 
 def test_legacy_lines(spark):
     texts = [
-        "2024-01-15 10:30:45.123456-0800  Finder[1234]  (com.apple.finder) [Info]  Message here",
-        "2024-01-15   10:30:45.123456-0800  Finder[1234] [loud]  Message here  ",
-        "2024-01-15 10:30:45.5+0000 Finder[12]: text (a) [b]",
-        "2024-01-15 10:30:45.5+0000 no process [x] here",
-        "2024-01-15 10:30:45.5+0000 a[1]b[2] (s)",
-        "2024-01-15 10:30:45.5+0000",
-        "2024-01-15 10:30:45.5+0000 P[99999999999999999999] m",
-        "10:30:45 Finder[1234] nothing",
-        "2024-99-15 10:30:45.123456-0800 Finder[1] m",
+        "2023-07-09 21:05:06.700801-0300  Teapot[77]  (org.example.kettle) [Info]  water is warm",
+        "2023-07-09   21:05:06.700801-0300  Teapot[77] [loud]  water is warm  ",
+        "2023-07-09 21:05:06.5+0000 Teapot[12]: text (a) [b]",
+        "2023-07-09 21:05:06.5+0000 no process [x] here",
+        "2023-07-09 21:05:06.5+0000 a[1]b[2] (s)",
+        "2023-07-09 21:05:06.5+0000",
+        "2023-07-09 21:05:06.5+0000 P[99999999999999999999] m",
+        "21:05:06 Teapot[77] nothing",
+        "2023-99-09 21:05:06.700801-0300 Teapot[1] m",
     ]
     logs, bad = ingest_legacy_text(lines(spark, *texts))
     found = [(r.processName, r.pid, r.subsystem, r.category, r.level, r.message) for r in logs.orderBy("seq").collect()]
     assert found == [
-        ("Finder", 1234, "com.apple.finder", None, "Info", "Message here"),
-        ("Finder", 1234, None, None, "Default", "Message here"),
-        ("Finder", 12, None, None, "Default", ": text (a) [b]"),
+        ("Teapot", 77, "org.example.kettle", None, "Info", "water is warm"),
+        ("Teapot", 77, None, None, "Default", "water is warm"),
+        ("Teapot", 12, None, None, "Default", ": text (a) [b]"),
         ("unknown", 0, None, None, "Default", "no process [x] here"),
         ("a[1]b", 2, "s", None, "Default", ""),
         ("unknown", 0, None, None, "Default", ""),
         ("unknown", 0, None, None, "Default", "P[99999999999999999999] m"),
     ]
-    assert logs.where("seq = 0").selectExpr("cast(cast(timestamp as timestamp_ntz) as string)").head()[0] == "2024-01-15 18:30:45.123456"
+    assert logs.where("seq = 0").selectExpr("cast(cast(timestamp as timestamp_ntz) as string)").head()[0] == "2023-07-10 00:05:06.700801"
     assert sorted(r.seq for r in bad.collect()) == [7, 8]
 
 
 def test_mixed_lines(spark):
-    legacy = "2024-01-15 10:30:45.123456-0800  Finder[1234]  Message here"
+    legacy = "2023-07-09 21:05:06.700801-0300  Teapot[77]  water is warm"
     logs, bad = ingest_mixed(lines(spark, FULL, legacy, "neither"))
-    assert [(r.seq, r.message) for r in logs.orderBy("seq").collect()] == [(0, "brewed two cups"), (1, "Message here")]
+    assert [(r.seq, r.message) for r in logs.orderBy("seq").collect()] == [(0, "brewed two cups"), (1, "water is warm")]
     assert [r.value for r in bad.collect()] == ["neither"]
 
 
@@ -143,7 +143,7 @@ def rows_for_spill(spark):
         spark,
         [
             {"message": "naïve\nline", "timestamp": at(0.123456), "subsystem": "com.a", "level": "Error"},
-            event("begin", 1, id=Decimal("17216892719917625070"), pid=3),
+            event("begin", 1, id=Decimal("18000000000000000019"), pid=3),
             {"message": "", "processName": "Other", "level": "Debug"},
         ],
     )
