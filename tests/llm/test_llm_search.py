@@ -118,25 +118,41 @@ def encoders(paths):
     return encode_a, encode_b
 
 
-def test_alignment(spark, rows, paths, encoders):
+@pytest.mark.parametrize("most_pairs", [alignment.MOST_PAIRS, 0])
+def test_alignment(spark, rows, paths, encoders, most_pairs):
+    """Counts sent to every task, and joined."""
     short = [r for r in rows if r[1] is None or len(r[1]) < 5000]
-    made = alignment.align_tokenizers(frame(spark, short).repartition(3), *paths)
+    made = alignment.align_tokenizers(frame(spark, short).repartition(3), *paths, most_pairs=most_pairs)
     expected = brute.aligned(short, *encoders)
     assert plain(made) == sorted(expected, key=repr)
     assert sum(r[1] > 0 for r in expected) > 40 and [r[1:] for r in expected if r[0] == 6] == [(0, 0, 0, 0, 0, 0, "")]
 
 
+def test_chunks_are_aligned_as_the_whole(paths):
+    """Texts with every kind of white space, cut at spaces and not; a small cache, so that chunks come and go."""
+    rng = random.Random(7)
+    parts = WORDS + [" ", "  ", "\n", "\t ", "\xa0", "\u2003", "\x1c", "'s", "n't", "42", "...", "▁", "▁▁", "\u0301", "İ", "👍🏽", "\x00", "<s>", "ﬁ"]
+    texts = [""]
+    for _ in range(1500):
+        texts.append("".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(1, 12))))
+    cut, whole = alignment.Aligner(*paths), alignment.Aligner(*paths)
+    assert cut.in_chunks
+    whole.in_chunks = False
+    for text in texts:
+        assert " ".join(alignment.chunks_of(text)) == text
+        assert cut(text) == whole(text), repr(text)
+
+
 def test_alignment_of_a_long_text(spark, paths):
-    """Slices tile both lists, and every link's bytes overlap, in 5 MB of text that is one block."""
+    """Slices tile both lists, and every link's bytes overlap, in 4 MB of text that is one block."""
     rng = random.Random(2)
     text = " ".join(rng.choice(WORDS) + rng.choice(["", "ung", "3"]) for _ in range(700_000))
     both = alignment.Aligner(*paths)
-    (found,) = both.encode([text])
-    a, b = (np.array(x) for x in found)
-    n_a, n_b = both.slices(a, b)
+    a, b, cuts, codes = (np.frombuffer(x, k) for x, k in zip(both(text), ("<u4", "<u4", "<u4", "<i8")))
+    n_a, n_b = cuts.reshape(-1, 2).T.astype(int)
     assert n_a.sum() == len(a) and n_b.sum() == len(b) and min(n_a.min(), n_b.min()) == 1
     at_a, at_b = both.links(a, b, n_a, n_b)
-    assert len(at_a) == len(a) + len(b) - len(n_a)
+    assert len(at_a) == len(a) + len(b) - len(n_a) == len(codes)
     ends_a, ends_b = np.cumsum(both.length_a[a]), np.cumsum(both.length_b[b])
     starts_a, starts_b = ends_a - both.length_a[a], ends_b - both.length_b[b]
     assert (starts_a[at_a] < ends_b[at_b]).all() and (starts_b[at_b] < ends_a[at_a]).all()
