@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters of the piece that a marker is looked up by, and bytes of markers that go to every task at once.
-GRAM, MARKER_BYTES = 4, 4 << 20
+# Most characters of the piece that a text is looked up by, and of the head of a piece that is tried first; bytes of
+# texts that go to every task at once.
+GRAM, HEAD, MARKER_BYTES = 16, 4, 64 << 20
 
 
 def coverage_matrix(
@@ -61,27 +62,28 @@ def redaction_check(
 
 def _grams(text: Column, n: int) -> Column:
     """All pieces of n characters of a text, wherever they begin."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def marker_keys(markers: DataFrame) -> DataFrame:
-    """marker, sought, key: of the pieces of each text the one that the fewest markers share.
+    """sought, key: every different text once, and the piece of it that it is looked up by.
 
-    Texts shorter than a piece are their own key. Null texts occur nowhere.
+    A text of up to GRAM characters is its own key, so what meets it is a find. Of the pieces of a
+    longer one it is the one that the fewest texts share. Null texts occur nowhere.
     """
-    own = markers.where(F.col("sought").isNotNull()).select("marker", "sought").distinct()
-    pieces = F.when(F.char_length("sought") < GRAM, F.array("sought")).otherwise(F.array_distinct(_grams(F.col("sought"), GRAM)))
-    pieces = own.withColumn("key", F.explode(pieces))
+    texts = markers.where(F.col("sought").isNotNull()).select("sought").distinct()
+    whole = texts.where(F.char_length("sought") <= GRAM).withColumn("key", F.col("sought"))
+    longer = texts.where(F.char_length("sought") > GRAM)
+    pieces = longer.withColumn("key", F.explode(F.array_distinct(_grams(F.col("sought"), GRAM))))
     shared = pieces.groupBy("key").agg(F.count("*").alias("_sharing"))
     rarest = F.min_by("key", F.struct("_sharing", "key")).alias("key")
-    return pieces.join(shared, "key").groupBy("marker", "sought").agg(rarest)
+    return whole.unionByName(pieces.join(shared, "key").groupBy("sought").agg(rarest))
 
 
-def _in_parts(keys: DataFrame) -> list[DataFrame]:
-    """The markers in parts of about MARKER_BYTES, one part unless there are very many."""
-    total = keys.agg(F.sum(F.octet_length("sought") + F.octet_length("key") + 64)).head()[0] or 0
+def _in_parts(keys: DataFrame, total: int) -> list[DataFrame]:
+    """The texts in parts of about MARKER_BYTES, one part unless there are very many."""
     n = max(1, -(-total // MARKER_BYTES))
-    return [keys.where(F.pmod(F.xxhash64("marker", "sought"), F.lit(n)) == k) for k in range(n)] if n > 1 else [keys]
+    return [keys.where(F.pmod(F.xxhash64("sought"), F.lit(n)) == k) for k in range(n)] if n > 1 else [keys]
 
 
 def find_markers(
@@ -89,26 +91,39 @@ def find_markers(
 ) -> DataFrame:
     """source, marker, n_lines, leaked: which markers of a table occur in lines of which source.
 
-    `markers` has `marker` and `sought`, the text to look for. A line is taken apart into pieces
-    of a few characters; those that are a marker's key meet it in a join, and only there the
-    whole text is looked for. The plan does not grow with the markers, and one pass over the
-    lines serves all of them up to some 40 000; beyond that there is a pass for each part. Lines
-    are counted per task before the shuffle. `leaked` tells whether any such line holds `secret`.
+    `markers` has `marker` and `sought`, the text to look for. A line is taken apart into windows
+    of a few characters. Where a window begins as some keys do, its pieces of their lengths are
+    made; those that are a text's key meet it in a join, and only there the whole text is looked
+    for. A text that many markers share is found and counted once per source and handed to its
+    markers afterwards, so no line meets a marker. The plan does not grow with the markers, and one
+    pass over the lines serves all of them up to some 800 000 different texts; beyond that there is
+    a pass for each part. Lines are counted per task before the shuffle. `leaked` tells whether any
+    such line holds `secret`.
     """
     keys = marker_keys(markers)
-    lengths = sorted(r[0] for r in keys.select(F.char_length("key")).distinct().collect())  # 0 to GRAM
-    given = lines.select(F.col(source).alias("source"), F.col(text).alias("_text"))
-    pieces = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    size = F.sum(F.octet_length("sought") + F.octet_length("key") + 64)
+    heads, total = keys.agg(F.collect_set(F.char_length(F.left("key", F.lit(HEAD)))), size).head()  # lengths from 0 to HEAD
+    given = lines.select(F.col(source).alias("source"), F.col(text).alias("_text"), F.make_valid_utf8(text).alias("_valid"))
+    windows = F.regexp_extract_all("_valid", F.lit(f"(?s)(?=(.{{0,{GRAM}}}))(?:.|\\z)"), F.lit(1))
+    begun = given.select("*", F.posexplode(windows).alias("_at", "_window"))
+    begun = begun.withColumn("_n", F.explode(F.array(*map(F.lit, sorted(heads))).cast("array<int>")))
+    begun = begun.where(F.char_length("_window") >= F.col("_n")).withColumn("_head", F.left("_window", F.col("_n")))
     leaks = F.lit(False) if secret is None else F.col("_text").contains(secret)
     met = None
-    for part in _in_parts(keys):
+    for part in _in_parts(keys, total or 0):
+        lengths = part.groupBy(F.left("key", F.lit(HEAD)).alias("_head")).agg(F.collect_set(F.char_length("key")).alias("_lengths"))
         # A part has a checked size; a broadcast keeps the pieces in the task that made them.
-        found = given.withColumn("key", F.explode(pieces)).join(F.broadcast(part), "key")
-        found = found.where(F.contains("_text", "sought")).groupBy("source", "marker", "sought").agg(
+        found = begun.join(F.broadcast(lengths), "_head").withColumn("_length", F.explode("_lengths"))
+        found = found.where(F.char_length("_window") >= F.col("_length")).withColumn("key", F.left("_window", F.col("_length")))
+        found = found.join(F.broadcast(part), "key")
+        # A key that a line has several times counts where it comes first.
+        first = F.position("key", "_valid") == F.col("_at") + 1
+        found = found.where(first & F.contains("_text", "sought")).groupBy("source", "sought").agg(
             F.count("*").alias("n_lines"), F.coalesce(F.bool_or(leaks), F.lit(False)).alias("leaked")
         )
         met = found if met is None else met.unionByName(found)
-    return met.drop("sought")
+    named = markers.select("marker", "sought").distinct()
+    return met.join(named, "sought").select("source", "marker", "n_lines", "leaked")
 
 
 def coverage_table(

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from executed import executed, metric
 
 from emberlog.operators import coverage
 from emberlog.operators.coverage import coverage_table, find_markers, redaction_table
@@ -51,3 +52,21 @@ def test_ten_thousand_markers_have_the_same_plan(spark):
 
     few, many = made(10), made(10_000)
     assert few[1] == many[1] and few[0].count() == 10 and many[0].count() == 200
+
+
+def test_markers_that_share_a_text_meet_no_line(spark):
+    """Rows that a line meets are as many as the different texts in it, however many markers share them."""
+    frame = spark.range(300).selectExpr("'x' AS source", "'line of marker <' || id % 3 || '>, user 12345678' AS text")
+    sought = "CASE id % 3 WHEN 0 THEN '<1>' WHEN 1 THEN 'user 1' || id ELSE 'a longer text than a key has: line of' END"
+    markers = spark.range(3000).selectExpr("'m' || id AS marker", f"{sought} AS sought")
+    found = find_markers(frame, markers, secret="<1>")
+    made = {(r.marker, r.n_lines, r.leaked) for r in found.collect()}
+    assert made == {(f"m{i}", 100, True) for i in range(0, 3000, 3)}  # "user 1" and id: 2345678 and so on are no ids
+    joined = [metric(node, "numOutputRows") for name, node in executed(found) if "Join" in name]
+    assert joined and max(joined) <= 20_000  # 100 000 finds of markers
+
+
+def test_malformed_text_before_a_marker(spark):
+    frame = spark.sql("SELECT 'x' AS source, CAST(x'61e38178797ae3' AS STRING) || 'found 🙂 found' AS text")
+    markers = spark.createDataFrame([("a", "found"), ("b", "🙂 f"), ("c", "und 🙂 found"), ("d", "yz")], "marker string, sought string")
+    assert {(r.marker, r.n_lines) for r in find_markers(frame, markers).collect()} == {(m, 1) for m in "abcd"}
