@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from emberlog.catalog.tables import DOCUMENTS_CTE, LOGS_CTE, document_logs, event_logs, table
 from emberlog.operators import filters as f
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.profiles import Profile, match_profiles, profile_match
+from emberlog.operators.profiles import Profile, profile_match, summarise_matches
 
 
 def _kept(build, columns=("seq", "level", "processName", "subsystem", "category")):
@@ -69,10 +69,7 @@ RULES = {
 
 def _match_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "supplier").selectExpr(*[f"{rule} AS {name}" for name, rule in RULES.items()])
-    found = match_profiles(event_logs(spark, sf_dir), rules)
-    return found.groupBy("profile").agg(
-        F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("seq").alias("total")
-    )
+    return summarise_matches(event_logs(spark, sf_dir), rules)
 
 
 QUERIES = {

@@ -134,6 +134,10 @@ def rule_index(profiles: DataFrame, overrides: Profile | None = None) -> DataFra
     return rules.select(F.inline(F.coalesce(*entered, F.array(entry("any", F.lit(""))))), "rule")
 
 
+# Entries of the index that are sent to every task; more are joined by a shuffle.
+SENT_ENTRIES = 100_000
+
+
 def match_profiles(logs: DataFrame, profiles: DataFrame, overrides: Profile | None = None) -> DataFrame:
     """Rows with the `profile` they match, once per matching profile, for profiles that are a table.
 
@@ -171,7 +175,10 @@ def match_profiles(logs: DataFrame, profiles: DataFrame, overrides: Profile | No
     )
     rows = rows.select(*logs.columns, F.explode(values).alias("_value"))
     on = (F.col("_value.lookup") == F.col("lookup")) & (F.col("_value.key") == F.col("key"))
-    found = rows.join(index.withColumnRenamed("rule", "_rule"), on)
+    entries = index.withColumnRenamed("rule", "_rule")
+    # Few rules go to the rows, since a level or a process has a large share of all rows.
+    few = index.limit(SENT_ENTRIES + 1).count() <= SENT_ENTRIES
+    found = rows.join(F.broadcast(entries) if few else entries, on)
     rule = F.col("_rule")
 
     def passes(names: Column, test) -> Column:
@@ -191,3 +198,21 @@ def match_profiles(logs: DataFrame, profiles: DataFrame, overrides: Profile | No
         (rule["grep"].isNull() | matches(rule["grep"])) & (rule["exclude_grep"].isNull() | ~matches(rule["exclude_grep"]))
     )
     return found.select(*[c for c in logs.columns if c != "profile"], rule["profile"].alias("profile"))
+
+
+def summarise_matches(logs: DataFrame, profiles: DataFrame, overrides: Profile | None = None) -> DataFrame:
+    """Per profile that matches rows: profile, n, first, last, total (of `seq`), for profiles that are a table.
+
+    `match_profiles` counted per profile, without a row for each pair: profiles that say the same
+    are one rule, rows are matched and counted once per rule, and the counts go to its profiles.
+    """
+    says = F.to_json(F.struct(F.lit(0).alias("_"), *[name for name in CONDITIONS if name in profiles.columns]))
+    named = profiles.select("profile", says.alias("_rule"))
+    rules = profiles.withColumn("profile", says).dropDuplicates(["profile"])
+    counted = match_profiles(logs, rules, overrides).groupBy(F.col("profile").alias("_rule")).agg(
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("seq").alias("total")
+    )
+    # Profiles of one name count together, as often as they are listed.
+    return named.join(counted, "_rule").groupBy("profile").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("total").alias("total")
+    )

@@ -3,12 +3,14 @@ import random
 import re
 
 import pytest
+from executed import executed, metric
 from pyspark.sql import functions as F
 from rows import at, log_frame
 
 from emberlog.operators import filters as f
+from emberlog.operators import profiles as rules_of_tables
 from emberlog.operators.filters import FilterSpec
-from emberlog.operators.profiles import Profile, match_profiles, profile_match
+from emberlog.operators.profiles import Profile, match_profiles, profile_match, summarise_matches
 
 
 def keeps(spark, predicate, *rows):
@@ -196,3 +198,21 @@ def test_ten_thousand_profiles_have_the_same_plan(spark):
 
     few, many = plan(10), plan(10_000)
     assert few[1] == many[1] and many[0].count() == 25 and few[0].count() == 5
+
+
+@pytest.mark.parametrize("sent", [rules_of_tables.SENT_ENTRIES, 0])
+def test_profiles_that_say_the_same_are_matched_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(rules_of_tables, "SENT_ENTRIES", sent)
+    logs = log_frame(spark, [{"pid": i % 3, "level": "Error" if i % 2 else "Debug", "message": str(i)} for i in range(200)])
+    given = {str(i): Profile(pid=i % 5 if i % 4 else None, level="error", grep="7" if i % 7 == 0 else None) for i in range(400)}
+    # A name twice with the same rule and once with another, and one without a name.
+    rules = table_of(spark, given)
+    rules = rules.unionByName(rules.where("profile IN ('1', '3')")).unionByName(rules.where("profile = '0'").selectExpr("'1' AS profile", "* EXCEPT (profile)"))
+    rules = rules.unionByName(rules.where("profile = '8'").withColumn("profile", F.lit(None).cast("string")))
+    for overrides in (None, Profile(pid=1)):
+        pairs = match_profiles(logs, rules, overrides).groupBy("profile")
+        expected = pairs.agg(F.count("*").alias("n"), F.min("seq"), F.max("seq"), F.sum("seq")).collect()
+        made = summarise_matches(logs, rules, overrides)
+        assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, map(tuple, expected))) and len(expected) > 200
+    joined = [metric(node, "numOutputRows") for name, node in executed(summarise_matches(logs, rules)) if "Join" in name]
+    assert joined and max(joined) < 5_000  # more than 20 000 pairs of rows and profiles
