@@ -185,13 +185,16 @@ def _landed(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     last = events.agg(F.max("event_id")).head()[0] or 0
     for k in range(LANDINGS):
         part = events.where(F.expr(f"event_id * {LANDINGS} div {last + 1} = {k}"))
-        write(part.repartition(1).sortWithinPartitions("event_id"), path)
+        write(part, path)
     return path
 
 
 def _landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of log rows in several micro-batches."""
-    path = _landed(spark, sf_dir, "landed", lambda part, path: part.write.mode("append").parquet(path))
+    def write(part: DataFrame, path: str) -> None:
+        part.repartition(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+
+    path = _landed(spark, sf_dir, "landed", write)
     return as_logs(stream_table(spark, path, table(spark, sf_dir, "events").schema, maxFilesPerTrigger=1))
 
 
@@ -237,6 +240,7 @@ def _capture_signposts_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tailed(spark: SparkSession, sf_dir: str) -> str:
     """Raw lines of both layouts that arrive in several files, followed into a table."""
     def write(part: DataFrame, path: str) -> None:
+        # Lines are made where the rows are read; only their text goes to the one task that writes the file.
         lines = _mixed_lines(as_logs(part)).repartition(1).sortWithinPartitions("seq")
         lines.select("value").write.mode("append").text(path)
 
