@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACE, free_name, materialize
+from emberlog.llm.common import SPACE, free_name, materialize, shared_path
 
 VARIABLE = "<*>"
+# Lines of a leaf that elect leaders in one round, after the first.
+AT_ONCE = 256
 # A token with a digit in it, from its first character on: one step per character.
 HAS_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
@@ -30,6 +32,59 @@ def _leaf(lines: DataFrame, depth: int) -> DataFrame:
     ).withColumn("lead", F.substring_index("masked", " ", depth))
 
 
+def _alike(line: Column, leader: Column, n: Column, similarity: float) -> Column:
+    """Whether a masked line of n tokens belongs to a leader's template; a leader belongs to its own."""
+    same = F.zip_with(F.split(line, " "), F.split(leader, " "), lambda a, b: a == b)
+    return (line == leader) | (F.size(F.filter(same, lambda x: x)) >= F.lit(float(similarity)) * n)
+
+
+def _first_leader(lines: DataFrame) -> DataFrame:
+    """n, lead, leaders: the line of each leaf that is in most documents."""
+    most = F.struct((-F.col("docs")).alias("fewer"), "masked")
+    return lines.groupBy("n", "lead").agg(F.array(F.min(most)["masked"]).alias("leaders"))
+
+
+def _next_leaders(lines: DataFrame, similarity: float, at_once: int) -> DataFrame:
+    """n, lead, leaders: those that the first `at_once` lines of each leaf elect among them, in order.
+
+    A line is a leader unless it is like one before it, so these are the leaders that single
+    elections would find, and no other leader comes before any of them.
+    """
+    along = Window.partitionBy("n", "lead").orderBy(F.col("docs").desc(), "masked")
+    tops = lines.withColumn("at", F.row_number().over(along)).where(F.col("at") <= at_once)
+    tops = tops.groupBy("n", "lead").agg(F.array_sort(F.collect_list(F.struct("at", "masked"))).alias("tops"))
+
+    def elected(leaders: Column, line: Column) -> Column:
+        led = F.exists(leaders, lambda leader: _alike(line, leader, F.col("n"), similarity))
+        return F.when(led, leaders).otherwise(F.concat(leaders, F.array(line)))
+
+    none = F.array().cast("array<string>")
+    return tops.select("n", "lead", F.aggregate(F.col("tops.masked"), none, elected).alias("leaders"))
+
+
+def _grouped(lines: DataFrame, min_docs: int, similarity: float, at_once: int = AT_ONCE) -> DataFrame:
+    """masked, docs and first, the leader of each line, from masked, docs, n and lead.
+
+    A round settles the lines that are like a leader, the others go on to the next: first one
+    leader a leaf, which settles nearly all, then those among many lines at once. Lines of a leaf
+    that together have fewer than `min_docs` documents left are no template and go.
+    """
+    spark, path = lines.sparkSession, shared_path(lines.sparkSession, "line-groups")
+    leaders, rest, n = _first_leader(lines), lines, 0
+    while True:
+        met = rest.join(leaders, ["n", "lead"])
+        own = F.filter("leaders", lambda leader: _alike(F.col("masked"), leader, F.col("n"), similarity))
+        met = met.select("masked", "docs", "n", "lead", F.get(own, F.lit(0)).alias("first"))
+        met.write.option("compression", "zstd").parquet(f"{path}/round={n}")
+        rest = spark.read.schema(met.schema).parquet(f"{path}/round={n}").where("first is null").drop("first")
+        left = rest.groupBy("n", "lead").agg(F.sum("docs").alias("left")).where(F.col("left") >= min_docs)
+        rest = rest.join(left.drop("left"), ["n", "lead"])
+        if rest.isEmpty():
+            break
+        leaders, n = _next_leaders(rest, similarity, at_once), n + 1
+    return spark.read.schema(met.schema).parquet(path).where("first is not null").select("masked", "docs", "first")
+
+
 def line_templates(
     docs: DataFrame, min_docs: int = 3, depth: int = 3, similarity: float = 0.7, text_col: str = "text"
 ) -> DataFrame:
@@ -38,10 +93,11 @@ def line_templates(
     A line goes down a tree of fixed depth: number of tokens, then `depth` leading tokens, tokens
     with digits counting as variable. In its leaf it is compared to the leaf's leader, the masked
     line in most documents (ties: the smallest). With at least `similarity` of its tokens equal
-    to the leader's it belongs to the leader's template, and the tokens that differ are variable;
-    otherwise it is a template of its own; `first` names it. Templates whose lines have fewer than
-    `min_docs` documents together are left out. `sure` are those with so many in one line; of the
-    others it takes the documents to tell, which may hold several of their lines each.
+    to the leader's it belongs to the leader's template, and the tokens that differ are variable.
+    The lines left elect a leader among them, and so on until every line has one; `first` names it.
+    Templates whose lines have fewer than `min_docs` documents together are left out. `sure` are
+    those with so many in one line; of the others it takes the documents to tell, which may hold
+    several of their lines each.
     """
     distinct = F.array_distinct(F.transform(lines_of(F.col(text_col)), masked_line))
     lines = docs.select(F.explode(distinct).alias("masked")).where("masked <> ''")
@@ -52,18 +108,9 @@ def line_templates(
     live = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
     live = materialize(live.select("leaf"), "leaves")
     counted = materialize(_leaf(counted.join(live, "leaf").drop("leaf"), depth), "leaf-lines")
-    most = F.struct((-F.col("docs")).alias("fewer"), "masked")
-    leaders = materialize(counted.groupBy("n", "lead").agg(F.min(most)["masked"].alias("leader")), "leaders")
-    met = counted.join(leaders, ["n", "lead"])
-    pairs = F.zip_with(F.split("masked", " "), F.split("leader", " "), lambda a, b: F.when(a == b, a).otherwise(VARIABLE))
-    equal = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("leader", " "), lambda a, b: a == b), lambda x: x))
-    like = equal >= F.lit(float(similarity)) * F.col("n")
-    grouped = met.select(
-        "masked",
-        "docs",
-        F.when(like, F.col("leader")).otherwise(F.col("masked")).alias("first"),
-        F.when(like, F.array_join(pairs, " ")).otherwise(F.col("masked")).alias("template"),
-    )
+    grouped = _grouped(counted, min_docs, similarity)
+    pairs = F.zip_with(F.split("masked", " "), F.split("first", " "), lambda a, b: F.when(a == b, a).otherwise(VARIABLE))
+    grouped = grouped.select("masked", "docs", "first", F.array_join(pairs, " ").alias("template"))
     totals = grouped.groupBy("first").agg(F.sum("docs").alias("most_docs"), F.max("docs").alias("in_one"))
     totals = totals.where(F.col("most_docs") >= min_docs).select("first", (F.col("in_one") >= min_docs).alias("sure"))
     return grouped.join(totals, "first").select("masked", "first", "template", "docs", "sure")
@@ -88,12 +135,11 @@ def find_recurring_lines(
     found = found.select(F.unhex(F.md5("masked")).alias("key"), F.unhex(F.md5("first")).alias("template"), "sure")
     found = materialize(found, "templates")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = own.select(
-        "doc_id",
-        F.xxhash64("doc_id", "text").alias("uid"),
-        F.size(lines_of(F.col("text"))).alias("n_lines"),
-        F.posexplode(lines_of(F.col("text"))).alias("line", "raw"),
-    ).withColumn("key", F.unhex(F.md5(masked_line(F.col("raw")))))
+    # What tells a document is made once, before its lines become rows.
+    own = own.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), lines_of(F.col("text")).alias("lines"))
+    own = own.select("doc_id", "uid", F.size("lines").alias("n_lines"), "lines")
+    lines = own.select("doc_id", "uid", "n_lines", F.posexplode("lines").alias("line", "raw"))
+    lines = lines.withColumn("key", F.unhex(F.md5(masked_line(F.col("raw")))))
     joined = lines.select("doc_id", "uid", "n_lines", "line", "key").join(found, "key", "left").drop("key")
     # The first line stands for its document, so that documents without recurring lines keep a row.
     kept = materialize(joined.where(F.col("template").isNotNull() | (F.col("line") == 0)), "template-lines")

@@ -89,3 +89,27 @@ def test_lines_of_one_document_do_not_recur(spark):
     assert {r.doc_id: r.dropped for r in templates.find_recurring_lines(more).collect()} == {1: [0, 1, 2], 2: [], 3: [0], 4: [1]}
     repeated = docs.union(docs).union(docs)
     assert [r.dropped for r in templates.find_recurring_lines(repeated).collect()].count([0, 1, 2]) == 3
+
+
+def test_later_families_of_a_leaf_are_templates(spark):
+    """A commoner line leads the leaf; the families that are unlike it recur as well, however many elections it takes."""
+    base = "aa bb cc "
+    families = ["d e f g h i", "k l m n o p", "q r s t u v"]
+    rows = [(10 * k + j, f"{base}{words} w{'xyzu'[j]}") for k, words in enumerate(families) for j in range(4)]
+    rows += [(100 + j, f"{base}{families[0]} wx") for j in range(5)] + [(200, base + "1 2 3 4 5 6 7"), (201, base + "alone a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.dropped for r in templates.find_recurring_lines(docs).collect()}
+    assert found == {i: [] if i >= 200 else [0] for i, _ in rows}
+    lines = templates.line_templates(docs).select("first", "template").distinct().collect()
+    assert len({r.first for r in lines}) == 3 and sum(r.template.endswith("<*>") for r in lines) == 3
+    # One leader at a time finds the same as many at once, and as all lines one after the other.
+    words = [f"{base}{' '.join('pqr'[(i >> s) % 3] for s in range(7))}" for i in range(1 << 9)]
+    counted = spark.createDataFrame([(w, 1 + i % 4, 10, "aa bb cc") for i, w in enumerate(sorted(set(words)))], "masked string, docs long, n int, lead string")
+    leaders, expected = [], {}
+    for r in sorted(counted.collect(), key=lambda r: (-r.docs, r.masked)):
+        like = [x for x in leaders if sum(a == b for a, b in zip(x.split(), r.masked.split())) >= 7]
+        leaders += [] if like else [r.masked]
+        expected[r.masked] = like[0] if like else r.masked
+    assert len(leaders) > 5
+    for at_once in (3, 256):
+        assert {r.masked: r["first"] for r in templates._grouped(counted, 1, 0.7, at_once).collect()} == expected
