@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from emberlog.llm.common import import_path
 
 # Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 18
+# Bytes of text that are encoded together; a longer text alone.
+TOGETHER = 1 << 22
 # Encoded chunks in each of the two generations that a worker keeps; those not met go.
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -36,6 +39,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
     """Ids first to first + n of a packed block, without touching the bits before or after."""
+    if width in (8, 16, 32):
+        return np.frombuffer(packed, f"<u{width // 8}", n, first * width // 8).astype(np.uint32)
     at = (first + np.arange(n, dtype=np.int64)) * width
     raw = np.frombuffer(packed, np.uint8)[first * width // 8 : -(-(first + n) * width // 8)]
     data = np.concatenate((raw, np.zeros(8, np.uint8)))
@@ -49,8 +54,8 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
 class ChunkEncoder:
     """A tokenizer of the tokenizers library that keeps what it has encoded, chunk by chunk.
 
-    For tokenizers that lower their input, cut it at ASCII white space and between a letter and a
-    comma or full stop, drop the white space, and merge inside what is left: then a text's ids are
+    For tokenizers that lower their input, cut it at ASCII white space and between a letter and the
+    marks after it, drop the white space, and merge inside what is left: then a text's ids are
     those of its chunks in order, and a chunk that is met again need not be encoded again.
     `__init__` checks this on a probe.
     """
@@ -100,36 +105,67 @@ class ChunkEncoder:
         told.update((c, np.array(m.ids, np.uint32).tobytes()) for c, m in zip(rest, made))
         return [told[c] for c in chunks]
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> None:
         """Take chunks from the older generation or encode them.
 
-        A comma or full stop after an ASCII letter is a piece of its own, so such a chunk is put
-        together. Other letters may be taken apart before they are cut, and end in a mark.
+        Marks after an ASCII letter are a piece of their own, so such a chunk is put together. Other
+        letters may be taken apart before they are cut, and end in a mark.
         """
         recent, older = self.recent, self.older
-        split = {c for c in missing if c[-1:] in ENDINGS and c not in older and c[-2:-1].isalpha()}
-        wanted = (missing - split) | {c[:-1] for c in split} | {c[-1:] for c in split}
-        wanted = {c for c in wanted if c not in recent}
-        found = {c for c in wanted if c in older}
-        recent.update((c, older[c]) for c in found)
-        new = list(wanted - found)
+        wanted, split = set(), []
+        for c in missing:
+            if (known := older.get(c)) is not None:
+                recent[c] = known
+                continue
+            head = c.rstrip(MARKS)
+            if len(head) < len(c) and head[-1:].isalpha() and b"<|" not in c:
+                split.append((c, head, c[len(head) :]))
+            else:
+                wanted.add(c)
+        wanted.update(part for _, *parts in split for part in parts)
+        new = []
+        for c in wanted:
+            if c not in recent:
+                if (known := older.get(c)) is None:
+                    new.append(c)
+                else:
+                    recent[c] = known
         recent.update(zip(new, self._encoded([c.decode() for c in new])))
-        recent.update((c, recent[c[:-1]] + recent[c[-1:]]) for c in split)
+        recent.update((c, recent[head] + recent[tail]) for c, head, tail in split)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        if b"<|" not in text:  # else it may hold a special token, which is one by its case
-            text = text.lower()
+    def together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many of them each text has.
+
+        Arrow cuts the texts and numbers their chunks, so each different chunk is looked up once.
+        """
         if len(self.recent) > MOST_CHUNKS:
             self.older, self.recent = self.recent, {}
-        chunks = text.split()
+        # A text with <| may hold a special token, which is one by its case. Lowered here: Arrow's
+        # if_else reads slices of text wrongly.
+        own = [t if b"<|" in t else t.lower() for t in texts.to_pylist()]
+        cut = pc.ascii_split_whitespace(pa.array(own, pa.large_binary()).cast(pa.large_string()))
+        met = cut.flatten().dictionary_encode()
+        chunks = met.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         parts = list(map(self.recent.get, chunks))
-        if None in parts:
-            self._learn({c for c, p in zip(chunks, parts) if p is None})
-            parts = list(map(self.recent.get, chunks))
-        return np.frombuffer(b"".join(parts), np.uint32)
+        missing = [k for k, p in enumerate(parts) if p is None]
+        self._learn([chunks[k] for k in missing])
+        for k in missing:
+            parts[k] = self.recent[chunks[k]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        at = met.indices.to_numpy()
+        n = size[at]
+        until = np.append(0, np.cumsum(n))
+        places = np.repeat(first[at] - until[:-1], n) + np.arange(until[-1])
+        ids = np.frombuffer(b"".join(parts), np.uint32)[places]
+        return ids, np.diff(until[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))])
 
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self.together(pa.array([text], pa.large_binary()))[0]
 
-ENDINGS = (b".", b",")
+
+# No apostrophe, which may begin a piece, and nothing that special tokens are written with.
+MARKS = b".,!?;:$&%#*"
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -143,6 +179,14 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows in turn, cut where their texts pass a multiple of TOGETHER bytes."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TOGETHER
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist() if len(part) else []
+    for s, e in zip(edges, edges[1:]):
+        yield ids.slice(s, e - s), texts.slice(s, e - s)
+
+
 def write_tokens(
     docs: DataFrame,
     out: str,
@@ -205,15 +249,16 @@ def write_tokens(
         end = np.array([end_id], np.uint32)
         for batch in batches:
             kind_of = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids.append(doc_id.as_py())
-                offsets.append(held)
-                encoded = encode(text.as_py())
-                parts += (encoded, end)
-                held += len(encoded) + 1
-                if held >= block_ids:
-                    yield made()
-                    ids, parts, offsets, held, block = [], [], [], 0, block + 1
+            for doc_ids, texts in _slices(*batch.columns):
+                told, sizes = encode.together(texts)
+                for doc_id, own in zip(doc_ids.to_pylist(), np.split(told, np.cumsum(sizes)[:-1])):
+                    ids.append(doc_id)
+                    offsets.append(held)
+                    parts += (own, end)
+                    held += len(own) + 1
+                    if held >= block_ids:
+                        yield made()
+                        ids, parts, offsets, held, block = [], [], [], 0, block + 1
         if ids:
             yield made()
 

@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from rows import SF_DIR
 
@@ -132,3 +133,18 @@ def test_random_texts(encoders):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(6000)]
     for text, ids in zip(texts, plain(texts), strict=True):
         assert chunked(text.encode()).tolist() == ids, text
+
+
+def test_texts_encoded_together_are_those_encoded_whole():
+    """Many texts at once, cut into slices, have the ids of each text alone, marks after letters and special tokens included."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, chunked = Tokenizer.from_file(path), tokens.ChunkEncoder(path)
+    marks = [f"Word{m} é{m} don't{m} 7{m} {m}x a{m * 3} it{m}́ <|x{m}" for m in ".,!?;:$&%#*'|>"]
+    texts = ["", " \t ", "End.<|endoftext|>", "ALİ, geldi.", *marks, "nächste  Zeile\x0bx " * 9] * 3
+    rows = pa.array([t.encode() for t in texts], pa.binary())
+    told = [chunked.together(part) for _, part in tokens._slices(pa.array(range(len(texts))), rows)]
+    told += [chunked.together(rows.slice(s, 7)) for s in range(0, len(texts), 7)]
+    made = [ids.tolist() for ids, n in told for ids in np.split(ids, np.cumsum(n)[:-1])]
+    assert made == [m.ids for m in whole.encode_batch(texts, add_special_tokens=False)] * 2
