@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from emberlog.catalog.tables import LOGS_CTE, as_logs, comparable, event_logs, table
 from emberlog.operators.filters import FilterSpec, scan_filter
+from emberlog.operators.ordered import task_count
 from emberlog.operators.signposts import intervals_of, signpost_summary
 from emberlog.operators.summary import dimension_counts, summary_of
 from emberlog.plans.envelope import written_envelope
@@ -174,28 +175,44 @@ def _stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(spark.read.schema(rows.schema).parquet(path).select("seq", "timestamp", "message", "subsystem"))
 
 
-# Files that the events arrive in, a micro-batch each.
-LANDINGS = 6
+# Parts that the events arrive in, a micro-batch each, and the fewest rows of a file of a part that is cut into several.
+LANDINGS, ROWS_A_FILE = 6, 50_000
 
 
-def _landed(spark: SparkSession, sf_dir: str, name: str, write) -> str:
-    """The events cut into files by id, written one after the other, as they would land in a folder."""
-    path = shared_dir(spark, name)
+def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events cut into parts by id."""
     events = table(spark, sf_dir, "events")
     last = events.agg(F.max("event_id")).head()[0] or 0
-    for k in range(LANDINGS):
-        part = events.where(F.expr(f"event_id * {LANDINGS} div {last + 1} = {k}"))
+    return [events.where(F.expr(f"event_id * {LANDINGS} div {last + 1} = {k}")) for k in range(LANDINGS)]
+
+
+def _landed(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The parts of the events, written one after the other, as they would land in a folder."""
+    path = shared_dir(spark, name)
+    for part in _parts(spark, sf_dir):
         write(part, path)
     return path
 
 
-def _landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of log rows in several micro-batches."""
+def _landing(spark: SparkSession, sf_dir: str, rows_a_file: int | None = ROWS_A_FILE) -> DataFrame:
+    """The events table as a stream of log rows in several micro-batches.
+
+    A batch is as many files as a part has, so all parts have equally many: as many as the smallest
+    fills, dealt row by row. Rows of a batch have their order in `seq`, whichever file they are in.
+    """
+    files = 1
+    if rows_a_file is not None:
+        files = min(part.count() for part in _parts(spark, sf_dir)) // rows_a_file
+        files = max(1, min(files, task_count(table(spark, sf_dir, "events"))))
+
     def write(part: DataFrame, path: str) -> None:
-        part.repartition(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+        part.repartition(files).sortWithinPartitions("event_id").write.mode("append").parquet(path)
 
     path = _landed(spark, sf_dir, "landed", write)
-    return as_logs(stream_table(spark, path, table(spark, sf_dir, "events").schema, maxFilesPerTrigger=1))
+    schema = table(spark, sf_dir, "events").schema
+    if files > 1 and len(spark.read.schema(schema).parquet(path).inputFiles()) != files * LANDINGS:
+        return _landing(spark, sf_dir, None)  # a part that came to other files would shift the batches
+    return as_logs(stream_table(spark, path, schema, maxFilesPerTrigger=files))
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

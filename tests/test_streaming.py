@@ -6,8 +6,11 @@ import time
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 from rows import event, log_frame
 
+from emberlog.catalog import sources
+from emberlog.catalog.tables import event_logs
 from emberlog.operators.filters import FilterSpec, scan_filter
 from emberlog.operators.ordered import dedup_consecutive
 from emberlog.operators.signposts import pairing_events, pairing_state
@@ -275,3 +278,23 @@ def test_capture_ends(spark, landed):
     started = time.monotonic()
     answer = capture_stream(live(spark, landed), path, f"{path}-cp", capture="6s", timeout="60s")
     assert answer.stop_reason == "capture" and answer.captured > 0 and time.monotonic() - started < 60
+
+
+def test_landing_in_several_files(spark, tmp_path, monkeypatch):
+    """A part lands in equally many files, a batch each, or in one file where a part could not be cut like that."""
+    rows = [(i, f"2024-01-01 00:00:{i % 60:02}", i % 7, ["click", "view"][i // 3 % 2], 1.0, f'{{"k": {i % 5}}}') for i in range(240)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, kept, files in (("even", events, 4), ("uneven", events.where("event_id >= 40 or event_id = 5"), 1)):
+        sf_dir = f"{tmp_path}/{name}"
+        kept.write.parquet(f"{sf_dir}/events.parquet")
+        landed, seen = f"{tmp_path}/{name}-runs", []
+        monkeypatch.setattr(sources, "shared_dir", lambda spark, _, name=name: f"{tmp_path}/{name}-landed")
+        live = sources._landing(spark, sf_dir, 10)
+        live.writeStream.option("checkpointLocation", f"{landed}-seen").trigger(**NOW).foreachBatch(
+            lambda batch, _: seen.append(sorted(r.seq for r in batch.select("seq").collect()))
+        ).start().awaitTermination()
+        assert len(list((tmp_path / f"{name}-landed").glob("*.parquet"))) == 6 * files
+        assert len(seen) == 6 and sum(seen, []) == sorted(r.event_id for r in kept.collect())
+        stream_dedup(live, landed, f"{landed}-cp", **NOW).awaitTermination()
+        same(dedup_result(spark, landed).drop("head_batch"), dedup_consecutive(event_logs(spark, sf_dir)).drop("text"))
