@@ -19,7 +19,9 @@ from emberlog.llm.common import import_path, materialize
 # Links after which a block is closed, at the end of a document.
 BLOCK_LINKS = 1 << 17
 # Aligned chunks in each of the two generations that a worker keeps; those not met go.
-MOST_CHUNKS = 100_000
+MOST_CHUNKS = 200_000
+# Characters of text that are aligned together, a longer text alone, and new chunks that are joined to one text.
+TOGETHER, JOINED = 1 << 20, 1 << 10
 # Pairs of ids up to which their counts go to every task, 17 bytes each; beyond that they are joined.
 MOST_PAIRS = 2_000_000
 SPACE_MARK = "▁"
@@ -151,27 +153,38 @@ class Aligner:
 
     def __call__(self, text: str) -> Aligned | None:
         """The alignment of a text; None where an id list's bytes are not those of the text."""
+        return self.together([text])[0]
+
+    def together(self, texts: list[str]) -> list[Aligned | None]:
+        """The alignment of each text; chunks that are new to all of them are aligned once."""
         if not self.in_chunks:
-            return self.align([text])[0] or None
+            return [made or None for made in self.align(texts)]
         if len(self.recent) > MOST_CHUNKS:
             self.older, self.recent = self.recent, {}
-        chunks = chunks_of(text)
-        parts = list(map(self.recent.get, chunks))
-        if None in parts:
-            self._learn({c for c, p in zip(chunks, parts) if p is None})
-            parts = list(map(self.recent.get, chunks))
-        if False in parts:
-            return None
-        return tuple(map(b"".join, zip(*parts)))
+        cut = list(map(chunks_of, texts))
+        self._learn(set().union(*cut) - self.recent.keys())
+        told = []
+        for chunks in cut:
+            parts = list(map(self.recent.__getitem__, chunks))
+            told.append(None if False in parts else tuple(map(b"".join, zip(*parts))))
+        return told
 
     def _learn(self, missing: set[str]) -> None:
-        """Take chunks from the older generation or align them, those without white space in one text."""
+        """Take chunks from the older generation or align them, those without white space many in one text.
+
+        A text that has no alignment is halved, so that one chunk that has none holds up few others.
+        """
         known = {c: self.older[c] for c in missing if c in self.older}
         self.recent.update(known)
         new = [c for c in missing if c not in known]
         plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        if plain:
-            self.recent.update(self._align_together(plain))
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        while groups:
+            group = groups.pop()
+            made = self._align_together(group)
+            self.recent.update(made)
+            if not made and len(group) > 16:
+                groups += group[: len(group) // 2], group[len(group) // 2 :]
         rest = [c for c in new if c not in self.recent]
         self.recent.update(zip(rest, self.align(rest)))
 
@@ -302,6 +315,20 @@ def _kind(most: int) -> str:
     return "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
 
 
+def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    """Rows in turn, as lists, cut where their texts pass TOGETHER characters."""
+    own, held, size = [], [], 0
+    for doc_id, text in zip(ids, texts):
+        own.append(doc_id.as_py())
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield own, held
+            own, held, size = [], [], 0
+    if own:
+        yield own, held
+
+
 def encode_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     """Documents encoded and aligned, in blocks of whole documents.
 
@@ -338,14 +365,15 @@ def encode_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_c
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                told = text.as_py()
-                ids.append(doc_id.as_py())
-                held.append((both(told) if told else None) or (b"", b"", b"", b""))
-                n_links += len(held[-1][3]) // 8
-                if n_links >= BLOCK_LINKS:
-                    yield made()
-                    ids, held, n_links, block = [], [], 0, block + 1
+            for doc_ids, texts in _slices(*batch.columns):
+                whole = iter(both.together([t for t in texts if t]))
+                for doc_id, text in zip(doc_ids, texts):
+                    ids.append(doc_id)
+                    held.append((next(whole) if text else None) or (b"", b"", b"", b""))
+                    n_links += len(held[-1][3]) // 8
+                    if n_links >= BLOCK_LINKS:
+                        yield made()
+                        ids, held, n_links, block = [], [], 0, block + 1
         if held:
             yield made()
 

@@ -271,3 +271,13 @@ def test_language_of_a_long_text(monkeypatch):
     parts = language.gram_counts(text)
     monkeypatch.setattr(language, "BYTES_AT_ONCE", 1 << 30)
     assert len(text.encode()) > 4 << 20 and (parts == language.gram_counts(text)).all()
+
+
+def test_texts_aligned_together_are_those_aligned_whole():
+    """New chunks of many texts are aligned once; those without an alignment hold up none of the others."""
+    paths = [queries.tokenizer_path(name) for name in (queries.BYTE_LEVEL, queries.PIECES)]
+    words = [f"w{i}or{'xyz'[i % 3]}d" for i in range(300)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 300, 20)] + ["a  b ", "ﬁn … ½", " ".join([*words[:50], "ﬁn"]), "one two"]
+    many, whole = alignment.Aligner(*paths), alignment.Aligner(*paths)
+    assert many.in_chunks and many.together(texts) == [made or None for made in whole.align(texts)]
+    assert many.together([]) == []
