@@ -22,23 +22,23 @@ def refined_buckets(data: np.ndarray, first: np.ndarray, length: int) -> np.ndar
     """
     q = -(-length // 4)
     n = len(data) - q + 1
-    at = np.arange(max(n, 0))
+    suffixes = np.arange(max(n, 0))
     bucket = np.zeros(len(data), np.int64)
     if n > 0:
-        bucket[:n] = np.unique(range_hashes(data, at, at + q), return_inverse=True)[1]
-    depth, suffixes = q, at
+        bucket[:n] = np.unique(range_hashes(data, suffixes, suffixes + q), return_inverse=True)[1]
+    depth, numbers = q, len(data)
     while depth < length:
-        last = 2 * depth >= length
-        if last:
-            suffixes = first
         step = min(depth, length - depth)
+        if depth + step >= length:
+            suffixes = first
         suffixes = suffixes[suffixes + step < len(data)]
-        sizes = np.bincount(bucket[suffixes]) if len(suffixes) else np.zeros(1, np.int64)
-        open_ = suffixes[sizes[bucket[suffixes]] > 1]
-        new = bucket + len(data)  # settled suffixes keep a number of their own
-        pairs = bucket[open_] * (len(data) + 1) + bucket[open_ + step]
-        new[open_] = np.unique(pairs, return_inverse=True)[1]
-        bucket = np.unique(new, return_inverse=True)[1]
+        sizes = np.bincount(bucket[suffixes], minlength=1)
+        suffixes = suffixes[sizes[bucket[suffixes]] > 1]
+        pairs = bucket[suffixes] * numbers + bucket[suffixes + step]
+        bucket = bucket.copy()
+        # Settled suffixes keep their number, which no new one equals.
+        bucket[suffixes] = numbers + np.unique(pairs, return_inverse=True)[1]
+        numbers += len(suffixes)
         depth += step
     return bucket[first]
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from emberlog.llm.common import import_path, materialize
 
 # Windows sharing a minimiser above which they are not dealt by it.
-HOT_WINDOWS = 20_000
+HOT_WINDOWS = 100_000
 # Windows of one super-k-mer at most; longer runs (of one character, say) are cut.
 LONGEST_RUN = 4096
 # Windows hashed at once, descriptions held for combining, bytes of strings held and compared.
@@ -251,6 +251,47 @@ def cut_out(joined: DataFrame, units: Units) -> DataFrame:
 Group = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _spans(doc: np.ndarray, uid: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of STRINGS that say what is to be removed."""
+    m = len(doc)
+    return _strings(uid ^ first, doc, uid, first, n, np.zeros(m, bool), pa.nulls(m, pa.binary()))
+
+
+def settled(
+    units: Units, rows: pa.Table, doc: np.ndarray, n: np.ndarray, hot: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, in the order of documents, are copies of an earlier one's, and which are to be compared.
+
+    All windows of a string that an earlier document has too repeat. Of the others, one alone in
+    its bucket meets no other, and repeats windows of its own only if it holds the bucket's
+    minimiser twice. Hot rows are all compared, as one window may be in several of their buckets.
+    """
+    codes = pa.compute.dictionary_encode(rows["packed"].combine_chunks()).indices.to_numpy()
+    lead = np.empty(len(n), np.int64)
+    lead[codes[::-1]] = np.arange(len(n))[::-1]
+    copy = doc > doc[lead[codes]]
+    bucket = np.unique(rows["key"].to_numpy(), return_inverse=True)[1]
+    alone = ~copy & ~hot & (np.bincount(bucket[~copy], minlength=len(n))[bucket] == 1)
+    if units.same_document:
+        own = np.flatnonzero(alone & (n > 1))
+        alone[own[_twice(units, rows.take(pa.array(own)))]] = False
+    return np.flatnonzero(copy), np.flatnonzero(~copy & ~alone)
+
+
+def _twice(units: Units, rows: pa.Table) -> np.ndarray:
+    """Which strings hold the gram with their key's hash at more than one place, for units of bytes."""
+    strings = rows["packed"].to_pylist()
+    if not strings:
+        return np.zeros(0, bool)
+    array = np.frombuffer(b"\n".join(strings), np.uint8)
+    ends = np.cumsum([len(s) + 1 for s in strings])
+    at = np.arange(len(array) - units.gram + 1)
+    hashes = range_hashes(array, at, at + units.gram)
+    row = np.searchsorted(ends, at, "right")
+    found = hashes == rows["key"].to_numpy().view(np.uint64)[row]
+    return np.bincount(row[found], minlength=len(strings)) > 1
+
+
 def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
     """Spans of the windows that repeat an earlier one, the other windows of hot rows one by one,
     and which rows hold a window that is not repeated.
@@ -262,7 +303,14 @@ def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.Recor
     rows = rows.sort_by([("doc", "ascending"), ("uid", "ascending"), ("first", "ascending")])
     doc, uid, first, n = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "uid", "first", "n"))
     hot = rows["hot"].to_numpy()
-    strings = rows["packed"].to_pylist()
+    copies, open_ = settled(units, rows, doc, n, hot)
+    copied = _spans(*(c[copies] for c in (doc, uid, first, n)))
+    holds = np.ones(len(n), bool)
+    holds[copies] = False
+    if not len(open_):
+        return copied, _strings(*[()] * len(STRING_TYPES)), holds
+    doc, uid, first, n, hot = (c[open_] for c in (doc, uid, first, n, hot))
+    strings = rows["packed"].take(pa.array(open_)).to_pylist()
     data = b"\n".join(strings)
     array = np.frombuffer(data, np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -306,16 +354,13 @@ def repeated_spans(units: Units, group: Group, rows: pa.Table) -> tuple[pa.Recor
     # Runs of repeated windows, cut where a row ends.
     cut = np.unique(np.concatenate((edges[::2], np.flatnonzero(gone & (step == 0)))))
     stop = np.minimum(np.append(cut[1:], len(gone)), edges[1::2][np.searchsorted(edges[1::2], cut, "right")]) if len(cut) else cut
-    m = len(cut)
-    spans = _strings(
-        uid[row[cut]] ^ place[cut], doc[row[cut]], uid[row[cut]], place[cut], stop - cut, np.zeros(m, bool), pa.nulls(m, pa.binary())
-    )
+    spans = pa.concat_batches([copied, _spans(doc[row[cut]], uid[row[cut]], place[cut], stop - cut)])
     on = np.flatnonzero(~gone & hot[row])
     keys = range_hashes(array, a[on], b[on]).view(np.int64) if len(on) else np.empty(0, np.int64)
     single = [data[s:e] for s, e in zip(a[on].tolist(), b[on].tolist())]
     singles = _strings(keys, doc[row[on]], uid[row[on]], place[on], np.ones(len(on), np.int32), np.zeros(len(on), bool), single)
-    holds = np.zeros(len(n), bool)
-    holds[row[~gone]] = True
+    holds[open_] = False
+    holds[open_[row[~gone]]] = True
     return spans, singles, holds
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,6 +184,42 @@ def test_repeated_rows_are_one_document(spark):
     assert made.where("doc_id = 6").head()["n_removed"] == len(text)
 
 
+def test_settled_strings_are_not_refined():
+    """Copies of an earlier document's string, and strings alone in their bucket, need no refinement."""
+    from emberlog.llm import windows
+
+    rng = np.random.default_rng(3)
+    units = windows.Units(100, 20, words=False, same_document=True)
+    a, lone, left, right = (bytes(rng.integers(97, 123, k, dtype=np.uint8)) for k in (130, 150, 40, 40))
+    own = (a[:37] * 5)[:150]  # repeats its own windows
+    strings = [(1, 10, a), (1, 20, a), (1, 30, a), (2, 10, lone), (3, 10, own), (4, 10, left + a), (4, 20, a + right)]
+
+    def key(number, text):
+        grams = windows.range_hashes(np.frombuffer(text, np.uint8), np.array([20]), np.array([40]))
+        return int(grams.view(np.int64)[0]) if number == 3 else number
+
+    rows = [(key(k, t), doc, 10 * doc + k, 0, len(t) - 99, False, t) for k, doc, t in strings]
+    given = []
+
+    def group(data, first, end):
+        given.append(len(first))
+        return suffixes.refined_buckets(data, first, 100)
+
+    table = pa.Table.from_batches([windows._strings(*zip(*rows))])
+    spans, singles, holds = windows.repeated_spans(units, group, table)
+    gone = {(r["uid"], p) for r in spans.to_pylist() for p in range(r["first"], r["first"] + r["n"])}
+    met, expected = set(), set()
+    for k, doc, uid, _, n, _, text in sorted(rows, key=lambda r: r[1]):
+        for p in range(n):
+            window = text[p : p + 100]
+            if (k, window) in met:
+                expected.add((uid, p))
+            met.add((k, window))
+    assert gone == expected and len(expected) > 80
+    assert singles.num_rows == 0
+    assert sum(given) == sum(len(t) - 99 for t in (own, left + a, a + right))
+
+
 def test_refined_buckets():
     rng = np.random.default_rng(5)
     data = np.frombuffer(bytes(rng.integers(97, 99, 4000, dtype=np.uint8)) * 2 + b"a" * 300, np.uint8)
