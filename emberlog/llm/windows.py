@@ -32,12 +32,13 @@ from pyspark.sql import types as T
 
 from emberlog.llm.common import import_path, materialize
 
-# Windows sharing a minimiser above which they are not dealt by it.
-HOT_WINDOWS = 100_000
+# Windows, or super-k-mers, sharing a minimiser above which they are not dealt by it.
+HOT_WINDOWS, HOT_STRINGS = 100_000, 4096
 # Windows of one super-k-mer at most; longer runs (of one character, say) are cut.
 LONGEST_RUN = 4096
+PLACE_BITS = LONGEST_RUN.bit_length()
 # Windows hashed at once, descriptions held for combining, bytes of strings held and compared.
-WINDOWS_AT_ONCE, DESCRIBED, CUT_BYTES, BUCKET_BYTES = 1 << 16, 1 << 18, 1 << 22, 1 << 19
+WINDOWS_AT_ONCE, DESCRIBED, CUT_BYTES, BUCKET_BYTES = 1 << 16, 1 << 18, 1 << 24, 1 << 19
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -164,19 +165,19 @@ def _string_hash(packed: bytes) -> int:
 
 
 def describe(own: DataFrame, units: Units) -> DataFrame:
-    """key, uid, first, n, weight, known: the super-k-mers of every text.
+    """key, uid, first, n, weight: the super-k-mers of every text.
 
     A minimiser met several times in a task is known to repeat: one row speaks for all of them
-    (weight, how many) and the others need no further comparison (known).
+    (weight, how many) and the others, of weight 0, need no further comparison.
     """
-    names = ["key", "uid", "first", "n", "weight", "known"]
+    names = ["key", "uid", "first", "n", "weight"]
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         key, uid, first, n, own = (np.concatenate(c) for c in zip(*parts))
         _, at, back = np.unique(key, return_index=True, return_inverse=True)
         weight = np.zeros(len(key), np.int32)
         weight[at] = np.bincount(back, own)
-        return _record(names, key.view(np.int64), uid, first.astype(np.int32), n.astype(np.int32), weight, weight == 0)
+        return _record(names, key.view(np.int64), uid, first.astype(np.int32), n.astype(np.int32), weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -193,16 +194,21 @@ def describe(own: DataFrame, units: Units) -> DataFrame:
             yield combined(parts)
 
     return own.select("uid", F.col("text").cast("binary")).mapInArrow(
-        run, "key long, uid long, first int, n int, weight int, known boolean"
+        run, "key long, uid long, first int, n int, weight int"
     )
 
 
 def repeating(described: DataFrame) -> DataFrame:
     """The super-k-mers whose minimiser occurs more than once: key, uid, first, n."""
-    alone = F.when(F.col("known"), F.xxhash64("key", "uid", "first")).otherwise(F.col("key"))
-    met = F.sum("weight").over(Window.partitionBy("dealt", "known"))
-    counted = described.withColumn("dealt", alone).withColumn("met", met)
-    return counted.where(F.col("known") | (F.col("met") > 1)).select("key", "uid", "first", "n")
+    known = F.col("weight") == 0
+    dealt = F.when(known, F.xxhash64("key", "uid", "first")).otherwise(F.col("key"))
+    # A place is one number in the shuffle: rows of fewer columns are smaller.
+    place = F.shiftleft(F.col("first").cast("long"), PLACE_BITS).bitwiseOR(F.col("n"))
+    met = F.sum("weight").over(Window.partitionBy("dealt"))
+    counted = described.select("key", "uid", place.alias("place"), "weight", dealt.alias("dealt")).withColumn("met", met)
+    first = F.shiftright("place", PLACE_BITS).cast("int").alias("first")
+    n = F.col("place").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("n")
+    return counted.where(known | (F.col("met") > 1)).select("key", "uid", first, n)
 
 
 def cut_out(joined: DataFrame, units: Units) -> DataFrame:
@@ -476,7 +482,8 @@ def without_repeats(docs: DataFrame, units: Units, group: Group, id_col: str, te
         "text",
     )
     again = materialize(repeating(describe(own, units)), "super-kmers")
-    hot = again.groupBy("key").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT_WINDOWS)
+    met = again.groupBy("key").agg(F.sum("n").alias("windows"), F.count("*").alias("strings"))
+    hot = met.where((F.col("windows") > HOT_WINDOWS) | (F.col("strings") > HOT_STRINGS))
     hot = materialize(hot.select("key", F.lit(True).alias("hot")), "hot-minimisers")
     cuts = again.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cuts = cuts.groupBy("uid").agg(F.collect_list(F.struct("first", "n", "key", "hot")).alias("cuts"))
