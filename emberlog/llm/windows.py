@@ -215,7 +215,8 @@ def cut_out(joined: DataFrame, units: Units) -> DataFrame:
     """Packed strings and spans already known, as rows of STRINGS; a span has no string.
 
     joined holds uid, doc (the document's place in the order), text and cuts. Equal strings meet
-    here: the one of the first document goes on, the others are spans to remove at once.
+    here: the one of the first document goes on, the others are spans to remove at once, a row
+    for those that follow one another.
     """
     def flush(held: list[tuple]) -> pa.RecordBatch:
         seen: dict[bytes, tuple[int, int]] = {}
@@ -226,14 +227,21 @@ def cut_out(joined: DataFrame, units: Units) -> DataFrame:
             return met[0] < doc or (units.same_document and met[0] == doc and met[1] < first)
 
         for doc, uid, data, starts, ends, cuts in sorted(held, key=lambda d: d[:2]):
+            since = until = -1  # the span that goes on
             for first, n, key, hot in cuts:
                 n = min(n, len(starts) - units.window + 1 - first)
                 if n <= 0:
                     continue
                 packed = data[starts[first] : ends[first + n + units.window - 2]]
                 if repeats(packed, doc, first):
-                    rows.append((key ^ uid ^ first, doc, uid, first, n, False, None))
+                    if first == until:
+                        rows.pop()
+                    else:
+                        since = first
+                    until = first + n
+                    rows.append((uid ^ since, doc, uid, since, until - since, False, None))
                 else:
+                    until = -1
                     rows.append((_string_hash(packed) if hot else key, doc, uid, first, n, hot, packed))
         return _strings(*(zip(*rows) if rows else [()] * len(STRING_TYPES)))
 

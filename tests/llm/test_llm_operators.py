@@ -220,6 +220,22 @@ def test_settled_strings_are_not_refined():
     assert sum(given) == sum(len(t) - 99 for t in (own, left + a, a + right))
 
 
+def test_spans_in_a_row_are_one(spark):
+    """A passage met again in a task travels as one span, however many minimisers it has."""
+    from emberlog.llm import windows
+
+    text = bytes(np.random.default_rng(4).integers(97, 123, 900, dtype=np.uint8))
+    units = windows.Units(100, 20, words=False, same_document=True)
+    key, first, n, _ = windows.super_kmers(units, text)
+    assert len(key) > 5
+    cuts = [(f, k, h, False) for h, f, k in zip(key.view(np.int64).tolist(), first.tolist(), n.tolist())]
+    schema = "uid long, doc long, text binary, cuts array<struct<first:int,n:int,key:long,hot:boolean>>"
+    joined = spark.createDataFrame([(7, 1, text, cuts), (8, 2, text, cuts)], schema).coalesce(1)
+    made = windows.cut_out(joined, units).collect()
+    assert [(r["uid"], r["first"], r["n"]) for r in made if r["packed"] is None] == [(8, 0, 801)]
+    assert sorted((r["first"], r["n"]) for r in made if r["packed"] is not None) == [c[:2] for c in cuts]
+
+
 def test_refined_buckets():
     rng = np.random.default_rng(5)
     data = np.frombuffer(bytes(rng.integers(97, 99, 4000, dtype=np.uint8)) * 2 + b"a" * 300, np.uint8)
