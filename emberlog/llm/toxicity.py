@@ -21,8 +21,10 @@ EDGES = b".,;:!?\"'()[]{}<>*-_=/\\"
 # Bounds of the sample that the model is fitted on: rows of either label, windows of a clean row.
 MOST_TOXIC, MOST_CLEAN, CLEAN_WINDOWS = 2000, 4000, 3
 FOLDS, EPOCHS, BATCH, RATE = 4, 8, 128, 0.01
-# Windows scored at once, words looked up at once, and words whose features a worker keeps.
-SCORED, WORDS_AT_ONCE, KNOWN_WORDS = 2048, 1 << 16, 500_000
+# Windows scored at once, words looked up at once, and words whose features a worker keeps: most words
+# of a corpus are rare. A lexicon takes 60 times the bytes of its words, so both have bounds in bytes too.
+SCORED, WORDS_AT_ONCE, KNOWN_WORDS = 2048, 1 << 16, 1 << 16
+LEXICON_BYTES, KNOWN_BYTES = 1 << 19, 1 << 23
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -60,6 +62,19 @@ class Lexicon:
         return np.unique(self.word[rows]), np.unique(np.concatenate(grams))
 
 
+def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in parts of at most LEXICON_BYTES; a longer word is a part of its own."""
+    part, size = [], 0
+    for w in words:
+        if part and size + len(w) > LEXICON_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield part
+
+
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first, first + 1, ... n of them, one range after the other."""
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -278,11 +293,12 @@ class Scorer:
 
     def forget(self) -> None:
         self.rows: dict[bytes, int] = {}
+        self.known_bytes = 0
         self.table = np.zeros((1 << 12, FEATURES), np.float32)
 
     def _indices(self, words: list[bytes]) -> np.ndarray:
         """Rows of the feature table, from 1; row 0 is padding."""
-        if len(self.rows) > KNOWN_WORDS:
+        if len(self.rows) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
             self.forget()
         rows = self.rows
         found = list(map(rows.get, words))
@@ -291,8 +307,11 @@ class Scorer:
             at = len(rows) + 1
             while at + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[at : at + len(new)] = self.model.odds.features(Lexicon(new))
-            rows.update(zip(new, range(at, at + len(new))))
+            for part in _parts(new):
+                self.table[at : at + len(part)] = self.model.odds.features(Lexicon(part))
+                rows.update(zip(part, range(at, at + len(part))))
+                at += len(part)
+            self.known_bytes += sum(map(len, new))
             found = list(map(rows.get, words))
         return np.array(found, np.int32)
 

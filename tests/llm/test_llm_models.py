@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -95,6 +96,29 @@ def test_toxicity_sample_is_bounded(spark):
     assert sorted(toxicity.training_rows(docs, labels, "doc_id", "text", 4, 6)[1]) == [0] * 6 + [1] * 4
 
 
+def test_toxicity_keeps_few_words(model):
+    """A worker that meets ever new words forgets the old ones, and scores as one that begins anew."""
+    texts = [" ".join(f"word{k}x{i}" for i in range(1000)).encode() for k in range(300)]
+    scorer = toxicity.Scorer(model)
+    made = scorer.score(iter(texts), len(texts))
+    assert len(scorer.rows) <= 140_000 and len(scorer.table) <= 1 << 18
+    for k in (0, 150, 299):
+        assert made[k] == pytest.approx(toxicity.Scorer(model).score(iter(texts[k : k + 1]), 1)[0], abs=1e-5)
+
+
+def test_toxicity_of_long_words_in_little_memory(model):
+    """Texts without spaces: what is taken at once does not grow with the bytes of a batch."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij", k=5000)).encode() for _ in range(2400)]
+    scorer = toxicity.Scorer(model)
+    tracemalloc.start()
+    made = [scorer.score(iter(texts[at : at + 1200]), 1200) for at in (0, 1200, 0)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000 and len(scorer.rows) == 1200
+    assert made[0] == pytest.approx(made[2]) and made[1][7] == pytest.approx(slow_score(model, texts[1207]), abs=1e-4)
+
+
 def test_toxicity_without_rows(spark, model):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
